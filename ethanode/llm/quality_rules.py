@@ -13,15 +13,10 @@ from ethanode.llm.common import WHITE_SPACE, materialize, words_column
 SYMBOLS = "#*$%&|<>"
 
 
-def _repeat_positions(keys: Column) -> Column:
-    """Ascending 0-based places whose key is found twice or more, by one sort of (key, place)."""
-    placed = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    return F.sort_array(
-        F.transform(
-            F.filter(F.transform(placed, lambda x, j: F.struct(x["i"].alias("i"), ((F.get(placed, j - 1)["k"] == x["k"]) | (F.get(placed, j + 1)["k"] == x["k"])).alias("r"))), lambda x: x["r"]),
-            lambda x: x["i"],
-        )
-    )
+def _repeat_positions(placed: Column) -> Column:
+    """Ascending 0-based places whose key is found twice or more, from (k, i) sorted by key."""
+    marked = F.transform(placed, lambda x, j: F.struct(x["i"].alias("i"), ((F.get(placed, j - 1)["k"] == x["k"]) | (F.get(placed, j + 1)["k"] == x["k"])).alias("r")))
+    return F.sort_array(F.transform(F.filter(marked, lambda x: x["r"]), lambda x: x["i"]))
 
 
 def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -44,7 +39,9 @@ def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     })
     df = df.withColumn("__keys", F.when(F.size("__words") > 3, F.col("__keys")))
     repeats = F.size(F.array_distinct("__keys")) < F.size("__keys")
-    df = df.withColumn("__places", F.when(repeats, _repeat_positions(F.col("__keys"))))
+    placed = F.sort_array(F.transform("__keys", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    df = df.withColumn("__placed", F.when(repeats, placed))  # a column of its own: the lambdas below read it for every place
+    df = df.withColumn("__places", _repeat_positions(F.col("__placed")))
     covered = F.aggregate(F.transform("__places", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("__places", j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).select(*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
