@@ -1 +1 @@
-
+"""Streaming extensions; recordings are otherwise complete files."""
