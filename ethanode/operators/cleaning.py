@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from math import gamma
 
 import numpy as np
 import pandas as pd
@@ -105,15 +107,18 @@ def missing_runs(missing: np.ndarray, extend: int, merge: int) -> list[tuple[int
     return out
 
 
-def matern(d: np.ndarray, length: float, nu: float) -> np.ndarray:
-    """Matern covariance by quadrature of the Bessel function K."""
-    from math import gamma
-
-    x = np.sqrt(2 * nu) * np.abs(d) / length
+@functools.lru_cache(maxsize=8)
+def _matern_table(nu: float) -> tuple[np.ndarray, np.ndarray]:
+    """The Matern correlation at scaled distances from 0 to 60, by quadrature of the Bessel function K."""
+    x = np.concatenate([[0.0], np.geomspace(1e-8, 60, 4000)])
     t = np.linspace(0, 12, 400)
-    k = np.trapezoid(np.exp(-np.clip(np.maximum(x, 1e-8)[..., None] * np.cosh(t), 0, 700)) * np.cosh(nu * t), t, axis=-1)
-    out = 2 ** (1 - nu) / gamma(nu) * np.maximum(x, 1e-8) ** nu * k
-    return np.where(x == 0, 1.0, np.minimum(out, 1.0))
+    k = np.trapezoid(np.exp(-np.clip(x[1:, None] * np.cosh(t), 0, 700)) * np.cosh(nu * t), t, axis=1)
+    return x, np.concatenate([[1.0], np.minimum(2 ** (1 - nu) / gamma(nu) * x[1:] ** nu * k, 1.0)])
+
+
+def matern(d: np.ndarray, length: float, nu: float) -> np.ndarray:
+    x, y = _matern_table(nu)
+    return np.interp(np.sqrt(2 * nu) * np.abs(d) / length, x, y, right=0.0)
 
 
 def predicted(x: np.ndarray, y: np.ndarray, at: np.ndarray, method: str) -> np.ndarray:

@@ -125,9 +125,9 @@ def revised(measures: DataFrame, limit: float = 0.5, upper: float = 0.9, predict
 
 def curve_area(df: DataFrame, bounds: DataFrame, col: str = "tac", dx: float = 0.1, keys: Sequence[str] = EPISODE) -> DataFrame:
     """Trapezoids from begin to end, values clipped below at the threshold, and per hour."""
-    b = bounds.select(*keys, "begin", "end", "threshold", F.col("curve_duration"))
+    b = bounds.select(*keys, "begin", "end", F.col("threshold").alias("__thr"), "curve_duration")
     rows = with_episode(df, b, keys).where((F.col("idx") >= F.col("begin")) & (F.col("idx") <= F.when(F.col("begin") == F.col("end"), F.col("end") + 1).otherwise(F.col("end"))))
-    clipped = F.greatest(F.col(col), F.col("threshold"))
+    clipped = F.greatest(F.col(col), F.col("__thr"))
     rows = rows.withColumn("__step", (clipped + F.lag(clipped).over(by(keys))) / 2)
     got = rows.groupBy(*keys).agg((F.coalesce(F.sum("__step"), F.lit(0.0)) * dx).alias("curve_auc"), F.max("curve_duration").alias("__d"))
     return got.select(*keys, "curve_auc", F.when((F.col("curve_auc") != 0) & (F.col("__d") != 0), F.col("curve_auc") / F.col("__d")).alias("curve_auc_per_hour"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ethanode.config import EngineConfig
 from ethanode.functions import identifiers as ids
 from ethanode.operators import aggregates, cleaning, crop, curve, features, joins, smoothing, windows
+from ethanode.scratch import materialize
 
 
 def cleaned(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -36,7 +37,12 @@ def processed(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineC
 
 
 def cohort_features(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Feature rows with quality verdicts, for the output of `processed`."""
+    """Feature rows with quality verdicts, for the output of `processed`.
+
+    The readings are written once and read by every aggregate: the cleaning stages run Python
+    per episode and should not run again for each.
+    """
+    df = materialize(df, "readings")
     rows = features.episode_features(df, "tac_raw", "tac_smooth", keys, config, threshold="threshold")
     checks = aggregates.quality_control(df, config.min_active_h, config.max_inactive_pct, config.max_imputed_pct, keys)
     return rows.join(checks, list(keys), "left")
