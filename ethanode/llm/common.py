@@ -2,46 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ethanode.scratch import materialize  # noqa: F401  (part of this module's interface)
+
 #: The six ASCII characters between words; a word is a run of anything else.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
-_scratch: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder under the cluster's shared checkpoint folder."""
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-        _scratch[app] = f"{root.rstrip('/')}/ethanode-{app}"
-        atexit.register(_drop, spark, _scratch[app])
-    return _scratch[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and spark.sparkContext._gateway is not None:
-        try:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-        except Exception:  # the JVM may be gone when the interpreter ends
-            pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
