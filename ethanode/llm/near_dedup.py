@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -138,25 +137,29 @@ def _across(members: DataFrame, n_hashes: int, least: float, top: int) -> DataFr
     held = rows.select("bucket", own.alias("block"), "id", "component", "bits", F.lit(False).alias("asks"))
     asking = rows.where("component <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", "bits", F.lit(True).alias("asks"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["bits"]), "<u8").reshape(len(group), -1)
-        ids, comp, asks = group["id"].to_numpy(), group["component"].to_numpy(), group["asks"].to_numpy()
-        data = np.flatnonzero(~asks)
-        found_a, found_b, found_more = [], [], []
-        for q in np.flatnonzero(asks):
-            est = estimates(sig[data], sig[q], n_hashes)
-            hit = np.flatnonzero((est >= least) & (comp[data] != comp[q]))
-            hit = hit[np.argsort(-est[hit], kind="stable")]
-            others = comp[data[hit]]
-            for other in np.unique(others):
-                mine = hit[others == other]
-                for h in mine[:top]:
-                    found_a.append(min(ids[q], ids[data[h]]))
-                    found_b.append(max(ids[q], ids[data[h]]))
-                    found_more.append(len(mine) > top)
-        return pd.DataFrame({"a": np.array(found_a, "int64"), "b": np.array(found_b, "int64"), "more": np.array(found_more, bool)})
-
-    pairs = held.unionByName(asking).groupBy("bucket", "block").applyInPandas(compare, "a long, b long, more boolean")
+    def compare(batches):
+        for batch in batches:
+            found: list[tuple[int, int, bool]] = []
+            for members in batch.column(0):
+                got = members.values
+                ids, comp, asks = (got.field(k).to_numpy(zero_copy_only=False) for k in ("id", "component", "asks"))
+                sig = np.frombuffer(b"".join(got.field("bits").to_pylist()), "<u8").reshape(len(ids), -1)
+                data = np.flatnonzero(~asks)
+                for q in np.flatnonzero(asks):
+                    hit = data[comp[data] != comp[q]]
+                    est = estimates(sig[hit], sig[q], n_hashes)
+                    order = np.flatnonzero(est >= least)
+                    hit = hit[order[np.argsort(-est[order], kind="stable")]]
+                    others = comp[hit]
+                    for other in np.unique(others):
+                        mine = hit[others == other]
+                        found += [(min(ids[q], ids[h]), max(ids[q], ids[h]), len(mine) > top) for h in mine[:top]]
+            cols = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
+
+    # a list is one block: BLOCK rows of the bucket, and those of it that ask
+    blocks = held.unionByName(asking).groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "asks", "bits")).alias("members"))
+    pairs = blocks.where(F.exists("members", lambda m: m["asks"])).select("members").mapInArrow(compare, "a long, b long, more boolean")
     return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
@@ -178,7 +181,7 @@ def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100,
 
     keyed = reps.select("id", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    buckets = materialize(keyed.join(shared, "bucket").select("bucket", "id", "first"), "buckets")
+    buckets = materialize(keyed.join(shared, "bucket").select("bucket", "id", "first", "n"), "buckets")
     wanted = buckets.select("id").distinct()
     bits = materialize(docs.join(wanted, "id", "left_semi").select("id", "bits"), "bits")
 
@@ -206,18 +209,21 @@ def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100,
     likely = stars.join(left, "a").join(right, "b").select("a", "b", "bits_a", "bits_b").mapInArrow(pass_estimate, "a long, b long")
     tested = materialize(_confirm(likely, sets, numerator, denominator), "tested")
 
+    parts = materialize(connected_components(tested.where("ok").select("a", "b")), "parts")
+    larger = materialize(buckets.where("n > 2").select("bucket", "id").join(bits, "id"), "larger")  # the only pair of a bucket of two is tested
     top = 1
     while True:
-        parts = materialize(connected_components(tested.where("ok").select("a", "b")), "parts")
-        placed = buckets.select("bucket", "id").join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        across = materialize(_across(placed.join(bits, "id"), n_hashes, least, top), "across")
-        new = across.join(tested, ["a", "b"], "left_anti").select("a", "b")
-        fresh = materialize(_confirm(new, sets, numerator, denominator), "fresh")
-        verdict = fresh.agg(F.max("ok").alias("ok")).first()
-        if not verdict["ok"] and not across.where("more").limit(1).count():
+        placed = larger.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        across = materialize(_across(placed, n_hashes, least, top), "across")
+        fresh = materialize(_confirm(across.join(tested, ["a", "b"], "left_anti").select("a", "b"), sets, numerator, denominator), "fresh")
+        linked = fresh.agg(F.max("ok")).first()[0]
+        if linked:
+            known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            parts = materialize(connected_components(known.unionByName(fresh.where("ok").select("a", "b"))), "parts")
+        elif not across.where("more").limit(1).count():
             break
         tested = materialize(tested.unionByName(fresh), "tested")
-        top *= 16
+        top *= 64
 
     joined = members.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return docs.select("id", "n_shingles").join(joined, "id", "left").select(
