@@ -167,7 +167,8 @@ def locate(window: int, confirmed: pa.Table, texts: pa.Table) -> pa.Table:
         words = text.split(b" ")
         coded = tuple(numbers.setdefault(w, len(numbers)) for w in words)
         rows.append((key, first, coded))
-        is_good = np.isin(_signed(_runs(hashes.of(words), window)), good)
+        keys = _signed(_runs(hashes.of(words), window))
+        is_good = good[np.minimum(np.searchsorted(good, keys), len(good) - 1)] == keys if len(good) else np.zeros(len(keys), bool)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], is_good.view(np.int8), [0]])))
         for lo, hi in edges.reshape(-1, 2):
             automaton.add_word(coded[lo : hi - 1 + window])
