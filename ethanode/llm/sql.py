@@ -1,3 +1,38 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(table: str, key: str, k: int) -> str:
+    words = _WORDS.format(text=_LOWER)
+    return f"""SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS s
+ FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": f"""WITH RECURSIVE ds AS ({_shingles("documents", "doc_id", 3)}), n AS (SELECT doc_id, count(*) AS n FROM ds GROUP BY doc_id),
+ common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM ds x JOIN ds y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+ reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id),
+ c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id""",
+    "op6_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+ s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35), k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS t FROM s),
+ d AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY t) > 1), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM d),
+ p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM w),
+ kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS t, count(*) AS n FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.p = p.p WHERE gone.p IS NULL GROUP BY p.doc_id)
+ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op7_decontamination": f"""WITH ds AS ({_shingles("documents", "doc_id", 5)}), bs AS ({_shingles("benchmark", "item_id", 5)}), n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+ SELECT doc_id, item_id, any_value(n_item) AS n_item, count(*) AS n_shared FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_item)""",
+    "op8_quality_rules": rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), w AS (SELECT *, {_WORDS.format(text="text")} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w WHERE len(w) >= 3)),
+ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE c > 1) GROUP BY doc_id),
+ s AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+ h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
+ m AS (SELECT avg(k / n) AS m, var_samp(k / n) AS v FROM h), z AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 2.0 END AS z FROM m),
+ q AS (SELECT source, (k + greatest(m * z, 1e-6)) / (n + greatest(m * z, 1e-6) + greatest((1 - m) * z, 1e-6)) AS rate FROM h, z)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate > 0.8, false) AS kept FROM f LEFT JOIN q USING (source)""",
+}
