@@ -32,10 +32,12 @@ def readings_of(df: DataFrame, file_name: str | None = None) -> DataFrame:
     for c in ("device_id", "Firmware Version", "Temperature_C", "Motion"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    out = df.withColumns({
-        "ts": recorded_time(F.col("datetime")), "tac": F.expr("try_cast(TAC AS double)"), "temp": F.expr("try_cast(Temperature_C AS double)"), "motion": F.expr("try_cast(Motion AS double)"),
-        "firmware_version": F.col("Firmware Version").cast("string"), "device_id": F.col("device_id").cast("string"),
-    }).drop("datetime", "TAC", "Temperature_C", "Motion", "Firmware Version")
+    used = ("datetime", "TAC", "Temperature_C", "Motion", "Firmware Version", "device_id")
+    others = [c for c in df.columns if c not in used]
+    out = df.select(
+        *[F.col(f"`{c}`") for c in others], recorded_time(F.col("datetime")).alias("ts"), F.expr("try_cast(TAC AS double)").alias("tac"), F.expr("try_cast(Temperature_C AS double)").alias("temp"),
+        F.expr("try_cast(Motion AS double)").alias("motion"), F.col("Firmware Version").cast("string").alias("firmware_version"), F.col("device_id").cast("string").alias("device_id"),
+    )
     if file_name is not None:
         name = F.col(file_name)
         out = out.withColumns({"subid": ids.subid_of(name), "dataset_identifier": ids.dataset_of(name)})
