@@ -160,29 +160,42 @@ def stretches(hits: DataFrame, window: int, shards: int) -> DataFrame:
 def locate(window: int, confirmed: pa.Table, texts: pa.Table) -> pa.Table:
     """Occurrences (id, first, last) of a shard's confirmed phrases in its stretches; last is exclusive."""
     good = np.sort(confirmed.column("key").to_numpy())
-    hashes, numbers = WordHashes(), {}
+    if not len(good) or not texts.num_rows:
+        return pa.table({"id": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "last": pa.array([], pa.int64())})
+    split = [t.split(b" ") for t in texts.column("words").to_pylist()]
+    ends = np.cumsum([len(w) for w in split])
+    starts = np.concatenate([[0], ends[:-1]])
+    numbers: dict[bytes, int] = {}
+    coded = [numbers.setdefault(w, len(numbers)) for words in split for w in words]
+    del split
+    h = WordHashes(len(numbers) + 1).of(list(numbers))[np.array(coded)]
+    keys = _signed(_runs(h, window))
+    is_good = good[np.minimum(np.searchsorted(good, keys), len(good) - 1)] == keys
+    inside = np.zeros(len(h) + 1, np.int64)  # windows that stay in their stretch
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, np.maximum(ends - window + 1, starts), -1)
+    is_good &= np.cumsum(inside)[: len(keys)] > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], is_good.view(np.int8), [0]]))).reshape(-1, 2)
+    cut = np.searchsorted(ends, edges[:, 0], "right")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    rows = []
-    for key, first, text in zip(texts.column("id").to_pylist(), texts.column("first").to_pylist(), texts.column("words").to_pylist(), strict=True):
-        words = text.split(b" ")
-        coded = tuple(numbers.setdefault(w, len(numbers)) for w in words)
-        rows.append((key, first, coded))
-        keys = _signed(_runs(hashes.of(words), window))
-        is_good = good[np.minimum(np.searchsorted(good, keys), len(good) - 1)] == keys if len(good) else np.zeros(len(keys), bool)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], is_good.view(np.int8), [0]])))
-        for lo, hi in edges.reshape(-1, 2):
-            automaton.add_word(coded[lo : hi - 1 + window])
+    for (lo, hi), owner in zip(edges.tolist(), cut.tolist(), strict=True):
+        while lo < hi:  # neighbouring stretches may both be good to their ends
+            stop = min(hi, int(ends[owner]) - window + 1)
+            if stop > lo:
+                automaton.add_word(tuple(coded[lo : stop - 1 + window]))
+            owner += 1
+            lo = max(stop, int(ends[owner - 1]))
     out = []
     if len(automaton):
         automaton.make_automaton()
-        for key, first, coded in rows:
+        for key, first, lo, hi in zip(texts.column("id").to_pylist(), texts.column("first").to_pylist(), starts.tolist(), ends.tolist(), strict=True):
             done: list[list[int]] = []
-            for end, length in automaton.iter(coded):
-                lo, hi = end + 1 - length, end + 1
-                while done and done[-1][1] >= lo:
-                    lo = min(lo, done.pop()[0])
-                done.append([lo, hi])
-            out += [(key, first + lo, first + hi) for lo, hi in done]
+            for end, length in automaton.iter(tuple(coded[lo:hi])):
+                begin, stop = end + 1 - length, end + 1
+                while done and done[-1][1] >= begin:
+                    begin = min(begin, done.pop()[0])
+                done.append([begin, stop])
+            out += [(key, first + a, first + b) for a, b in done]
     cols = list(zip(*out, strict=True)) or [()] * 3
     return pa.table({"id": pa.array(cols[0], pa.int64()), "first": pa.array(cols[1], pa.int64()), "last": pa.array(cols[2], pa.int64())})
 
