@@ -31,7 +31,7 @@ from ethanode.llm.common import WordHashes, materialize, mixed
 #: Words of an anchor's run.
 GRAM = 8
 #: Stretches of text in one task of a shard, about.
-SHARD_STRETCHES = 20_000
+SHARD_STRETCHES = 10_000
 
 
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
