@@ -45,9 +45,9 @@ def query(sql: str | None = None):
 
 
 def neat(df: DataFrame, *cols: str) -> DataFrame:
-    """The columns, doubles rounded to six places."""
+    """The columns, doubles rounded to six places, without negative zeros."""
     df = df.select(*cols) if cols else df
-    return df.withColumns({f.name: F.round(f.name, 6) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)})
+    return df.withColumns({f.name: F.round(f.name, 6) + F.lit(0.0) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)})
 
 
 readings = recordings.event_readings
@@ -260,10 +260,10 @@ def rolling_slope(spark, sf):
  u AS (SELECT *, j - (m - 1) / 2.0 AS u FROM l WHERE m > 5 AND span > 0),
  s AS (SELECT event_id, any_value(m) AS m, any_value(span) AS span, sum(u*u) AS s2, sum(u*u*u*u) AS s4, sum(y) AS y0, sum(y*u) AS y1, sum(y*u*u) AS y2 FROM u GROUP BY event_id),
  k AS (SELECT event_id, (m * y2 - s2 * y0) / (m * s4 - s2 * s2) AS a, y1 / s2 AS b, (y0 - (m * y2 - s2 * y0) / (m * s4 - s2 * s2) * s2) / m AS c, (m - 1) / span AS q, (m - 1) / 2.0 AS h FROM s)
- SELECT r.event_id, round(a*q*q, 4) AS a, round(b*q - 2*a*q*h, 4) AS b, round(a*h*h - b*h + c, 4) AS c FROM r LEFT JOIN k USING (event_id)""")
+ SELECT r.event_id, round(a*q*q, 4) + 0.0 AS a, round(b*q - 2*a*q*h, 4) + 0.0 AS b, round(a*h*h - b*h + c, 4) + 0.0 AS c FROM r LEFT JOIN k USING (event_id)""")
 def quadratic_fit(spark, sf):
     df = windows.quadratic_fits(readings(spark, sf))
-    return df.select("event_id", *[F.round(f"tac_{k}_pre", 4).alias(k) for k in "abc"])
+    return df.select("event_id", *[(F.round(f"tac_{k}_pre", 4) + F.lit(0.0)).alias(k) for k in "abc"])
 
 
 SG = ", ".join(f"({j}, CAST({c!r} AS DOUBLE))" for j, c in enumerate(smoothing.coefficients(51, 3)))
