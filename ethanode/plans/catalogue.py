@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ethanode.functions import dates
 from ethanode.functions import identifiers as ids
-from ethanode.operators import aggregates, cleaning, crop, curve, features, joins, learning, smoothing, windows
+from ethanode.operators import aggregates, cleaning, crop, curve, features, joins, learning, plot_data, smoothing, windows
 from ethanode.plans import cohort
 from ethanode.sources import recordings, results
 
@@ -453,6 +453,92 @@ def greedy_downsample(spark, sf):
     return cleaning.thinned(readings(spark, sf), 600.0).select("event_id", "idx")
 
 
+@query(R + TEMPS + " SELECT r.event_id, CAST(NOT cut OR idx <= last AS INTEGER) AS kept FROM r JOIN a USING (episode)")
+def plot_cropping(spark, sf):
+    df = readings(spark, sf)
+    return plot_data.cropping(df, crop.cold_end(df)).select("event_id", "kept")
+
+
+@query(R + " SELECT episode, CASE WHEN temp > 30 THEN 'on' ELSE 'off' END AS side, count(*) AS n FROM r GROUP BY ALL")
+def plot_device_removal(spark, sf):
+    return plot_data.device_removal(readings(spark, sf), 30.0).groupBy("episode", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(R + " SELECT episode, round(hours, 6) AS hours, 'tac' AS series, round(tac, 6) AS value FROM r UNION ALL SELECT episode, round(hours, 6), 'temp', round(temp, 6) FROM r")
+def plot_tac_and_temp(spark, sf):
+    return neat(plot_data.column_series(readings(spark, sf), ["tac", "temp"]))
+
+
+@query(R + EVENTS + """, k AS (SELECT episode, event_name, event_ts, min_by(idx, (abs(epoch_us(ts) - epoch_us(event_ts)), idx)) AS idx FROM r JOIN v USING (episode) GROUP BY ALL)
+ SELECT k.episode, event_name, k.idx, round(hours, 6) AS hours, round(tac, 6) AS tac FROM k JOIN r ON r.episode = k.episode AND r.idx = k.idx""")
+def plot_event_lines(spark, sf):
+    df = readings(spark, sf)
+    return neat(plot_data.event_lines(joins.nearest_reading(df, recordings.day_events(spark, sf)), df), "episode", "event_name", "idx", "hours", "tac")
+
+
+@query("""WITH u AS (SELECT c_nationkey, list(DISTINCT 1 + c_custkey % 5) AS l FROM customer GROUP BY c_nationkey)
+ SELECT CAST(1000 + c_nationkey AS VARCHAR) AS subid, len(l) AS n, lpad(CAST(list_min(list_filter(range(1, 8), lambda x: NOT list_contains(l, x))) AS VARCHAR), 3, '0') AS free FROM u""")
+def dataset_identifiers(spark, sf):
+    c = recordings.table(spark, sf, "customer")
+    files = c.select(F.concat((F.col("c_nationkey") + 1000).cast("string"), F.lit("_"), F.lpad((1 + F.col("c_custkey") % 5).cast("string"), 3, "0"), F.lit(".csv")).alias("file_name"))
+    used = recordings.used_datasets(files)
+    return used.select("subid", F.size("datasets").cast("long").alias("n")).join(recordings.free_dataset(used).withColumnRenamed("dataset", "free"), "subid")
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || '_' || lpad(CAST(c_custkey % 50 AS VARCHAR), 3, '0') || 'e1' AS full_identifier FROM customer")
+def full_identifiers(spark, sf):
+    c = recordings.table(spark, sf, "customer")
+    return c.select("c_custkey", ids.full_identifier(F.col("c_nationkey"), F.col("c_custkey") % 50, F.lit(1)).alias("full_identifier"))
+
+
+@query(R + " SELECT episode, CAST(count(DISTINCT user_id) > 1 AS INTEGER) AS several FROM r GROUP BY episode")
+def multiple_devices(spark, sf):
+    return readings(spark, sf).groupBy("episode").agg((F.count_distinct("user_id") > 1).cast("int").alias("several"))
+
+
+@query(R + " SELECT event_id, episode FROM r JOIN b USING (episode) WHERE n > 300")
+def size_gate(spark, sf):
+    return crop.large_enough(readings(spark, sf), 300).select("event_id", "episode")
+
+
+@query(R + " SELECT event_id FROM r JOIN b USING (episode) WHERE idx < 5 OR idx >= n - 5")
+def group_head_tail(spark, sf):
+    return windows.head_and_tail(readings(spark, sf), 5).select("event_id")
+
+
+@query(M + " SELECT a.user_id, a.sex, a.condition FROM m a JOIN (SELECT * FROM m WHERE use_data = 'Y') b ON a.user_id = b.user_id AND a.sex IS NOT DISTINCT FROM b.sex")
+def natural_merge(spark, sf):
+    meta = recordings.customer_metadata(spark, sf)
+    return joins.natural(meta.select("user_id", "sex", "condition"), meta.where("use_data = 'Y'").select("user_id", "sex", "use_data")).select("user_id", "sex", "condition")
+
+
+@query(M + """, f AS (SELECT user_id, sex, condition, CAST(condition = 'Alc' AS INTEGER) AS truth, CASE WHEN (condition = 'Alc') = (drinks >= 4) THEN 'correct' ELSE 'incorrect' END AS result FROM m),
+ g AS (SELECT sex, truth, condition, max(CASE WHEN result = 'incorrect' THEN 1 ELSE 0 END) AS bad FROM f GROUP BY ALL)
+ SELECT user_id, CASE WHEN bad = 1 THEN 'incorrect' ELSE 'correct' END AS cv_result FROM f JOIN g USING (sex, truth, condition)""")
+def cv_write_back(spark, sf):
+    meta = recordings.customer_metadata(spark, sf)
+    rows = meta.select("user_id", "sex", "condition", (F.col("condition") == "Alc").cast("int").alias("truth"), (F.col("drinks") >= 4).cast("int").alias("predicted"))
+    results_ = learning.outcome_kind(rows)
+    return joins.cross_validation_marks(rows, results_, ("sex", "truth", "condition")).select("user_id", "cv_result")
+
+
+@query(R + """, g AS (SELECT user_id, min(event_id) AS f FROM r GROUP BY user_id), h AS (SELECT user_id FROM g ORDER BY f LIMIT CAST(round_even((SELECT count(*) FROM g) * 0.3, 0) AS INTEGER))
+ SELECT event_id, CAST(user_id IN (SELECT user_id FROM h) AS INTEGER) AS held FROM r""")
+def holdout_groups(spark, sf):
+    train, held = learning.holdout(readings(spark, sf), "user_id", "event_id")
+    return train.select("event_id", F.lit(0).alias("held")).unionByName(held.select("event_id", F.lit(1).alias("held")))
+
+
+@query(R + " SELECT episode, 'mean' AS feature, round(avg(tac), 6) AS value FROM r GROUP BY episode UNION ALL SELECT episode, 'sd', round(stddev_samp(tac), 6) FROM r GROUP BY episode UNION ALL SELECT episode, 'sem', round(stddev_samp(tac) / sqrt(count(*)), 6) FROM r GROUP BY episode")
+def feature_report(spark, sf):
+    return neat(results.long_features(aggregates.mean_sd_sem(readings(spark, sf)), ["episode"]))
+
+
+@query(R + " SELECT round(1 - sum((tac - 50) * (tac - 50)) / (var_pop(tac) * count(*)), 6) AS r2 FROM r")
+def r_squared(spark, sf):
+    return neat(aggregates.r_squared(readings(spark, sf).withColumn("fit", F.lit(50.0)), "tac", "fit"))
+
+
 # --- no SQL for the same rows: grouped or fitted -------------------------------------------
 
 
