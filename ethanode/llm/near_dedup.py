@@ -4,9 +4,9 @@ Texts that are equal word by word are one class. Each class keeps the low bits o
 packed into words; bands of whole minima give buckets of candidates; the share of equal low
 bits, corrected for chance collisions, estimates the similarity; pairs that pass are confirmed
 on their full shingle sets. Within a bucket all members are first compared with its smallest
-one. Members that this leaves in different components are then compared with each other, the
-best estimates first, until no untested pair across components could still be a link: the
-components are those of all pairs, but pairs inside a component are never listed.
+one. Members that this leaves in different components are then compared with each other inside
+the bucket, and only links come out: the components are those of all pairs, but pairs inside a
+component are never listed.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from ethanode.llm.components import connected_components
 BITS = 4
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 4.0
-#: Bucket rows that one task compares at a time.
-BLOCK = 2_000
+#: Bytes of one side of a comparison within a bucket.
+BLOCK_BYTES = 8_000_000
 
 
 class Sketcher:
@@ -122,45 +122,55 @@ def _confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long, ok boolean")
 
 
-def _across(members: DataFrame, n_hashes: int, least: float, top: int) -> DataFrame:
-    """Candidate pairs (a, b, more) between components that meet in a bucket.
+def _links_across(members: DataFrame, profiles: DataFrame, n_hashes: int, least: float, numerator: int, denominator: int) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket: at least one for every two that any pair there links.
 
-    `members`: bucket, id, component, bits. Each bucket's largest component is dealt over as
-    many blocks as its size asks for, the other members meet every block. For each of those
-    and each other component in a block, the `top` best estimates come out; `more` says that
-    further ones would pass.
+    `members`: bucket, band, id, component, n_shingles; `profiles`: id, bits, bands, shingles.
+    A bucket's largest component only answers, its other members ask all. Both sides are
+    dealt over blocks of bounded bytes. A pair that shares several buckets is compared in
+    that of its first band; what passes the estimate is confirmed on the full sets, the best
+    first, until one member asked is linked with the other component.
     """
-    per = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = per.groupBy("bucket").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", -F.col("component"))).alias("largest")).where("kinds > 1")
-    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    held = rows.select("bucket", own.alias("block"), "id", "component", "bits", F.lit(False).alias("asks"))
-    asking = rows.where("component <> largest").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", "bits", F.lit(True).alias("asks"))
+    per = members.groupBy("bucket", "band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles") + 300).alias("w"))
+    rank = F.struct("n", -F.col("component"))
+    sizes = per.groupBy("bucket", "band").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", rank).alias("largest"), F.max_by("w", rank).alias("lw")).where("kinds > 1")
+    blocks, chunks = (F.ceil(F.col(c) / BLOCK_BYTES).cast("int") for c in ("total", "asked"))
+    sizes = sizes.withColumn("asked", F.col("total") - F.col("lw")).select("bucket", "band", "largest", blocks.alias("blocks"), chunks.alias("chunks"))
+    rows = members.drop("n_shingles").join(sizes, ["bucket", "band"]).withColumn("minor", F.col("component") != F.col("largest"))
+    columns = ("bucket", "band", "block", "chunk", "id", "component", "minor", "asks")
+    block, chunk = (F.pmod(F.xxhash64(F.lit(k), "id"), F.col(c)).cast("int") for k, c in ((1, "blocks"), (2, "chunks")))
+    held = rows.withColumns({"block": block, "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "asks": F.lit(False)}).select(*columns)
+    asking = rows.where("minor").withColumns({"chunk": chunk, "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)}).select(*columns)
 
     def compare(batches):
         for batch in batches:
-            found: list[tuple[int, int, bool]] = []
-            for members in batch.column(0):
+            found: list[tuple[int, int]] = []
+            for band, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = members.values
-                ids, comp, asks = (got.field(k).to_numpy(zero_copy_only=False) for k in ("id", "component", "asks"))
+                ids, comp, asks, minor = (got.field(k).to_numpy(zero_copy_only=False) for k in ("id", "component", "asks", "minor"))
                 sig = np.frombuffer(b"".join(got.field("bits").to_pylist()), "<u8").reshape(len(ids), -1)
+                keys = got.field("bands").flatten().to_numpy().reshape(len(ids), -1)
+                sets = [np.frombuffer(x, "<u8") for x in got.field("shingles").to_pylist()]
                 data = np.flatnonzero(~asks)
                 for q in np.flatnonzero(asks):
-                    hit = data[comp[data] != comp[q]]
+                    hit = data[(comp[data] != comp[q]) & ~(minor[data] & (ids[data] >= ids[q]))]
                     est = estimates(sig[hit], sig[q], n_hashes)
-                    order = np.flatnonzero(est >= least)
-                    hit = hit[order[np.argsort(-est[order], kind="stable")]]
-                    others = comp[hit]
-                    for other in np.unique(others):
-                        mine = hit[others == other]
-                        found += [(min(ids[q], ids[h]), max(ids[q], ids[h]), len(mine) > top) for h in mine[:top]]
-            cols = list(zip(*found, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
-
-    # a list is one block: BLOCK rows of the bucket, and those of it that ask
-    blocks = held.unionByName(asking).groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "asks", "bits")).alias("members"))
-    pairs = blocks.where(F.exists("members", lambda m: m["asks"])).select("members").mapInArrow(compare, "a long, b long, more boolean")
-    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
+                    passed = np.flatnonzero(est >= least)
+                    hit = hit[passed[np.argsort(-est[passed], kind="stable")]]
+                    hit = hit[(keys[hit] == keys[q]).argmax(axis=1) == band]
+                    linked: set[int] = set()
+                    for h in hit:
+                        if comp[h] not in linked:
+                            both = len(np.intersect1d(sets[h], sets[q], assume_unique=True))
+                            if denominator * both >= numerator * (len(sets[h]) + len(sets[q]) - both):
+                                linked.add(comp[h])
+                                found.append((ids[h], ids[q]))
+            cols = list(zip(*found, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    whole = held.unionByName(asking).join(profiles, "id")
+    dealt = whole.groupBy("bucket", "band", "block", "chunk").agg(F.collect_list(F.struct("id", "component", "minor", "asks", "bits", "bands", "shingles")).alias("members"))
+    return dealt.where(F.exists("members", lambda m: m["asks"])).select("band", "members").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bands: int = 24, rows: int = 4) -> DataFrame:
@@ -179,11 +189,11 @@ def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100,
     members = materialize(docs.where("class_a is not null").select("id", "class_a", "class_b").join(classes, ["class_a", "class_b"]).select("id", "rep"), "members")
     reps = docs.join(members.where("id = rep").select("id"), "id", "left_semi")
 
-    keyed = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    buckets = materialize(keyed.join(shared, "bucket").select("bucket", "id", "first", "n"), "buckets")
+    keyed = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    shared = keyed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
+    buckets = materialize(keyed.join(shared, ["bucket", "band"]), "buckets")
     wanted = buckets.select("id").distinct()
-    bits = materialize(docs.join(wanted, "id", "left_semi").select("id", "bits"), "bits")
+    bits = materialize(docs.join(wanted, "id", "left_semi").select("id", "bits", "bands"), "bits")
 
     def full_sets(batches):
         s = Sketcher(shingle, bands, rows)
@@ -210,20 +220,10 @@ def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100,
     tested = materialize(_confirm(likely, sets, numerator, denominator), "tested")
 
     parts = materialize(connected_components(tested.where("ok").select("a", "b")), "parts")
-    larger = materialize(buckets.where("n > 2").select("bucket", "id").join(bits, "id"), "larger")  # the only pair of a bucket of two is tested
-    top = 1
-    while True:
-        placed = larger.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        across = materialize(_across(placed, n_hashes, least, top), "across")
-        fresh = materialize(_confirm(across.join(tested, ["a", "b"], "left_anti").select("a", "b"), sets, numerator, denominator), "fresh")
-        linked = fresh.agg(F.max("ok")).first()[0]
-        if linked:
-            known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            parts = materialize(connected_components(known.unionByName(fresh.where("ok").select("a", "b"))), "parts")
-        elif not across.where("more").limit(1).count():
-            break
-        tested = materialize(tested.unionByName(fresh), "tested")
-        top *= 64
+    placed = buckets.where("n > 2").select("bucket", "band", "id", "n_shingles").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))  # the only pair of a bucket of two is tested
+    across = materialize(_links_across(placed, bits.join(sets, "id"), n_hashes, least, numerator, denominator), "across")
+    known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    parts = materialize(connected_components(known.unionByName(across)), "parts")
 
     joined = members.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return docs.select("id", "n_shingles").join(joined, "id", "left").select(
