@@ -212,7 +212,8 @@ def repeated_passages(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
     members = materialize(docs.select("id", "n_words", "class_a", "class_b").join(classes, ["class_a", "class_b"]).select("id", "n_words", "rep", "copies"), "members")
     reps = members.where("id = rep").select("id", "copies")
     placed = docs.where(F.size("anchors") > 0).join(reps, "id").select("id", "copies", F.explode("anchors").alias("anchor"))
-    often = placed.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
+    # written first, so that the join shuffles both sides itself and adaptive execution can split a hot anchor
+    often = materialize(placed.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "often")
     hits = placed.join(often, "anchor").groupBy("id").agg(F.first("copies").alias("copies"), F.collect_set("anchor").alias("recurring"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hits = materialize(texts.join(hits, "id").select("id", "text", "recurring", "copies"), "hits")
