@@ -190,7 +190,8 @@ def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100,
     reps = docs.join(members.where("id = rep").select("id"), "id", "left_semi")
 
     keyed = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    shared = keyed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
+    # written first, so that the join shuffles both sides itself and adaptive execution can split a hot bucket
+    shared = materialize(keyed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1"), "shared")
     buckets = materialize(keyed.join(shared, ["bucket", "band"]), "buckets")
     wanted = buckets.select("id").distinct()
     bits = materialize(docs.join(wanted, "id", "left_semi").select("id", "bits", "bands"), "bits")
