@@ -156,6 +156,35 @@ def binary_predictions(features: DataFrame, model, predictors: Sequence[str], fi
     return out.unionByName(excluded, allowMissingColumns=True)
 
 
+def default_predictions(features: DataFrame, models: dict, predictors: Sequence[str]) -> DataFrame:
+    """Condition, then binge for the episodes not predicted Non, from models by design name.
+
+    Adds predicted_AlcNon and predicted_Binge (each only where its model is given), null for
+    episodes that a design's filters exclude.
+    """
+    out = features
+    for name in ("AlcNon", "Binge"):
+        if name not in models:
+            continue
+        design = DESIGNS[name]
+        rows = out if name == "AlcNon" or "AlcNon" not in models else out.where(F.coalesce("predicted_AlcNon", F.lit("")) != "Non")
+        rest = None if rows is out else out.where(F.coalesce("predicted_AlcNon", F.lit("")) == "Non")
+        got = binary_predictions(rows, models[name], predictors, design["filters"], design["truth"], design["labels"]).withColumnRenamed("predicted", f"predicted_{name}").drop("result")
+        out = got if rest is None else got.unionByName(rest, allowMissingColumns=True)
+    return out
+
+
+def outcome_text(predicted: str, probability: str):
+    """A sentence for one prediction and its probability."""
+    return F.format_string("Predicted %s with probability %.2f", F.col(predicted), F.col(probability))
+
+
+def binary_columns(metadata: DataFrame) -> list[str]:
+    """Columns with exactly two values, which may serve as outcomes."""
+    counts = metadata.agg(*[F.count_distinct(c).alias(c) for c in metadata.columns]).first()
+    return [c for c in metadata.columns if counts[c] == 2]
+
+
 def save(model, path: str) -> None:
     model.write().overwrite().save(path)
 
