@@ -19,6 +19,10 @@ from ethanode.llm.quality_rules import base_statistics
 FEATURES = ("words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "punct_ratio", "distinct_ratio", "bang_ratio", "pipe_ratio", "same_next_ratio", "mean_line", "long_ratio")
 
 
+#: The bounded training rows are fitted in so many partitions: each step of a fit is a job.
+FIT_PARTITIONS = 6
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of (feature, is_at_most, threshold) and its weight."""
@@ -79,7 +83,8 @@ def _paths(node, terms=()) -> list[tuple]:
 def fit_rules(labelled: DataFrame, label_col: str = "quality", trees: int = 20, depth: int = 3, lasso: float = 0.002, seed: int = 5) -> tuple[list[Rule], float]:
     """Rules with their weights, and the intercept, from rows with FEATURES and a 0/1 label."""
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = vector.transform(labelled.where(F.col(label_col).isin(0, 1)).withColumn("label", F.col(label_col).cast("double"))).persist()
+    rows = vector.transform(labelled.where(F.col(label_col).isin(0, 1)).withColumn("label", F.col(label_col).cast("double")))
+    rows = rows.repartition(FIT_PARTITIONS).persist()
     try:
         got = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
         n, ones = got["n"], got["ones"] or 0.0
