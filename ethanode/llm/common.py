@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, row), written: the columns of each row under a number of its own, whatever its id."""
+    row = F.struct(*[F.col(c) for c in dict.fromkeys(columns)])
+    return materialize(df.select(F.monotonically_increasing_id().alias("key"), row.alias("row")), "rows", "zstd")
+
+
 def words_column(text: Column) -> Column:
     """The words of a text, in order; none for a null text."""
     spaced = F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE[1:], " " * 5)

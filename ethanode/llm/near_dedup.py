@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethanode.llm.common import WordHashes, materialize, shingle_hashes
+from ethanode.llm.common import WordHashes, materialize, numbered, shingle_hashes
 from ethanode.llm.components import connected_components
 
 BITS = 4
@@ -80,8 +80,8 @@ def cutoff(threshold: float, n: int) -> float:
     return threshold - SLACK * math.sqrt(p * (1 - p) / n) / (1 - 2.0**-BITS)
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, class_a, class_b, n_shingles, bits, bands): one row per document; no class without words."""
+def sketches(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, doc, class_a, class_b, n_shingles, bits, bands) for each row of `texts` (id, text, doc); no class without words."""
 
     def sketch(batches):
         s = Sketcher(shingle, bands, rows)
@@ -99,10 +99,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, bands: int
                 out.append((a, b, len(got), packed_bits(minima), s.band_keys(minima)))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "class_a", "class_b", "n_shingles", "bits", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "doc", "class_a", "class_b", "n_shingles", "bits", "bands"])
 
-    rows_in = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(sketch, "id long, class_a long, class_b long, n_shingles long, bits binary, bands array<long>")
+    return texts.select("id", "text", "doc").mapInArrow(sketch, "id long, doc long, class_a long, class_b long, n_shingles long, bits binary, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -173,21 +172,14 @@ def _links_across(members: DataFrame, profiles: DataFrame, n_hashes: int, least:
     return dealt.where(F.exists("members", lambda m: m["asks"])).select("band", "members").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bands: int = 24, rows: int = 4) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each document.
-
-    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Documents are linked where
-    denominator * |intersection| >= numerator * |union| of their sets of distinct shingles;
-    one with fewer words than a shingle has its whole sequence as the only one. A null text,
-    or one without words, has an empty set and stays alone. component_id is the smallest id
-    reachable; kept says that it is the row's own. Ids must be unique; other columns of `df`
-    are not read.
-    """
+def _verdicts(texts: DataFrame, numerator: int, denominator: int, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, doc, n_shingles, component_id, kept) for each row of `texts` (id, text, doc): ids are unique, docs need not be."""
     threshold, n_hashes = numerator / denominator, bands * rows
-    docs = materialize(sketches(df, id_col, text_col, shingle, bands, rows), "sketches")
-    classes = docs.where("class_a is not null").groupBy("class_a", "class_b").agg(F.min("id").alias("rep"))
-    members = materialize(docs.where("class_a is not null").select("id", "class_a", "class_b").join(classes, ["class_a", "class_b"]).select("id", "rep"), "members")
-    reps = docs.join(members.where("id = rep").select("id"), "id", "left_semi")
+    docs = materialize(sketches(texts, shingle, bands, rows), "sketches")
+    first = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "id")).alias("first")
+    classes = docs.where("class_a is not null").groupBy("class_a", "class_b").agg(first).select("class_a", "class_b", F.col("first.id").alias("rep"), F.col("first.doc").alias("doc"))
+    classes = materialize(classes, "classes")
+    reps = docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
     keyed = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     # written first, so that the join shuffles both sides itself and adaptive execution can split a hot bucket
@@ -202,8 +194,7 @@ def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100,
             out = [s.shingles(t).astype("<u8").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "shingles"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(full_sets, "id long, shingles binary"), "sets")
+    sets = materialize(texts.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(full_sets, "id long, shingles binary"), "sets")
 
     least = cutoff(threshold, n_hashes)
     stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
@@ -226,7 +217,38 @@ def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100,
     known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
     parts = materialize(connected_components(known.unionByName(across)), "parts")
 
-    joined = members.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    return docs.select("id", "n_shingles").join(joined, "id", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept")
-    )
+    linked = classes.join(parts.select(F.col("id").alias("rep"), "component"), "rep")
+    least_row = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "class_a", "class_b", "rep")).alias("head")
+    heads = linked.select("rep", "component").join(linked.groupBy("component").agg(least_row), "component").select("rep", "head")
+    judged = classes.join(heads, "rep", "left").select("class_a", "class_b", F.when(F.col("head").isNull(), F.struct("doc", "rep")).otherwise(F.struct("head.doc", "head.rep")).alias("head"))
+    found = docs.select("id", "doc", "n_shingles", "class_a", "class_b").join(judged, ["class_a", "class_b"], "left")
+    alone = F.col("head").isNull()
+    return found.select("id", "doc", "n_shingles", F.when(alone, F.col("doc")).otherwise(F.col("head.doc")).alias("component_id"), (alone | (F.col("head.rep") == F.col("id"))).alias("kept"))
+
+
+def _texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select(F.col("key").alias("id"), F.col("row")[text_col].alias("text"), F.col("row")[id_col].cast("long").alias("doc"))
+
+
+def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bands: int = 24, rows: int = 4) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row.
+
+    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Rows are linked where
+    denominator * |intersection| >= numerator * |union| of their sets of distinct shingles;
+    one with fewer words than a shingle has its whole sequence as the only one. A null text,
+    or one without words, has an empty set and stays alone.
+
+    component_id is the smallest id of the group, null where all its rows have a null id; kept
+    holds for exactly one row of the group, one with that id. Rows are told apart by their
+    place, not by id: k repeated rows give k rows of one group, rows that share an id (or have
+    none) are linked by their texts alone. Other columns of `df` are not read.
+    """
+    found = _verdicts(_texts(numbered(df, [id_col, text_col]), id_col, text_col), numerator, denominator, shingle, bands, rows)
+    return found.select(F.col("doc").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bands: int = 24, rows: int = 4) -> DataFrame:
+    """`df` with the one row of each group that `near_duplicates` keeps; null and repeated ids are no exception."""
+    whole = numbered(df, df.columns)
+    found = _verdicts(_texts(whole, id_col, text_col), numerator, denominator, shingle, bands, rows)
+    return whole.join(found.where("kept").select(F.col("id").alias("key")), "key", "left_semi").select("row.*")

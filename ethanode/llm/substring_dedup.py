@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethanode.llm.common import WordHashes, materialize, mixed
+from ethanode.llm.common import WordHashes, materialize, mixed, numbered
 
 #: Words of an anchor's run.
 GRAM = 8
@@ -78,7 +78,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def profiles(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def profiles(texts: DataFrame, window: int) -> DataFrame:
     """(id, n_words, class_a, class_b, anchors): anchors hold a hash for each chosen place."""
 
     def profile(batches):
@@ -98,8 +98,7 @@ def profiles(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
                 found.append(_signed(grams[chosen_places(grams, least)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n_words", "class_a", "class_b", "anchors"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(profile, "id long, n_words long, class_a long, class_b long, anchors array<long>")
+    return texts.select("id", "text").mapInArrow(profile, "id long, n_words long, class_a long, class_b long, anchors array<long>")
 
 
 class Stretches:
@@ -200,14 +199,14 @@ def locate(window: int, confirmed: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(cols[0], pa.int64()), "first": pa.array(cols[1], pa.int64()), "last": pa.array(cols[2], pa.int64())})
 
 
-def repeated_passages(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, spans).
+def repeated_passages(texts: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame]:
+    """(documents, spans) of `texts` (id, text), ids unique.
 
     documents: id, n_words, rep (the document with the same words that stands for it).
     spans: rep id, first, last for every run of words that windows found elsewhere cover; they
     may overlap where shards meet. A document that has copies has its spans like all others.
     """
-    docs = materialize(profiles(df, id_col, text_col, window), "profiles")
+    docs = materialize(profiles(texts, window), "profiles")
     classes = docs.groupBy("class_a", "class_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = materialize(docs.select("id", "n_words", "class_a", "class_b").join(classes, ["class_a", "class_b"]).select("id", "n_words", "rep", "copies"), "members")
     reps = members.where("id = rep").select("id", "copies")
@@ -215,8 +214,7 @@ def repeated_passages(df: DataFrame, window: int = 35, id_col: str = "doc_id", t
     # written first, so that the join shuffles both sides itself and adaptive execution can split a hot anchor
     often = materialize(placed.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "often")
     hits = placed.join(often, "anchor").groupBy("id").agg(F.first("copies").alias("copies"), F.collect_set("anchor").alias("recurring"))
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hits = materialize(texts.join(hits, "id").select("id", "text", "recurring", "copies"), "hits")
+    hits = materialize(texts.select("id", "text").join(hits, "id").select("id", "text", "recurring", "copies"), "hits")
     found = hits.agg(F.sum(F.size("recurring"))).first()[0] or 0
     shards = max(1, -(-found // (SHARD_STRETCHES // 2)))
 
@@ -239,12 +237,15 @@ def drop_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_c
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; kept ones are joined by one space. A window
     repeats if its words also start anywhere else, in the same document included; windows are
     judged on the input. Null and wordless texts keep the empty text; those shorter than a
-    window lose nothing. Ids must be unique; other columns of `df` are not read.
+    window lose nothing. Rows are told apart by their place, not by id: each row comes out once
+    with its own text's words, and repeated rows, or rows that share an id or have none, count
+    as elsewhere for each other. Other columns of `df` are not read.
     """
-    members, spans = repeated_passages(df, window, id_col, text_col)
+    texts = numbered(df, [id_col, text_col]).select(F.col("key").alias("id"), F.col("row")[id_col].cast("long").alias("doc"), F.col("row")[text_col].alias("text"))
+    members, spans = repeated_passages(texts, window)
     per = spans.groupBy("rep").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = members.join(per, "rep", "left").select("id", "spans")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(joined, "id", "left").select("id", "text", "spans")
+    rows = texts.join(joined, "id", "left").select("doc", "text", "spans")
 
     def cut(batches):
         for batch in batches:
@@ -257,6 +258,6 @@ def drop_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_c
                     stay[s["first"] : s["last"]] = False
                 removed.append(int(len(words) - stay.sum()))
                 kept.append(b" ".join(w for w, k in zip(words, stay, strict=True) if k).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept_text"])
 
-    return rows.mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(cut, "doc long, n_words long, n_removed long, kept_text string").withColumnRenamed("doc", id_col)
