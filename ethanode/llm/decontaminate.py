@@ -63,6 +63,17 @@ class ItemIndex:
         return [(self.ids[o], self.sizes[o], int(n)) for o, n in zip(owners, shared, strict=True)]
 
 
+def _indexes(spark, benchmark: DataFrame, item_col: str, item_text_col: str, numerator: int, denominator: int, shingle: int):
+    """A broadcast index of each block of items."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    weight = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = max(1, -(-weight // (4 * BLOCK_SHINGLES)))
+    for block in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        held = [(r["item"], r["text"].encode()) for r in mine.toLocalIterator()]
+        yield spark.sparkContext.broadcast(ItemIndex(held, shingle, numerator, denominator))
+
+
 def contained_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", numerator: int = 80, denominator: int = 100, shingle: int = 5) -> DataFrame:
     """(id, item, n_item, n_shared): each document and test item of which it contains the share.
 
@@ -73,14 +84,8 @@ def contained_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the documents; repeated items and documents each count.
     """
     doc_kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    weight = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-weight // (4 * BLOCK_SHINGLES)))
     out = None
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        held = [(r["item"], r["text"].encode()) for r in mine.toLocalIterator()]
-        index = df.sparkSession.sparkContext.broadcast(ItemIndex(held, shingle, numerator, denominator))
+    for index in _indexes(df.sparkSession, benchmark, item_col, item_text_col, numerator, denominator, shingle):
 
         def search(batches, index=index):
             hashes = WordHashes()
@@ -101,6 +106,23 @@ def contained_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:
-    """`df` without the documents that contain a test item; rows with a null id stay."""
-    return df.join(contained_items(df, benchmark, id_col, text_col, **search).select(id_col).distinct(), id_col, "left_anti").select(df.columns)
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", numerator: int = 80, denominator: int = 100, shingle: int = 5) -> DataFrame:
+    """`df` without the rows that contain a test item, as in `contained_items`.
+
+    Each row is judged by its own text, whatever its id: clean rows with a null id stay, and
+    rows that share an id with a contaminated one do not go with it.
+    """
+    at = df.columns.index(text_col)
+    for index in _indexes(df.sparkSession, benchmark, item_col, item_text_col, numerator, denominator, shingle):
+
+        def clean(batches, index=index):
+            hashes = WordHashes()
+            for batch in batches:
+                stays = []
+                for text in batch.column(at).cast(pa.binary()).to_pylist():
+                    got = shingle_hashes(hashes.of((text or b"").lower().split()), shingle)
+                    stays.append(not any(denominator * shared >= numerator * size for _, size, shared in index.value.found_in(got)))
+                yield batch.filter(pa.array(stays, pa.bool_()))
+
+        df = df.mapInArrow(clean, df.schema)
+    return df

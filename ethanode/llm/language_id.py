@@ -17,6 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
 UNDETERMINED = "und"
@@ -208,15 +209,17 @@ def train(
     return langs, table
 
 
-def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """(id, lang_pred, score) per row: the likeliest language and its posterior probability.
 
-    A null text, or one without letters, gets `und` and score 0. Texts of any length are
+    `columns` of `df`, where given, come out in place of the id. A null text, or one without letters, gets `und` and score 0. Texts of any length are
     scored whole; ties go to the language that sorts first.
     """
     vocabulary = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     shared = df.sparkSession.sparkContext.broadcast(table)
-    kind = df.schema[id_col].dataType.simpleString()
+    columns = [id_col] if columns is None else list(columns)
+    rows_in = df.select(*columns, F.col(text_col).alias("__text"))
+    out = StructType([*rows_in.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     langs = list(langs)
 
     def score(batches):
@@ -225,8 +228,8 @@ def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str
         for batch in batches:
             if len(known) > _CACHE:
                 known, logs = {}, logs[:0]
-            rows = [(i, letter_words(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            new = list(set().union(*(w for _, w in rows)).difference(known))
+            rows = [letter_words(t) for t in batch.column(len(columns)).to_pylist()]
+            new = list(set().union(*rows).difference(known))
             known.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
             if new:
                 more = log_likelihoods(new, shared.value, vocabulary)
@@ -234,7 +237,7 @@ def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str
                 more[~letters] = np.nan
                 logs = np.vstack([logs, more])
             preds, scores = [], []
-            for _, words in rows:
+            for words in rows:
                 v = logs[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
                 v = v[~np.isnan(v[:, 0])] if len(langs) else v
                 if not len(v) or not langs:
@@ -245,6 +248,6 @@ def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str
                 best = int(total.argmax())
                 preds.append(langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return df.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, lang_pred string, score double")
+    return rows_in.mapInArrow(score, out)
