@@ -17,11 +17,14 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # A run is as long as it can be, so asking for the least length finds the same matches as dropping short ones after.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
-_IDENTIFIER = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9]+|[A-Za-z]+(?:[/_=-]+[A-Za-z]*)*|(?:[A-Za-z]+|[0-9]+)(?:[/_-](?:[A-Za-z]+|[0-9]+))+")
+_IDENTIFIER = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9]+(?:[+/_=-]+[0-9]*)*")
+#: Characters of the shortest run that is tested; shorter random strings are left to the fixed patterns.
+MIN_LENGTH = 20
 #: Characters per token under which a run counts as random.
 MAX_EFFICIENCY = 2.2
+#: The same for runs without a digit: long compounds of plain words come down to 2.0, random mixed-case letters hardly ever up to it.
+MAX_LETTERS_EFFICIENCY = 2.0
 
 
 @functools.lru_cache(maxsize=2)
@@ -33,6 +36,11 @@ def encoding(path: str):
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=8)
+def _runs(least: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_=-]{{{least},}}")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, by start and kind."""
     found = []
@@ -45,28 +53,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(text: str, vocabulary: str, max_efficiency: float = MAX_EFFICIENCY) -> list[tuple[int, int, int]]:
-    """Runs of 20 or more key characters that mix letters and digits and cost many tokens; digests of known lengths and identifiers (UUIDs, plain words, numbers and paths of them) are left out."""
+def random_spans(text: str, vocabulary: str, max_efficiency: float = MAX_EFFICIENCY, min_length: int = MIN_LENGTH) -> list[tuple[int, int, int]]:
+    """Runs of `min_length` or more key characters, letters alone included, that cost many tokens; digests of known lengths, UUIDs and numbers are left out."""
     found = []
-    for m in _RUN.finditer(text):
+    for m in _runs(min_length).finditer(text):
         run = m[0]
-        if _DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run):
-            continue
-        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+        if _DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run) or not re.search("[A-Za-z]", run):
             continue
         tokens = sum(len(encoding(vocabulary).encode_ordinary(run[i : i + 2000])) for i in range(0, len(run), 2000))
-        if len(run) < max_efficiency * tokens:
+        least = max_efficiency if re.search("[0-9]", run) else min(max_efficiency, MAX_LETTERS_EFFICIENCY)
+        if len(run) < least * tokens:
             found.append((m.start(), 3, m.end()))
     return found
 
 
-def scan(text: str | None, vocabulary: str, max_efficiency: float = MAX_EFFICIENCY) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: str | None, vocabulary: str, max_efficiency: float = MAX_EFFICIENCY, min_length: int = MIN_LENGTH) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans and all spans of a text, each by start, then kind."""
     if not text:
         return [], []
     base = base_spans(text)
-    # only a run of 20 characters without white space can hold a candidate
-    extra = random_spans(text, vocabulary, max_efficiency) if max(map(len, text.split()), default=0) >= 20 else []
+    # only a run of so many characters without white space can hold a candidate
+    extra = random_spans(text, vocabulary, max_efficiency, min_length) if max(map(len, text.split()), default=0) >= min_length else []
     return base, sorted(base + extra)
 
 
@@ -74,10 +81,11 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def find_secrets(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_efficiency: float = MAX_EFFICIENCY) -> DataFrame:
+def find_secrets(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_efficiency: float = MAX_EFFICIENCY, min_length: int = MIN_LENGTH) -> DataFrame:
     """(id, spans, base_spans): arrays of (start, kind, end) in code points, end exclusive.
 
-    A null text counts as empty and has none. Texts of any length are scanned whole.
+    A null text counts as empty and has none. Texts of any length are scanned whole. Random
+    strings shorter than `min_length` are found only where a fixed pattern has them.
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = df.schema[id_col].dataType.simpleString()
@@ -85,7 +93,7 @@ def find_secrets(df: DataFrame, vocabulary: str | None = None, id_col: str = "do
 
     def find(batches):
         for batch in batches:
-            both = [scan(t, vocabulary, max_efficiency) for t in batch.column(1).to_pylist()]
+            both = [scan(t, vocabulary, max_efficiency, min_length) for t in batch.column(1).to_pylist()]
             cols = [pa.array([[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in x[i]] for x in both], span) for i in (1, 0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, "spans", "base_spans"])
 
@@ -98,14 +106,14 @@ def written_column(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(df: DataFrame, vocabulary: str | None = None, text_col: str = "text", mark: str = "[SECRET]", max_efficiency: float = MAX_EFFICIENCY) -> DataFrame:
+def redact(df: DataFrame, vocabulary: str | None = None, text_col: str = "text", mark: str = "[SECRET]", max_efficiency: float = MAX_EFFICIENCY, min_length: int = MIN_LENGTH) -> DataFrame:
     """`df` with every span, overlapping ones joined, replaced by `mark`; other columns and null texts stay as they are."""
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     at = df.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:
         out, done = [], 0
-        for start, _, end in scan(text, vocabulary, max_efficiency)[1]:
+        for start, _, end in scan(text, vocabulary, max_efficiency, min_length)[1]:
             if end <= done:
                 continue
             if start >= done:
