@@ -11,6 +11,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,8 +124,8 @@ def distortions(df: DataFrame, predictors: Sequence[str], most: int = 9, seed: i
     """Within-cluster sums of squares for k = 1..most; k = 1 is the total."""
     rows = assembled(df, predictors).persist()
     try:
-        means = rows.select([F.avg(c).alias(c) for c in predictors]).first()
-        total = rows.agg(F.sum(sum((F.col(c) - means[c]) ** 2 for c in predictors))).first()[0]
+        spread = rows.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).first()["s"]
+        total = sum(spread["variance"]) * (spread["count"] - 1)
         return [float(total)] + [float(KMeans(k=k, seed=seed).fit(rows).summary.trainingCost) for k in range(2, most + 1)]
     finally:
         rows.unpersist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -591,21 +592,23 @@ def linreg_estimator(spark, sf):
     return neat(model.transform(df), "user_id", "mean", "peak", "prediction")
 
 
-def _vectors(spark, sf, dims: int = 8) -> DataFrame:
-    return recordings.table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(dims)])
+def _vectors(spark, sf) -> DataFrame:
+    """vec_id and vector: all entries of each embedding."""
+    entries = F.col("embedding").cast("array<double>")
+    return recordings.table(spark, sf, "embeddings").select("vec_id", F.when(F.forall(entries, lambda x: x.isNotNull()), array_to_vector(entries)).alias("vector"))
 
 
 @query()
 def pca_variance(spark, sf):
     df = _vectors(spark, sf)
-    shares = learning.explained_variance(df, df.columns[1:], 4)
+    shares = learning.explained_variance(df, ["vector"], 4)
     return spark.createDataFrame([(i, s) for i, s in enumerate(shares)], "component int, share double")
 
 
 @query()
 def kmeans_knee(spark, sf):
     df = _vectors(spark, sf)
-    return learning.clustered(df, df.columns[1:], most=6).select("vec_id", "cluster")
+    return learning.clustered(df, ["vector"]).select("vec_id", "cluster")
 
 
 @query()
