@@ -4,12 +4,17 @@ Each language has a probability for every piece of one fixed public vocabulary.
 probability of a word is the sum over all its segmentations into pieces (forward
 algorithm), learned by expectation-maximisation over the words of labelled documents; the
 probability of a text is the product over its words. Uniform prior over the languages.
+
+Words of a block walk the vocabulary's trie together, one character a step, and the sums run
+over the arcs so found, in logarithms: no word is too long and no probability too small.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,9 +27,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Longest word that takes part in training; longer ones are scored all the same.
-TRAIN_WORD = 40
-_CACHE = 300_000
+#: Characters of the words whose sums are taken at a time.
+BLOCK_CHARS = 200_000
+#: Words whose sums a task remembers, and the longest of them.
+_CACHE, _CACHED_LENGTH = 150_000, 64
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -33,7 +39,9 @@ def letter_words(text: str | None) -> list[str]:
 
 
 class Lattice:
-    """Pieces of the vocabulary that may stand in a word, and the places where they stand."""
+    """The letter pieces of the vocabulary as a trie, its steps in an open hash table."""
+
+    _MULTIPLIER, _BITS = np.uint64(0x9E3779B97F4A7C15), 19
 
     def __init__(self, vocabulary: str):
         import sentencepiece
@@ -44,42 +52,35 @@ class Lattice:
         self.size = len(names)
         self.ids = {p: i for i, p in enumerate(names) if p.removeprefix("▁").isalpha() or p == "▁"}
         self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.extra: dict[str, int] = {}
-
-    def row_of_char(self, ch: str) -> int:
-        """A row past the vocabulary for a character that only its UTF-8 bytes spell."""
-        return self.extra.setdefault(ch, self.size + len(self.extra))
-
-    def extend(self, table: np.ndarray) -> np.ndarray:
-        """`table` (pieces x languages) with the rows of the characters seen so far."""
-        if not self.extra:
-            return table
-        rows = [table[self.byte_ids[np.frombuffer(c.encode("utf-8", "replace"), np.uint8)]].prod(axis=0) for c in self.extra]
-        return np.vstack([table, rows])
-
-    def arcs(self, words: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """For words of one length: (from, to) -> (which words, which piece rows)."""
-        found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-        ids, prefixes, longest = self.ids, self.prefixes, self.longest
-        for at, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                single = False
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    part = word[i:j]
-                    if part not in prefixes:
-                        break
-                    if (row := ids.get(part)) is not None:
-                        single |= j == i + 1
-                        arc = found.setdefault((i, j), ([], []))
-                        arc[0].append(at)
-                        arc[1].append(row)
-                if not single:
-                    arc = found.setdefault((i, i + 1), ([], []))
-                    arc[0].append(at)
-                    arc[1].append(self.row_of_char(word[i]))
-        return {k: (np.array(a), np.array(b)) for k, (a, b) in found.items()}
+        prefixes = sorted({p[:k] for p in self.ids for k in range(len(p) + 1)}, key=len)
+        state = {p: s for s, p in enumerate(prefixes)}
+        self.piece = np.array([self.ids.get(p, -1) for p in prefixes], np.int32)
+        letters = {c: k for k, c in enumerate(sorted({c for p in self.ids for c in p}), 1)}
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.letters = np.int64(len(letters) + 1)
+        keys = np.array([state[p[:-1]] * int(self.letters) + letters[p[-1]] for p in prefixes[1:]], np.int64)
+        self.keys, self.next = np.full(1 << self._BITS, -1, np.int64), np.full(1 << self._BITS, -1, np.int32)
+        for key, slot, target in zip(keys.tolist(), self._slots(keys).tolist(), range(1, len(prefixes)), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self._BITS) - 1)
+            self.keys[slot], self.next[slot] = key, target
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self._MULTIPLIER) >> np.uint64(64 - self._BITS)).astype(np.int64)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states after one more letter; -1 where no piece goes on so."""
+        keys = state.astype(np.int64) * self.letters + letter
+        slots = self._slots(keys)
+        found, out = self.keys[slots], self.next[slots]
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & ((1 << self._BITS) - 1)
+            found[open_], out[open_] = self.keys[slots[open_]], self.next[slots[open_]]
+            open_ = open_[(found[open_] != keys[open_]) & (found[open_] >= 0)]
+        out[found != keys] = -1
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -87,66 +88,114 @@ def lattice(vocabulary: str) -> Lattice:
     return Lattice(vocabulary)
 
 
-def _by_length(words: list[str]) -> dict[int, list[str]]:
-    out: dict[int, list[str]] = {}
-    for w in words:
-        out.setdefault(len(w), []).append(w)
-    return out
+def blocks(words: list[str], chars: int = BLOCK_CHARS) -> Iterator[slice]:
+    """Slices of `words` of about so many characters each."""
+    lo = n = 0
+    for i, w in enumerate(words):
+        n += len(w) + 2
+        if n >= chars:
+            yield slice(lo, i + 1)
+            lo, n = i + 1, 0
+    if lo < len(words):
+        yield slice(lo, len(words))
+
+
+class Arcs:
+    """All pieces that stand in the words of a block, as arcs between places.
+
+    A word has a place before each of its characters (the first is the mark of a word's
+    start) and one after the last. A character that no piece spells has an arc of its own,
+    with a row past the vocabulary: the product of its UTF-8 bytes' pieces.
+    """
+
+    def __init__(self, words: list[str], lat: Lattice):
+        codes = np.frombuffer(("▁" + "▁".join(words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        word = np.repeat(np.arange(len(words)), lengths)
+        end = np.repeat(starts + lengths, lengths)
+        letter = lat.letter[codes]
+        at = np.arange(len(codes))
+        state = lat.step(np.zeros(len(codes), np.int32), letter)
+        lone = np.flatnonzero(lat.piece[state] < 0) if len(state) else at
+        lone = np.union1d(lone, np.flatnonzero(state < 0))
+        self.extra, which = np.unique(codes[lone], return_inverse=True)
+        begin, size, row = [lone], [np.ones(len(lone), np.int64)], [lat.size + which]
+        for d in range(1, lat.longest + 1):
+            if d > 1:
+                more = at + d - 1 < end[at]
+                at, state = at[more], state[more]
+                state = lat.step(state, letter[at + d - 1])
+            at, state = at[state >= 0], state[state >= 0]
+            if not len(at):
+                break
+            piece = lat.piece[state]
+            hit = piece >= 0
+            begin.append(at[hit])
+            size.append(np.full(hit.sum(), d))
+            row.append(piece[hit])
+        begin, self.d, self.row = np.concatenate(begin), np.concatenate(size), np.concatenate(row).astype(np.int64)
+        self.word = word[begin]
+        self.start = begin + self.word  # places: one more than characters in each word
+        self.end = self.start + self.d
+        self.places = len(codes) + len(words)
+        self.first, self.last = starts + np.arange(len(words)), starts + lengths + np.arange(len(words))
+        self.stride = lat.longest + 1
+
+    def steps(self, rank: np.ndarray) -> list[np.ndarray]:
+        """Arcs by ascending rank and length; within each step no two arcs of a word meet."""
+        key = rank * self.stride + self.d
+        order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """Log of the summed probability of all ways from a word's first place to each place; `logs`: rows x languages."""
+        out = np.full((self.places, logs.shape[1]), -np.inf)
+        out[self.first] = 0.0
+        for arcs in self.steps(self.end - self.first[self.word]):
+            end = self.end[arcs]
+            out[end] = np.logaddexp(out[end], out[self.start[arcs]] + logs[self.row[arcs]])
+        return out
+
+    def backward(self, logs: np.ndarray) -> np.ndarray:
+        """The same from each place to the word's last one."""
+        out = np.full((self.places, logs.shape[1]), -np.inf)
+        out[self.last] = 0.0
+        for arcs in self.steps(self.last[self.word] - self.start):
+            start = self.start[arcs]
+            out[start] = np.logaddexp(out[start], out[self.end[arcs]] + logs[self.row[arcs]])
+        return out
+
+
+def _with_extra(logs: np.ndarray, extra: np.ndarray, lat: Lattice) -> np.ndarray:
+    """`logs` with a row for each character that only its bytes spell."""
+    if not len(extra):
+        return logs
+    return np.vstack([logs, [logs[lat.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]].sum(axis=0) for c in extra.tolist()]])
 
 
 def log_likelihoods(words: list[str], table: np.ndarray, vocabulary: str) -> np.ndarray:
     """Natural log of each word's probability, summed over segmentations: words x languages."""
-    lat, out, place = lattice(vocabulary), np.zeros((len(words), table.shape[1])), {w: i for i, w in enumerate(words)}
-    for n, group in _by_length(["▁" + w for w in words]).items():
-        step = max(1, 2_000_000 // (n * n + 1))
-        for lo in range(0, len(group), step):
-            part = group[lo : lo + step]
-            arcs = lat.arcs(part)
-            probs = lat.extend(table)
-            ends: dict[int, list[int]] = {}
-            for i, j in arcs:
-                ends.setdefault(j, []).append(i)
-            alpha = {0: np.ones((len(part), table.shape[1]))}
-            scale = np.zeros_like(alpha[0])
-            for j in range(1, n + 1):
-                total = np.zeros_like(scale)
-                for i in ends.get(j, ()):
-                    at, rows = arcs[i, j]
-                    total[at] += alpha[i][at] * probs[rows]
-                alpha[j] = total
-                alpha.pop(j - lat.longest, None)
-                if j % 16 == 0:  # keep the window within the range of doubles
-                    top = np.maximum(functools.reduce(np.maximum, alpha.values()), 1e-300)
-                    scale += np.log(top)
-                    alpha = {k: a / top for k, a in alpha.items()}
-            logs = np.log(np.maximum(alpha[n], 1e-300)) + scale
-            out[[place[w[1:]] for w in part]] = logs
+    lat, logs, out = lattice(vocabulary), np.log(table), np.zeros((len(words), table.shape[1]))
+    for part in blocks(words):
+        arcs = Arcs(words[part], lat)
+        out[part] = arcs.forward(_with_extra(logs, arcs.extra, lat))[arcs.last]
     return out
 
 
 def expected_counts(words: list[str], weights: np.ndarray, probs: np.ndarray, vocabulary: str) -> np.ndarray:
     """Expected number of uses of each piece in the words, by forward and backward sums."""
-    lat = lattice(vocabulary)
-    counts, weight = np.zeros(lat.size), dict(zip(words, weights, strict=True))
-    for n, group in _by_length(["▁" + w for w in words]).items():
-        arcs = lat.arcs(group)
-        p = lat.extend(probs[:, None])[:, 0]
-        alpha, beta = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
-        alpha[0], beta[n] = 1, 1
-        for i, j in sorted(arcs):
-            at, rows = arcs[i, j]
-            alpha[j, at] += alpha[i, at] * p[rows]
-        for i, j in sorted(arcs, key=lambda x: (-x[1], -x[0])):
-            at, rows = arcs[i, j]
-            beta[i, at] += p[rows] * beta[j, at]
-        w = np.array([weight[x[1:]] for x in group])
-        for (i, j), (at, rows) in arcs.items():
-            use = w[at] * alpha[i, at] * p[rows] * beta[j, at] / np.maximum(alpha[n, at], 1e-300)
-            known = rows < lat.size
-            np.add.at(counts, rows[known], use[known])
-            for r, u in zip(rows[~known], use[~known], strict=True):
-                ch = list(lat.extra)[r - lat.size]
-                np.add.at(counts, lat.byte_ids[np.frombuffer(ch.encode("utf-8", "replace"), np.uint8)], u)
+    lat, logs = lattice(vocabulary), np.log(probs)[:, None]
+    counts = np.zeros(lat.size)
+    for part in blocks(words):
+        arcs = Arcs(words[part], lat)
+        all_logs = _with_extra(logs, arcs.extra, lat)
+        alpha, beta = arcs.forward(all_logs)[:, 0], arcs.backward(all_logs)[:, 0]
+        use = weights[part][arcs.word] * np.exp(alpha[arcs.start] + all_logs[arcs.row, 0] + beta[arcs.end] - alpha[arcs.last][arcs.word])
+        sums = np.bincount(arcs.row, use, lat.size + len(arcs.extra))
+        counts += sums[: lat.size]
+        for ch, n in zip(arcs.extra.tolist(), sums[lat.size :], strict=True):
+            np.add.at(counts, lat.byte_ids[list(chr(ch).encode("utf-8", "surrogatepass"))], n)
     return counts
 
 
@@ -163,7 +212,10 @@ def train(
     """Fit the piece probabilities; returns the languages and a pieces x languages table.
 
     The fit uses a bounded sample: about `rows_per_language` documents of each language,
-    chosen by a hash of `id_col`. Rows without a language or text are left out.
+    chosen by a hash of `id_col`; their words count whole, however long. Rows without a
+    language or text are left out; texts without a letter add nothing, and a language that
+    has only such texts keeps its name with equal probabilities. Repeated rows each count.
+    Without labels there are no languages.
     """
     vocabulary = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
@@ -181,10 +233,13 @@ def train(
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 mine = got.setdefault(lang, {})
                 for w in letter_words(text):
-                    if len(w) <= TRAIN_WORD:
-                        mine[w] = mine.get(w, 0) + 1
+                    mine[w] = mine.get(w, 0) + 1
+                if len(mine) > _CACHE:
+                    yield pd.DataFrame({"lang": lang, "word": list(mine), "n": list(mine.values())})
+                    got[lang] = {}
             for lang, mine in got.items():
-                yield pd.DataFrame({"lang": lang, "word": list(mine), "n": list(mine.values())})
+                if mine:
+                    yield pd.DataFrame({"lang": lang, "word": list(mine), "n": list(mine.values())})
 
     counted = rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     table = np.full((size, len(langs)), 1.0 / size)
@@ -201,7 +256,8 @@ def train(
 
             sums = counted.mapInPandas(expect, "lang string, piece int, c double").groupBy("lang", "piece").agg(F.sum("c").alias("c")).toPandas()  # at most pieces x languages rows
             counts = np.full((size, len(langs)), smoothing)
-            counts[sums["piece"], sums["lang"].map(langs.index)] += sums["c"]
+            if len(sums):
+                counts[sums["piece"], sums["lang"].map(langs.index)] += sums["c"]
             table = counts / counts.sum(axis=0)
             now.destroy()
     finally:
@@ -209,45 +265,71 @@ def train(
     return langs, table
 
 
+class Scorer:
+    """Log-likelihoods of texts under the languages of a table; remembers those of words."""
+
+    def __init__(self, table: np.ndarray, vocabulary: str):
+        self.table, self.vocabulary = table, vocabulary
+        self.known: dict[str, int] = {}
+        self.logs = np.zeros((0, table.shape[1]))
+
+    def sums(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """One vector per text; None for a text without letters."""
+        words = [letter_words(t) for t in texts]
+        if len(self.logs) > _CACHE:
+            self.known, self.logs = {}, self.logs[:0]
+        new = [w for w in dict.fromkeys(itertools.chain(*words)) if w not in self.known]
+        lettered = [w for w in new if any(map(str.isalpha, w))]  # signs like a superscript are no letters
+        self.known.update(dict.fromkeys(new, -1))
+        self.known.update(zip(lettered, itertools.count(len(self.logs))))
+        self.logs = np.vstack([self.logs, log_likelihoods(lettered, self.table, self.vocabulary)])
+        out = []
+        for row in words:
+            at = np.fromiter(map(self.known.__getitem__, row), np.int64, len(row))
+            at = at[at >= 0]
+            out.append(self.logs[at].sum(axis=0) if len(at) else None)
+        for w in new:
+            if len(w) > _CACHED_LENGTH:
+                del self.known[w]
+        return out
+
+
 def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """(id, lang_pred, score) per row: the likeliest language and its posterior probability.
 
-    `columns` of `df`, where given, come out in place of the id. A null text, or one without letters, gets `und` and score 0. Texts of any length are
-    scored whole; ties go to the language that sorts first.
+    `columns` of `df`, where given, come out in place of the id; of these, `lang_pred` and
+    `score` are replaced. A null text, one without letters, and every text where `langs` is
+    empty, gets `und` and score 0. Texts of any length are scored whole, a few at a time; ties
+    go to the language that sorts first. Repeated rows each come out.
     """
     vocabulary = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     shared = df.sparkSession.sparkContext.broadcast(table)
-    columns = [id_col] if columns is None else list(columns)
+    columns = [id_col] if columns is None else [c for c in columns if c not in ("lang_pred", "score")]
     rows_in = df.select(*columns, F.col(text_col).alias("__text"))
     out = StructType([*rows_in.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     langs = list(langs)
 
     def score(batches):
-        known: dict[str, int] = {}
-        logs = np.zeros((0, len(langs)))
+        scorer = Scorer(shared.value, vocabulary) if langs else None
         for batch in batches:
-            if len(known) > _CACHE:
-                known, logs = {}, logs[:0]
-            rows = [letter_words(t) for t in batch.column(len(columns)).to_pylist()]
-            new = list(set().union(*rows).difference(known))
-            known.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
-            if new:
-                more = log_likelihoods(new, shared.value, vocabulary)
-                letters = np.array([any(map(str.isalpha, w)) for w in new])
-                more[~letters] = np.nan
-                logs = np.vstack([logs, more])
+            texts = batch.column(len(columns))
             preds, scores = [], []
-            for words in rows:
-                v = logs[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
-                v = v[~np.isnan(v[:, 0])] if len(langs) else v
-                if not len(v) or not langs:
-                    preds.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                total = v.sum(axis=0)
-                best = int(total.argmax())
-                preds.append(langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+            lo = 0
+            while lo < len(texts):
+                hi, n, some = lo, 0, []
+                while hi < len(texts) and n < BLOCK_CHARS:
+                    some.append(texts[hi].as_py())
+                    n += len(some[-1] or "")
+                    hi += 1
+                lo = hi
+                for total in scorer.sums(some) if langs else [None] * len(some):
+                    if total is None:
+                        preds.append(UNDETERMINED)
+                        scores.append(0.0)
+                        continue
+                    best = int(total.argmax())
+                    preds.append(langs[best])
+                    scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
     return rows_in.mapInArrow(score, out)
