@@ -1,13 +1,12 @@
 """Packing of token sequences by the sum-of-squares rule.
 
-A document's tokens are cut into pieces of at most the capacity; every piece goes to the
-place (an open bin of some fill, or a new bin) that makes the sum of squares of the numbers
-of open bins, taken over the residual gaps, smallest.
+A document's tokens are cut into pieces of at most the capacity; every piece, the longest
+first, goes to the open bin that makes the sum of squares of the numbers of open bins, taken
+over the residual gaps, smallest.
 """
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 
 import numpy as np
@@ -25,11 +24,12 @@ GROUP_PIECES = 50_000
 
 
 class WordIds(dict):
-    """ASCII-lower-cased run of non-space bytes to its token ids, little-endian uint32.
+    """Run of bytes without ASCII white space to its token ids, little-endian uint32.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are those
-    of its runs. Runs of lower-case letters go straight to the BPE model; all others through
-    the whole tokenizer.
+    of its runs. Runs of lower-case letters that no normalisation changes go straight to the
+    BPE model, ASCII capitals through their lower case, letters before a full stop or comma
+    as two runs; all others through the whole tokenizer, as they are.
     """
 
     def __init__(self, path: str, bound: int = 400_000):
@@ -37,7 +37,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.bound = self.tokenizer.model, bound
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
@@ -50,23 +49,30 @@ class WordIds(dict):
         return value
 
     def _ids(self, run: bytes) -> bytes:
-        word = run.decode("utf-8", "replace")
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():  # punctuation is a token run of its own
-            return self[run[:-1]] + self[run[-1:]]
-        if word.isascii() and word.isalpha():
-            ids = [t.id for t in self.model.tokenize(word)]
-        elif word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
-            ids = [t.id for t in self.model.tokenize(run.decode("latin-1").translate(self.shown))]
+        body, stop = (run[:-1], run[-1:]) if len(run) > 1 and run[-1:] in (b".", b",") else (run, b"")
+        if body.isalpha():  # ASCII letters
+            low = body.lower()
+            if stop or low != body:
+                return self[low] + (self[stop] if stop else b"")
+            ids = [t.id for t in self.model.tokenize(low.decode())]
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            word = body.decode("utf-8", "replace")
+            if word.isalpha() and word == word.lower() and max(word) < "\u0250":  # old letters, on which all versions of Unicode agree; composed, as they are letters
+                if stop:
+                    return self[body] + self[stop]
+                ids = [t.id for t in self.model.tokenize(body.decode("latin-1").translate(self.shown))]
+            else:
+                ids = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
 
 def token_pieces(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) for each piece of each document.
 
-    A null text counts as empty; every document ends in `end_id`, so an empty one has one
-    piece of one token. Only documents longer than the capacity are cut.
+    The ids are those of the tokenizer as its file has it: a special token spelt out in a text
+    is one id. A null text counts as empty; every document ends in `end_id`, so an empty one
+    has one piece of one token. Only documents longer than the capacity are cut. Repeated rows
+    and rows without an id each have their pieces; other columns of `df` are not read.
     """
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     kind = df.schema[id_col].dataType.simpleString()
@@ -77,7 +83,7 @@ def token_pieces(df: DataFrame, tokenizer: str | None = None, capacity: int = CA
         for batch in batches:
             keys, rows, bodies = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                body = b"".join(map(ids_of, (text or b"").lower().split())) + end
+                body = b"".join(map(ids_of, (text or b"").split())) + end
                 for piece, at in enumerate(range(0, len(body), 4 * capacity)):
                     part = body[at : at + 4 * capacity]
                     keys.append(key)
@@ -96,36 +102,25 @@ def token_pieces(df: DataFrame, tokenizer: str | None = None, capacity: int = CA
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item, placed in the given order.
 
-    Ties go to the fullest bin that can take the item; a new bin comes last. Once the gaps
-    of the open bins could hold all that is left, the item goes to the fullest bin that can
-    take it: no further spread of gaps is of use then.
+    An item goes to the open bin that can take it for which the sum of squares of the numbers
+    of open bins, over all residual gaps, becomes smallest; a new bin is opened only where
+    none can take it. Ties go to the fullest bin.
     """
-    left, gaps = int(lengths.sum()), 0
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, np.int64)
-    fills, bins, offsets = np.arange(capacity + 1), np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     made = 0
     for k, s in enumerate(lengths.tolist()):
         level = 0
-        if s < capacity:
-            can = count[1 : capacity - s + 1]
-            used = np.flatnonzero(can) + 1
-            if len(used) and left <= gaps:
-                level = int(used[-1])
-            elif len(used):
-                after = np.where(used + s < capacity, 2 * count[used + s] + 1, 0)
-                change = after - 2 * count[used] + 1
-                best = change.min()
-                if best <= 2 * count[s] + 1:
-                    level = int(fills[used[np.flatnonzero(change == best)[-1]]])
-        if level:
+        used = np.flatnonzero(count[1 : capacity - s + 1]) + 1
+        if len(used):
+            change = np.where(used + s < capacity, 2 * count[used + s] + 1, 0) - 2 * count[used] + 1
+            level = int(used[np.flatnonzero(change == change.min())[-1]])
             b = open_bins[level].pop()
             count[level] -= 1
         else:
             b, made = made, made + 1
         bins[k], offsets[k] = b, level
-        left -= s
-        gaps += -s if level else capacity - s
         if level + s < capacity:
             open_bins[level + s].append(b)
             count[level + s] += 1
@@ -144,11 +139,13 @@ def pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """`pieces` with sequence_id and offset.
 
-    Pieces are dealt by hash to groups of about `group_pieces`; each group is packed on its
-    own, so the work per task stays bounded. No row is dropped; equal rows are equal items.
+    `pieces` is a written table: its rows are dealt by a hash of their place in it, so that
+    rows with one id, or with none, spread like all others, to groups of about `group_pieces`;
+    each group is packed on its own, so the work per task stays bounded. No row is dropped;
+    equal rows are equal items.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     out = f"{dealt._jdf.schema().toDDL()}, sequence long, offset long"
 
     def packed_group(group: pd.DataFrame) -> pd.DataFrame:
