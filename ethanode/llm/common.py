@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethanode.scratch import materialize  # noqa: F401  (part of this module's interface)
+from ethanode.scratch import bucketed, discard, materialize  # noqa: F401  (part of this module's interface)
 
 #: The six ASCII characters between words; a word is a run of anything else.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(key, row), written: the columns of each row under a number of its own, whatever its id."""
+    """(key, row), written in buckets of the key: the columns of each row under a number of its own, whatever its id."""
     row = F.struct(*[F.col(c) for c in dict.fromkeys(columns)])
-    return materialize(df.select(F.monotonically_increasing_id().alias("key"), row.alias("row")), "rows", "zstd")
+    return bucketed(df.select(F.monotonically_increasing_id().alias("key"), row.alias("row")), "key", "rows", "zstd")
 
 
 def words_column(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethanode.llm.common import materialize
+from ethanode.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,8 +15,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     (large star, then small star); nothing is gathered per node, so hot nodes are only long
     groups of an aggregation. Self loops, repeated and reversed edges change nothing.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    ids = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    given = edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
@@ -24,11 +23,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialize(small, "stars")
+        last, edges = edges, materialize(small, "stars")
+        if last is not given:
+            discard(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    return ids.join(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    ids = given.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    out = ids.join(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    out = materialize(out, "components")
+    discard(given, edges)
+    return out

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethanode.llm.common import WordHashes, materialize, numbered, shingle_hashes
+from ethanode.llm.common import WordHashes, bucketed, discard, materialize, numbered, shingle_hashes
 from ethanode.llm.components import connected_components
 
 BITS = 4
@@ -101,7 +101,8 @@ def sketches(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "doc", "class_a", "class_b", "n_shingles", "bits", "bands"])
 
-    return texts.select("id", "text", "doc").mapInArrow(sketch, "id long, doc long, class_a long, class_b long, n_shingles long, bits binary, bands array<long>")
+    kind = texts.schema["doc"].dataType.simpleString()
+    return texts.select("id", "text", "doc").mapInArrow(sketch, f"id long, doc {kind}, class_a long, class_b long, n_shingles long, bits binary, bands array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -130,11 +131,13 @@ def _links_across(members: DataFrame, profiles: DataFrame, n_hashes: int, least:
     that of its first band; what passes the estimate is confirmed on the full sets, the best
     first, until one member asked is linked with the other component.
     """
+    members = materialize(members, "members")
     per = members.groupBy("bucket", "band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles") + 300).alias("w"))
     rank = F.struct("n", -F.col("component"))
     sizes = per.groupBy("bucket", "band").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", rank).alias("largest"), F.max_by("w", rank).alias("lw")).where("kinds > 1")
     blocks, chunks = (F.ceil(F.col(c) / BLOCK_BYTES).cast("int") for c in ("total", "asked"))
     sizes = sizes.withColumn("asked", F.col("total") - F.col("lw")).select("bucket", "band", "largest", blocks.alias("blocks"), chunks.alias("chunks"))
+    sizes = materialize(sizes, "sizes")  # so that the join shuffles both sides itself and adaptive execution can split a hot bucket
     rows = members.drop("n_shingles").join(sizes, ["bucket", "band"]).withColumn("minor", F.col("component") != F.col("largest"))
     columns = ("bucket", "band", "block", "chunk", "id", "component", "minor", "asks")
     block, chunk = (F.pmod(F.xxhash64(F.lit(k), "id"), F.col(c)).cast("int") for k, c in ((1, "blocks"), (2, "chunks")))
@@ -169,13 +172,15 @@ def _links_across(members: DataFrame, profiles: DataFrame, n_hashes: int, least:
 
     whole = held.unionByName(asking).join(profiles, "id")
     dealt = whole.groupBy("bucket", "band", "block", "chunk").agg(F.collect_list(F.struct("id", "component", "minor", "asks", "bits", "bands", "shingles")).alias("members"))
-    return dealt.where(F.exists("members", lambda m: m["asks"])).select("band", "members").mapInArrow(compare, "a long, b long")
+    links = materialize(dealt.where(F.exists("members", lambda m: m["asks"])).select("band", "members").mapInArrow(compare, "a long, b long"), "across")
+    discard(members, sizes)
+    return links
 
 
 def _verdicts(texts: DataFrame, numerator: int, denominator: int, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, doc, n_shingles, component_id, kept) for each row of `texts` (id, text, doc): ids are unique, docs need not be."""
+    """(id, doc, n_shingles, component_id, kept) for each row of `texts` (id, text, doc), a table in buckets of id: ids are unique, docs need not be."""
     threshold, n_hashes = numerator / denominator, bands * rows
-    docs = materialize(sketches(texts, shingle, bands, rows), "sketches")
+    docs = bucketed(sketches(texts, shingle, bands, rows), "id", "sketches", placed=True)
     first = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "id")).alias("first")
     classes = docs.where("class_a is not null").groupBy("class_a", "class_b").agg(first).select("class_a", "class_b", F.col("first.id").alias("rep"), F.col("first.doc").alias("doc"))
     classes = materialize(classes, "classes")
@@ -185,8 +190,8 @@ def _verdicts(texts: DataFrame, numerator: int, denominator: int, shingle: int,
     # written first, so that the join shuffles both sides itself and adaptive execution can split a hot bucket
     shared = materialize(keyed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1"), "shared")
     buckets = materialize(keyed.join(shared, ["bucket", "band"]), "buckets")
-    wanted = buckets.select("id").distinct()
-    bits = materialize(docs.join(wanted, "id", "left_semi").select("id", "bits", "bands"), "bits")
+    wanted = materialize(buckets.select("id").distinct(), "wanted")
+    bits = bucketed(docs.join(wanted, "id", "left_semi").select("id", "bits", "bands"), "id", "bits", placed=True)
 
     def full_sets(batches):
         s = Sketcher(shingle, bands, rows)
@@ -194,7 +199,8 @@ def _verdicts(texts: DataFrame, numerator: int, denominator: int, shingle: int,
             out = [s.shingles(t).astype("<u8").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "shingles"])
 
-    sets = materialize(texts.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(full_sets, "id long, shingles binary"), "sets")
+    sets = bucketed(texts.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(full_sets, "id long, shingles binary"), "id", "sets", placed=True)
+    discard(shared, wanted)
 
     least = cutoff(threshold, n_hashes)
     stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
@@ -211,23 +217,26 @@ def _verdicts(texts: DataFrame, numerator: int, denominator: int, shingle: int,
     likely = stars.join(left, "a").join(right, "b").select("a", "b", "bits_a", "bits_b").mapInArrow(pass_estimate, "a long, b long")
     tested = materialize(_confirm(likely, sets, numerator, denominator), "tested")
 
-    parts = materialize(connected_components(tested.where("ok").select("a", "b")), "parts")
+    parts = connected_components(tested.where("ok").select("a", "b"))
     placed = buckets.where("n > 2").select("bucket", "band", "id", "n_shingles").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))  # the only pair of a bucket of two is tested
-    across = materialize(_links_across(placed, bits.join(sets, "id"), n_hashes, least, numerator, denominator), "across")
+    across = _links_across(placed, bits.join(sets, "id"), n_hashes, least, numerator, denominator)
+    discard(bits, sets, buckets, tested)
     known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    parts = materialize(connected_components(known.unionByName(across)), "parts")
+    first_parts, parts = parts, connected_components(known.unionByName(across))
+    discard(first_parts, across)
 
     linked = classes.join(parts.select(F.col("id").alias("rep"), "component"), "rep")
     least_row = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "class_a", "class_b", "rep")).alias("head")
     heads = linked.select("rep", "component").join(linked.groupBy("component").agg(least_row), "component").select("rep", "head")
     judged = classes.join(heads, "rep", "left").select("class_a", "class_b", F.when(F.col("head").isNull(), F.struct("doc", "rep")).otherwise(F.struct("head.doc", "head.rep")).alias("head"))
+    judged = materialize(judged, "judged")  # a hot class is split, as above
     found = docs.select("id", "doc", "n_shingles", "class_a", "class_b").join(judged, ["class_a", "class_b"], "left")
     alone = F.col("head").isNull()
     return found.select("id", "doc", "n_shingles", F.when(alone, F.col("doc")).otherwise(F.col("head.doc")).alias("component_id"), (alone | (F.col("head.rep") == F.col("id"))).alias("kept"))
 
 
 def _texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select(F.col("key").alias("id"), F.col("row")[text_col].alias("text"), F.col("row")[id_col].cast("long").alias("doc"))
+    return rows.select(F.col("key").alias("id"), F.col("row")[text_col].alias("text"), F.col("row")[id_col].alias("doc"))
 
 
 def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bands: int = 24, rows: int = 4) -> DataFrame:
@@ -241,7 +250,8 @@ def near_duplicates(df: DataFrame, numerator: int = 80, denominator: int = 100,
     component_id is the smallest id of the group, null where all its rows have a null id; kept
     holds for exactly one row of the group, one with that id. Rows are told apart by their
     place, not by id: k repeated rows give k rows of one group, rows that share an id (or have
-    none) are linked by their texts alone. Other columns of `df` are not read.
+    none) are linked by their texts alone. Ids may be of any type that has an order. Other
+    columns of `df` are not read.
     """
     found = _verdicts(_texts(numbered(df, [id_col, text_col]), id_col, text_col), numerator, denominator, shingle, bands, rows)
     return found.select(F.col("doc").alias(id_col), "n_shingles", "component_id", "kept")
