@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ethanode.llm.common import materialize
+
 #: (rule, verdict): host, then the path's beginning.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_seen")
@@ -81,39 +83,80 @@ def lexical(rows: DataFrame) -> DataFrame:
     })
 
 
-def with_suffix_statistics(rows: DataFrame, statistics: DataFrame) -> DataFrame:
-    return rows.join(statistics, "suffix", "left").withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(0.5)), "suffix_seen": F.coalesce("suffix_seen", F.lit(0.0))})
+#: Labelled urls learn the statistics of suffixes from the other folds.
+FOLDS = 5
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, fold, b, n), written: blocked and all labelled urls of a suffix; fold -1 has the sums of all folds.
+
+    Written, so that a join on it shuffles both sides itself and a hot suffix can be split.
+    """
+    per = labelled.groupBy("suffix", "fold").agg(F.sum("label").alias("b"), F.count(F.lit(1)).cast("double").alias("n"))
+    total = per.groupBy("suffix").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).withColumn("fold", F.lit(-1))
+    return materialize(per.unionByName(total), "suffixes")
+
+
+def with_suffix_statistics(rows: DataFrame, counts: DataFrame, own_fold: bool = False) -> DataFrame:
+    """`rows` with suffix_rate (share of blocked urls, smoothed) and suffix_seen (log of the labelled ones).
+
+    With `own_fold` a row's statistics are those of the folds other than its own, so that
+    its own label has no part in them.
+    """
+    total = counts.where("fold = -1").select("suffix", F.col("b").alias("__b"), F.col("n").alias("__n"))
+    rows = rows.join(total, "suffix", "left")
+    b, n = F.coalesce("__b", F.lit(0.0)), F.coalesce("__n", F.lit(0.0))
+    if own_fold:
+        mine = counts.where("fold >= 0").select("suffix", "fold", F.col("b").alias("__ob"), F.col("n").alias("__on"))
+        rows = rows.join(mine, ["suffix", "fold"], "left")
+        b, n = b - F.coalesce("__ob", F.lit(0.0)), n - F.coalesce("__on", F.lit(0.0))
+    return rows.withColumns({"suffix_rate": (b + 1) / (n + 2), "suffix_seen": F.log1p(n)})
+
+
+def with_labels(rows: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of `parsed` that a rule fits, with label (1: block) and the fold of their url."""
+    labelled = rows.where("rule is not null")
+    return labelled.withColumns({"label": (verdict_of(F.col("rule"), rules) == "block").cast("double"), "fold": F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).cast("int")})
+
+
+def fit_trees(labelled: DataFrame, counts: DataFrame, share: float = 1.0, trees: int = 10, depth: int = 4, seed: int = 11) -> GBTClassificationModel:
+    """Boosted trees on a `share` of the labelled rows, chosen by a hash of the url."""
+    chosen = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, share)) + 1
+    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    sample = vector.transform(with_suffix_statistics(lexical(labelled.where(chosen)), counts, own_fold=True)).select("features", "label").persist()
+    try:
+        return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32).fit(sample)
+    finally:
+        sample.unpersist()
+
+
+def scored(rows: DataFrame, model: GBTClassificationModel, counts: DataFrame) -> DataFrame:
+    """`rows` with block_score, the trees' probability of `block`."""
+    out = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffix_statistics(lexical(rows), counts)))
+    return out.withColumn("block_score", vector_to_array("probability")[1])
 
 
 def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, train_rows: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 11) -> DataFrame:
     """(id, host, path, rule, verdict, block_score) for each row.
 
     Labelled urls are those that a rule fits. Statistics of suffixes (share of blocked ones,
-    smoothed, and the log of the number labelled) cover all of them; the trees are fitted on
-    at most about `train_rows`, chosen by a hash of the url. A url that no rule fits, null
-    ones included, gets `block` where the trees give it a probability over one half. If the
-    labelled urls show one verdict only, the rest get that one; if there are none, `allow`.
+    smoothed, and the log of the number labelled) cover all of them, for a labelled url those
+    of the other folds; the trees are fitted on at most about `train_rows`, chosen by a hash
+    of the url. A url that no rule fits, null ones included, gets `block` where the trees give
+    it a probability over one half. If the labelled urls show one verdict only, the rest get
+    that one; if there are none, `allow`. Repeated rows each come out; other columns of `df`
+    are not read.
     """
     rows = parsed(df, id_col, url_col, rules)
-    labelled = rows.where("rule is not null").withColumn("label", (verdict_of(F.col("rule"), rules) == "block").cast("double"))
-    counts = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).first()
-    n, blocked = counts["n"], counts["blocked"] or 0.0
+    labelled = with_labels(rows, rules)
+    totals = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).first()
+    n, blocked = totals["n"], totals["blocked"] or 0.0
     own = verdict_of(F.col("rule"), rules)
     if n == 0 or blocked in (0, n):
         rest = F.lit("block" if n and blocked == n else "allow")
         out = rows.withColumns({"verdict": F.coalesce(own, rest), "block_score": F.lit(None).cast("double")})
         return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "block_score")
-
-    statistics = labelled.groupBy("suffix").agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")).select("suffix", ((F.col("b") + 1) / (F.col("n") + 2)).alias("suffix_rate"), F.log1p(F.col("n").cast("double")).alias("suffix_seen"))
-    chosen = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_rows / n)) + 1
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    sample = vector.transform(with_suffix_statistics(lexical(labelled.where(chosen)), statistics)).select("features", "label").persist()
-    try:
-        model: GBTClassificationModel = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32).fit(sample)
-    finally:
-        sample.unpersist()
-    scored = model.transform(vector.transform(with_suffix_statistics(lexical(rows), statistics)))
-    score = vector_to_array("probability")[1]
-    return scored.select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(own, F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("block_score")
-    )
+    counts = suffix_counts(labelled)
+    model = fit_trees(labelled, counts, train_rows / n, trees, depth, seed)
+    verdict = F.coalesce(own, F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
+    return scored(rows, model, counts).select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_score")
