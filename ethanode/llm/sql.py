@@ -29,10 +29,12 @@ ORACLE_SQL: dict[str, str] = {
  g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w WHERE len(w) >= 3)),
  r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE c > 1) GROUP BY doc_id),
  s AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
  f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
- h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
- m AS (SELECT avg(k / n) AS m, var_samp(k / n) AS v FROM h), z AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 2.0 END AS z FROM m),
- q AS (SELECT source, (k + greatest(m * z, 1e-6)) / (n + greatest(m * z, 1e-6) + greatest((1 - m) * z, 1e-6)) AS rate FROM h, z)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate > 0.8, false) AS kept FROM f LEFT JOIN q USING (source)""",
+ u AS (UNPIVOT (SELECT source, CAST(n_words < 50 AS INTEGER) AS short, CAST(100 * n_repeat_words > 50 * n_words AS INTEGER) AS repeats, CAST(10 * n_symbols > n_words AS INTEGER) AS signs,
+  CAST(10 * n_dup_lines > 3 * n_lines AS INTEGER) AS lines, CAST(word_chars < 2 * n_words OR word_chars > 15 * n_words AS INTEGER) AS words FROM f WHERE source IS NOT NULL) ON short, repeats, signs, lines, words INTO NAME rule VALUE bad),
+ h AS (SELECT source, rule, count(*) AS n, sum(bad) AS k FROM u GROUP BY ALL), m AS (SELECT rule, avg(k / n) AS m, var_samp(k / n) AS v FROM h GROUP BY rule),
+ z AS (SELECT rule, greatest(m * z, 1e-6) AS a, greatest((1 - m) * z, 1e-6) AS b FROM (SELECT *, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 2.0 END AS z FROM m)),
+ q AS (SELECT source, max((k + a) / (n + a + b)) AS rate FROM h JOIN z USING (rule) GROUP BY source)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept FROM f LEFT JOIN q USING (source)""",
 }
