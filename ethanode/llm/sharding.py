@@ -38,19 +38,22 @@ def _ranked(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column
 
 
 def interleave(df: DataFrame, shards: int = 24, id_col: str = "doc_id", stratum_col: str = "source", seed: int = 17) -> DataFrame:
-    """`df` with shard (from 0) and slot (gapless from 0 in each shard).
+    """`df` with shard (from 0) and slot (gapless from 0 in each shard); columns of these names are replaced.
 
-    Shards' row counts differ by one at most, and so, give or take one row, do the counts of
-    each stratum. Rows without a stratum are one of their own. Equal rows are told apart by
-    nothing and may trade places. An empty table gives an empty table.
+    Shards' row counts differ by one at most, and so, give or take two rows, do the counts of
+    each stratum. Fractional ranks of a stratum start at an offset hashed from its name, so
+    that many small strata spread over all shards. Rows without a stratum are one of their
+    own. The shuffle hashes a row's id and its place in the input, so that rows with one id,
+    or with none, spread like all others. An empty table gives an empty table.
     """
+    df = df.drop("shard", "slot")
     total = df.count()
     strata = df.groupBy(F.col(stratum_col).alias("__stratum")).agg(F.count(F.lit(1)).alias("__size"))
-    rows = df.withColumns({"__stratum": F.col(stratum_col), "__hash": seeded_hash(seed, F.col(id_col))})
+    rows = df.withColumns({"__stratum": F.col(stratum_col), "__hash": seeded_hash(seed, F.col(id_col), F.monotonically_increasing_id())})
     sized = materialize(rows.join(F.broadcast(strata) if strata.limit(10_001).count() <= 10_000 else strata, rows["__stratum"].eqNullSafe(strata["__stratum"])).drop(strata["__stratum"]), "sized")
     buckets = F.greatest(F.ceil(F.col("__size") / RANK_ROWS), F.lit(1))
     ranked = _ranked(sized, ["__stratum"], F.floor(F.col("__hash") * buckets / F.lit(float(_HASHES))), [F.col("__hash"), F.col(id_col)], "__rank")
-    ranked = materialize(ranked.withColumn("__fraction", (2 * F.col("__rank") + 1) / (2.0 * F.col("__size"))), "ranked")
+    ranked = materialize(ranked.withColumn("__fraction", (F.col("__rank") + seeded_hash(seed, F.col("__stratum")) / F.lit(float(_HASHES))) / F.col("__size")), "ranked")
     parts = max(1, -(-total // RANK_ROWS))
     order = [F.col("__fraction"), F.col("__hash"), F.col(id_col)]
     placed = _ranked(ranked.withColumn("__all", F.lit(0)), ["__all"], F.floor(F.col("__fraction") * parts), order, "__place")
