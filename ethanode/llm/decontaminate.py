@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ethanode.llm.common import WordHashes, shingle_hashes
 
@@ -81,9 +82,10 @@ def contained_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased); fewer words than a shingle make one shingle of
     all, for items as for documents. Null and wordless texts contain nothing and are contained
     nowhere. The items are taken in blocks of bounded size, each broadcast to one pass over
-    the documents; repeated items and documents each count.
+    the documents; repeated items and documents each count. Ids may be of any type, or null.
     """
     doc_kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for index in _indexes(df.sparkSession, benchmark, item_col, item_text_col, numerator, denominator, shingle):
 
@@ -98,10 +100,9 @@ def contained_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             keys.append(key)
                             rows.append((item, size, shared))
                 cols = list(zip(*rows, strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, item_col, "n_item", "n_shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(cols[0], item_arrow), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[id_col, item_col, "n_item", "n_shared"])
 
-        found = df.select(F.col(id_col), F.col(text_col)).mapInArrow(search, f"`{id_col}` {doc_kind}, `{item_col}` long, n_item long, n_shared long")
-        found = found.withColumn(item_col, F.col(item_col).cast(item_kind))
+        found = df.select(F.col(id_col), F.col(text_col)).mapInArrow(search, f"`{id_col}` {doc_kind}, `{item_col}` {item_kind}, n_item long, n_shared long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -38,8 +38,8 @@ class Rule:
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """`df` with the features, 0 throughout for null and wordless texts."""
-    columns = df.columns
+    """`df` with the features, which replace columns of their names; 0 throughout for null and wordless texts."""
+    columns = [c for c in df.columns if c not in FEATURES]
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = base_statistics(df.withColumn("__t", text), text_col)
     words = words_column(F.col("__t"))
@@ -120,12 +120,15 @@ def train_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """(id, score) for every document; score is the probability that its label is 1.
 
     `labels` has the ids and labels to learn from. The fit uses a bounded sample, about
-    `train_rows` of them chosen by a hash of the id; labels that are null or not 0 or 1 are
-    left out. Without labels the score is 0.5; null and wordless texts get a score like all.
+    `train_rows` of them chosen by a hash of the id; labels that are null or not 0 or 1, and
+    ids with both labels, are left out, repeated labels count once. Without labels the score is
+    0.5; null and wordless texts get a score like all. Repeated rows each come out; other
+    columns of `docs` are not read.
     """
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where(F.col("__label").isin(0, 1)).dropDuplicates(["__id"])
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where(F.col("__label").isin(0, 1))
+    known = known.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most")).where("__label = __most").drop("__most")
     n = known.count()
     chosen = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_rows / max(n, 1))) + 1)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rules, intercept = fit_rules(statistics(rows.join(chosen, "__id"), "__text"), "__label")
+    rules, intercept = fit_rules(statistics(rows.join(F.broadcast(chosen), "__id"), "__text"), "__label")
     return statistics(rows, "__text").select(F.col("__id").alias(id_col), score_column(rules, intercept).alias("score"))

@@ -60,7 +60,7 @@ def random_spans(text: str, vocabulary: str, max_efficiency: float = MAX_EFFICIE
         run = m[0]
         if _DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run) or not re.search("[A-Za-z]", run):
             continue
-        tokens = sum(len(encoding(vocabulary).encode_ordinary(run[i : i + 2000])) for i in range(0, len(run), 2000))
+        tokens = len(encoding(vocabulary).encode_ordinary(run))
         least = max_efficiency if re.search("[0-9]", run) else min(max_efficiency, MAX_LETTERS_EFFICIENCY)
         if len(run) < least * tokens:
             found.append((m.start(), 3, m.end()))
