@@ -33,14 +33,14 @@ def crc_of_id(doc_id: Column) -> Column:
 
 
 class WordHashes(dict):
-    """Word bytes to 64-bit hash, remembered up to a bound."""
+    """Word bytes to 64-bit hash, one for each seed, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 400_000, seed: int = 0):
         super().__init__()
-        self.bound = bound
+        self.bound, self.seed = bound, seed
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(self) >= self.bound:
             self.clear()
         self[word] = value

@@ -1,23 +1,26 @@
-"""Repeated passages across documents, found by anchors and located by phrase automata.
+"""Repeated passages across documents, confirmed by window and located by phrase automata.
 
 A window is a run of `window` words. Each window's anchor is the least hash of the shorter
 runs in it, so equal windows have equal anchors. Steps:
 
 1. Equal word sequences are one class; one document stands for each.
 2. Anchors are counted over all classes; only windows whose anchor recurs can recur.
-3. Those windows are counted by 128 bits (shard of the anchor and hash); what is found twice
-   is confirmed.
-4. Shards of anchors get the confirmed hashes and the stretches of text around their anchors.
-   A shard's confirmed phrases are compiled into an Aho-Corasick automaton over word numbers,
-   and its stretches stream through to locate every occurrence.
-5. The words covered are removed from the documents.
-
-Shards grow in number with the input; one with many stretches is split, so neither a common
-passage nor a common anchor makes a long task.
+3. Those windows are counted by 128 bits of hash; what is found twice is confirmed, and one
+   place of it is kept.
+4. The words at these places are the phrases. They go to shards by their anchors, and so do the
+   stretches of text around recurring anchors: all text in which a shard's phrases can stand.
+5. Each shard's phrases are compiled into Aho-Corasick automata over its words, and its
+   stretches stream through to locate every occurrence, by the words themselves.
+6. The words covered are removed from the documents.
+
+Shards grow in number with the phrases; one with much text is split by bytes, and the
+automata hold a bounded number of phrases each, so neither a common passage nor a common
+anchor makes a long task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,12 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethanode.llm.common import WordHashes, materialize, mixed, numbered
+from ethanode.llm.common import WordHashes, bucketed, discard, materialize, mixed, numbered
 
 #: Words of an anchor's run.
 GRAM = 8
-#: Stretches of text in one task of a shard, about.
-SHARD_STRETCHES = 10_000
+#: Phrases of one automaton (a node for each word of a phrase), and of one shard, about.
+AUTOMATON_PHRASES = 8_000
+#: Bytes of text that one task of a shard streams, about.
+PART_BYTES = 8_000_000
+#: Windows that a task sends on at a time, about.
+EMITTED = 50_000
 
 
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
@@ -101,134 +108,149 @@ def profiles(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(profile, "id long, n_words long, class_a long, class_b long, anchors array<long>")
 
 
-class Stretches:
-    """The windows of one text whose anchor recurs."""
+def _candidates(h: np.ndarray, recurring: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, anchors) of the windows whose anchor recurs."""
+    least = _signed(anchors(h, window)[1])
+    starts = np.flatnonzero(np.isin(least, recurring))
+    return starts, least[starts]
 
-    def __init__(self, words: list[bytes], recurring: np.ndarray, hashes: WordHashes, window: int, shards: int):
-        h = hashes.of(words)
-        _, least = anchors(h, window)
-        self.least = _signed(least)
-        self.starts = np.flatnonzero(np.isin(self.least, recurring))
-        self.shards = self.least[self.starts] % shards
-        self.keys = _signed(_runs(h, window))[self.starts]
 
-    def pieces(self) -> list[np.ndarray]:
-        """Places in `starts`, cut where windows are no longer neighbours of one shard."""
-        cuts = np.flatnonzero((np.diff(self.starts) != 1) | (np.diff(self.shards) != 0)) + 1
-        return np.split(np.arange(len(self.starts)), cuts) if len(self.starts) else []
+def window_keys(hits: DataFrame, window: int) -> DataFrame:
+    """(key_a, key_b, id, start, n) for every window with a recurring anchor; n as often as its class is found."""
 
-
-def window_keys(hits: DataFrame, window: int, shards: int) -> DataFrame:
-    """(shard, key, n) for every window with a recurring anchor; n as often as its class is found."""
+    names = ["key_a", "key_b", "id", "start", "n"]
 
     def emit(batches):
-        hashes = WordHashes()
+        first, second, held, n = WordHashes(), WordHashes(seed=1), [], 0
         for batch in batches:
-            shard, key, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for text, recurring, copies in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                s = Stretches(text.split(), recurring.values.to_numpy(zero_copy_only=False), hashes, window, shards)
-                shard.append(s.shards)
-                key.append(s.keys)
-                n.append(np.full(len(s.keys), copies, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shard, key, n)], names=["shard", "key", "n"])
+            for key, text, recurring, copies in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                words = text.split()
+                h = first.of(words)
+                starts, _ = _candidates(h, recurring.values.to_numpy(zero_copy_only=False), window)
+                held.append((_signed(_runs(h, window))[starts], _signed(_runs(second.of(words), window))[starts], np.full(len(starts), key), starts.astype(np.int32), np.full(len(starts), min(copies, 2), np.int32)))
+                n += len(starts)
+                if n >= EMITTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+    return hits.select("id", "text", "recurring", "copies").mapInArrow(emit, "key_a long, key_b long, id long, start int, n int")
 
-    return hits.select("id", "text", "recurring", "copies").mapInArrow(emit, "shard long, key long, n long")
 
+def _stretches(starts: np.ndarray, shards: np.ndarray) -> list[tuple[int, int]]:
+    """[lo, hi) in `starts`, cut where windows are no longer neighbours of one shard."""
+    cuts = np.flatnonzero((np.diff(starts) != 1) | (np.diff(shards) != 0)) + 1
+    edges = np.concatenate([[0], cuts, [len(starts)]]).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(starts) else []
 
-def stretches(hits: DataFrame, window: int, shards: int) -> DataFrame:
-    """(shard, id, first, words): runs of windows with recurring anchors, as text."""
+
+def phrases_and_stretches(hits: DataFrame, window: int, shards: int) -> DataFrame:
+    """(shard, phrase, id, first, words) of `hits` (id, text, recurring, starts).
+
+    A row is a stretch of windows with recurring anchors, or, where `phrase` holds, one of
+    windows that stand here for a confirmed phrase each.
+    """
 
     def emit(batches):
         hashes = WordHashes()
         for batch in batches:
-            shard, ids, first, text_out = [], [], [], []
-            for key, text, recurring in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+            shard, phrase, ids, first, out = [], [], [], [], []
+            for key, text, recurring, chosen in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 words = text.split()
-                s = Stretches(words, recurring.values.to_numpy(zero_copy_only=False), hashes, window, shards)
-                for piece in s.pieces():
-                    lo, hi = int(s.starts[piece[0]]), int(s.starts[piece[-1]]) + window
-                    shard.append(int(s.shards[piece[0]]))
-                    ids.append(key)
-                    first.append(lo)
-                    text_out.append(b" ".join(words[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(text_out, pa.binary())], names=["shard", "id", "first", "words"])
-
-    return hits.select("id", "text", "recurring").mapInArrow(emit, "shard long, id long, first long, words binary")
-
-
-def locate(window: int, confirmed: pa.Table, texts: pa.Table) -> pa.Table:
-    """Occurrences (id, first, last) of a shard's confirmed phrases in its stretches; last is exclusive."""
-    good = np.sort(confirmed.column("key").to_numpy())
-    if not len(good) or not texts.num_rows:
-        return pa.table({"id": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "last": pa.array([], pa.int64())})
-    split = [t.split(b" ") for t in texts.column("words").to_pylist()]
-    ends = np.cumsum([len(w) for w in split])
-    starts = np.concatenate([[0], ends[:-1]])
+                starts, least = _candidates(hashes.of(words), recurring.values.to_numpy(zero_copy_only=False), window)
+                own = least % shards
+                stands = np.isin(starts, chosen.values.to_numpy(zero_copy_only=False)) if chosen.is_valid else np.zeros(len(starts), bool)
+                for kind, some in ((False, slice(None)), (True, stands)):
+                    s, o = starts[some], own[some]
+                    for lo, hi in _stretches(s, o):
+                        begin = int(s[lo])
+                        shard.append(int(o[lo]))
+                        phrase.append(kind)
+                        ids.append(key)
+                        first.append(begin)
+                        out.append(b" ".join(words[begin : int(s[hi - 1]) + window]))
+            cols = [pa.array(shard, pa.int64()), pa.array(phrase, pa.bool_()), pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", "phrase", "id", "first", "words"])
+
+    return hits.select("id", "text", "recurring", "starts").mapInArrow(emit, "shard long, phrase boolean, id long, first long, words binary")
+
+
+def automata(phrases: list[bytes], window: int, most: int) -> Iterator[tuple[dict[bytes, int], ahocorasick.Automaton]]:
+    """(numbers of the words, automaton) for each `most` windows of the phrases, or about."""
     numbers: dict[bytes, int] = {}
-    coded = [numbers.setdefault(w, len(numbers)) for words in split for w in words]
-    del split
-    h = WordHashes(len(numbers) + 1).of(list(numbers))[np.array(coded)]
-    keys = _signed(_runs(h, window))
-    is_good = good[np.minimum(np.searchsorted(good, keys), len(good) - 1)] == keys
-    inside = np.zeros(len(h) + 1, np.int64)  # windows that stay in their stretch
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, np.maximum(ends - window + 1, starts), -1)
-    is_good &= np.cumsum(inside)[: len(keys)] > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], is_good.view(np.int8), [0]]))).reshape(-1, 2)
-    cut = np.searchsorted(ends, edges[:, 0], "right")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for (lo, hi), owner in zip(edges.tolist(), cut.tolist(), strict=True):
-        while lo < hi:  # neighbouring stretches may both be good to their ends
-            stop = min(hi, int(ends[owner]) - window + 1)
-            if stop > lo:
-                automaton.add_word(tuple(coded[lo : stop - 1 + window]))
-            owner += 1
-            lo = max(stop, int(ends[owner - 1]))
-    out = []
+    for text in phrases:
+        coded = tuple(numbers.setdefault(w, len(numbers)) for w in text.split(b" "))
+        for at in range(len(coded) - window + 1):
+            automaton.add_word(coded[at : at + window])
+        if len(automaton) >= most:
+            automaton.make_automaton()
+            yield numbers, automaton
+            numbers, automaton = {}, ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     if len(automaton):
         automaton.make_automaton()
-        for key, first, lo, hi in zip(texts.column("id").to_pylist(), texts.column("first").to_pylist(), starts.tolist(), ends.tolist(), strict=True):
-            done: list[list[int]] = []
-            for end, length in automaton.iter(tuple(coded[lo:hi])):
-                begin, stop = end + 1 - length, end + 1
-                while done and done[-1][1] >= begin:
-                    begin = min(begin, done.pop()[0])
-                done.append([begin, stop])
-            out += [(key, first + a, first + b) for a, b in done]
-    cols = list(zip(*out, strict=True)) or [()] * 3
-    return pa.table({"id": pa.array(cols[0], pa.int64()), "first": pa.array(cols[1], pa.int64()), "last": pa.array(cols[2], pa.int64())})
+        yield numbers, automaton
+
+
+def locate(window: int, phrases: pa.Table, texts: pa.Table) -> pa.Table:
+    """Occurrences (id, first, last) of a shard's phrases in its stretches; last is exclusive, runs may overlap."""
+    ids, starts, ends = [], [], []
+    for numbers, automaton in automata(phrases.column("phrase_words").to_pylist(), window, AUTOMATON_PHRASES):
+        unknown = len(numbers)
+        for key, first, text in zip(texts.column("id").to_pylist(), texts.column("first").to_pylist(), texts.column("words"), strict=True):
+            begin = end = -1
+            for last, _ in automaton.iter(tuple(numbers.get(w, unknown) for w in text.as_py().split(b" "))):
+                if last - window + 1 > end:  # the last word of the run so far, or beyond
+                    if end >= 0:
+                        ids.append(key)
+                        starts.append(first + begin)
+                        ends.append(first + end + 1)
+                    begin = last - window + 1
+                end = last
+            if end >= 0:
+                ids.append(key)
+                starts.append(first + begin)
+                ends.append(first + end + 1)
+    return pa.table({"id": pa.array(ids, pa.int64()), "first": pa.array(starts, pa.int64()), "last": pa.array(ends, pa.int64())})
 
 
 def repeated_passages(texts: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans) of `texts` (id, text), ids unique.
+    """(documents, spans) of `texts` (id, text), a table in buckets of id, ids unique.
 
     documents: id, n_words, rep (the document with the same words that stands for it).
-    spans: rep id, first, last for every run of words that windows found elsewhere cover; they
-    may overlap where shards meet. A document that has copies has its spans like all others.
+    spans: rep, first, last for every run of words that windows found elsewhere cover; they
+    may overlap. A document that has copies has its spans like all others.
     """
-    docs = materialize(profiles(texts, window), "profiles")
-    classes = docs.groupBy("class_a", "class_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = materialize(docs.select("id", "n_words", "class_a", "class_b").join(classes, ["class_a", "class_b"]).select("id", "n_words", "rep", "copies"), "members")
-    reps = members.where("id = rep").select("id", "copies")
-    placed = docs.where(F.size("anchors") > 0).join(reps, "id").select("id", "copies", F.explode("anchors").alias("anchor"))
-    # written first, so that the join shuffles both sides itself and adaptive execution can split a hot anchor
+    docs = bucketed(profiles(texts, window), "id", "profiles", placed=True)
+    # written first, like the tables below, so that the join shuffles both sides itself and adaptive execution can split a hot key
+    classes = materialize(docs.groupBy("class_a", "class_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    members = materialize(docs.select("id", "n_words", "class_a", "class_b").join(classes, ["class_a", "class_b"]).select("id", "n_words", "rep"), "members")
+    reps = classes.select(F.col("rep").alias("id"), "copies")
+    placed = materialize(docs.where(F.size("anchors") > 0).join(reps, "id").select("id", "copies", F.explode("anchors").alias("anchor")), "anchors")
+    discard(classes, docs)
     often = materialize(placed.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "often")
-    hits = placed.join(often, "anchor").groupBy("id").agg(F.first("copies").alias("copies"), F.collect_set("anchor").alias("recurring"))
-    hits = materialize(texts.select("id", "text").join(hits, "id").select("id", "text", "recurring", "copies"), "hits")
-    found = hits.agg(F.sum(F.size("recurring"))).first()[0] or 0
-    shards = max(1, -(-found // (SHARD_STRETCHES // 2)))
+    found = materialize(placed.join(often, "anchor").groupBy("id").agg(F.first("copies").alias("copies"), F.collect_set("anchor").alias("recurring")), "found")
+    discard(placed, often)
+    hits = bucketed(texts.select("id", "text").join(found, "id").select("id", "text", "recurring", "copies"), "id", "hits", "zstd", placed=True)
+    discard(found)
 
-    good = materialize(window_keys(hits, window, shards).groupBy("shard", "key").agg(F.sum("n").alias("n")).where("n > 1").select("shard", "key"), "confirmed")
-    around = materialize(stretches(hits, window, shards), "stretches")
-    parts = around.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SHARD_STRETCHES)).cast("int").alias("parts"))
-    dealt = around.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    spread = good.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key")
+    places = window_keys(hits, window).groupBy("key_a", "key_b").agg(F.sum("n").alias("n"), F.min(F.struct("id", "start")).alias("at")).where("n > 1")
+    confirmed = materialize(places.groupBy(F.col("at.id").alias("id")).agg(F.collect_list("at.start").alias("starts")), "confirmed")  # of one text, so no longer than it
+    shards = max(1, -(-(confirmed.agg(F.sum(F.size("starts"))).first()[0] or 0) // AUTOMATON_PHRASES))
+    both = materialize(phrases_and_stretches(hits.join(confirmed, "id", "left"), window, shards), "stretches", "zstd")
+    discard(hits, confirmed)
+    around, phrases = both.where("not phrase").drop("phrase"), both.where("phrase").select(F.col("shard").alias("own"), F.col("words").alias("phrase_words"))
+    parts = materialize(around.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("words")) / PART_BYTES)).cast("int").alias("parts")), "parts")
+    dealt = around.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("id", "first"), F.col("parts")).cast("int")).drop("parts")
+    spread = phrases.join(parts, F.col("own") == F.col("shard")).select("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own_part"), "phrase_words")
 
-    def one_shard(confirmed: pa.Table, texts: pa.Table) -> pa.Table:
-        return locate(window, confirmed, texts)
+    def one_shard(phrases: pa.Table, texts: pa.Table) -> pa.Table:
+        return locate(window, phrases, texts)
 
-    spans = spread.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(one_shard, "id long, first long, last long")
-    return members.select("id", "n_words", "rep"), materialize(spans, "spans").withColumnRenamed("id", "rep")
+    spans = materialize(spread.groupBy("own", "own_part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(one_shard, "id long, first long, last long"), "spans")
+    discard(both, parts)
+    return members, spans.withColumnRenamed("id", "rep")
 
 
 def drop_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,13 +261,15 @@ def drop_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_c
     judged on the input. Null and wordless texts keep the empty text; those shorter than a
     window lose nothing. Rows are told apart by their place, not by id: each row comes out once
     with its own text's words, and repeated rows, or rows that share an id or have none, count
-    as elsewhere for each other. Other columns of `df` are not read.
+    as elsewhere for each other. Ids may be of any type; other columns of `df` are not read.
     """
-    texts = numbered(df, [id_col, text_col]).select(F.col("key").alias("id"), F.col("row")[id_col].cast("long").alias("doc"), F.col("row")[text_col].alias("text"))
+    rows = numbered(df, [id_col, text_col])
+    texts = rows.select(F.col("key").alias("id"), F.col("row")[id_col].alias("doc"), F.col("row")[text_col].alias("text"))
     members, spans = repeated_passages(texts, window)
-    per = spans.groupBy("rep").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = members.join(per, "rep", "left").select("id", "spans")
+    per = materialize(spans.groupBy("rep").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "per")
+    joined = members.join(per, "rep").select("id", "spans")
     rows = texts.join(joined, "id", "left").select("doc", "text", "spans")
+    kind = df.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         for batch in batches:
@@ -260,4 +284,4 @@ def drop_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_c
                 kept.append(b" ".join(w for w, k in zip(words, stay, strict=True) if k).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept_text"])
 
-    return rows.mapInArrow(cut, "doc long, n_words long, n_removed long, kept_text string").withColumnRenamed("doc", id_col)
+    return rows.mapInArrow(cut, f"doc {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("doc", id_col)
