@@ -73,3 +73,52 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = out * _SPREAD + h[j : n - k + 1 + j]
     return mixed(out)
+
+
+class WordScanner:
+    """Places and hashes of the words of a text, without a Python object for each word.
+
+    A word's hash is the polynomial of its bytes, each a random number, by differences of
+    prefix sums: all arithmetic is modulo 2**64. Hashes with different seeds are independent.
+    """
+
+    #: Bytes summed at a time, more only where one word is longer.
+    BLOCK = 1 << 20
+
+    def __init__(self, seeds: tuple[int, ...] = (0,)):
+        self.space = np.zeros(256, bool)
+        self.space[list(WHITE_SPACE.encode())] = True
+        self.codes, self.bases = [], []
+        for seed in seeds:
+            rng = np.random.default_rng(seed + 101)
+            self.codes.append(rng.integers(0, 1 << 64, 256, dtype=np.uint64))
+            self.bases.append(int(rng.integers(0, 1 << 61, dtype=np.uint64)) * 8 + 3)
+        self._grow(1 << 12)
+
+    def _grow(self, n: int) -> None:
+        """Powers of the bases, and of their inverses, for n places."""
+
+        def powers(base: int) -> np.ndarray:
+            return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base % (1 << 64), np.uint64))])
+
+        self.up, self.down = [powers(b) for b in self.bases], [powers(pow(b, -1, 1 << 64)) for b in self.bases]
+
+    def scan(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(starts, ends, hashes by seed) of the words, in bytes."""
+        data = np.frombuffer(text, np.uint8)
+        blank = np.concatenate([[True], self.space[data], [True]])
+        starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+        hashes = [np.empty(len(starts), np.uint64) for _ in self.codes]
+        lo = 0
+        while lo < len(starts):
+            begin = int(starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + self.BLOCK, "right")))
+            part = data[begin : int(ends[hi - 1])]
+            if len(part) >= len(self.up[0]):
+                self._grow(2 * len(part) + 1)
+            a, b = starts[lo:hi] - begin, ends[lo:hi] - begin
+            for out, codes, up, down in zip(hashes, self.codes, self.up, self.down, strict=True):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(codes[part] * up[: len(part)])])
+                out[lo:hi] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _SPREAD)
+            lo = hi
+        return starts, ends, hashes

@@ -20,6 +20,7 @@ anchor makes a long task.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethanode.llm.common import WordHashes, bucketed, discard, materialize, mixed, numbered
+from ethanode.llm.common import WordScanner, bucketed, discard, materialize, mixed, numbered
 
 #: Words of an anchor's run.
 GRAM = 8
@@ -89,19 +90,19 @@ def profiles(texts: DataFrame, window: int) -> DataFrame:
     """(id, n_words, class_a, class_b, anchors): anchors hold a hash for each chosen place."""
 
     def profile(batches):
-        hashes = WordHashes()
+        scanner = WordScanner((0, 1))
         for batch in batches:
             counts, first, second, found = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = (text or b"").split()
-                digest = xxhash.xxh3_128_digest(b" ".join(words))
-                counts.append(len(words))
+                starts, _, (h, g) = scanner.scan(text or b"")
+                digest = xxhash.xxh3_128_digest(h.tobytes() + g.tobytes())
+                counts.append(len(starts))
                 first.append(int.from_bytes(digest[:8], "little", signed=True))
                 second.append(int.from_bytes(digest[8:], "little", signed=True))
-                if len(words) < window:
+                if len(starts) < window:
                     found.append(np.zeros(0, np.int64))
                     continue
-                grams, least = anchors(hashes.of(words), window)
+                grams, least = anchors(h, window)
                 found.append(_signed(grams[chosen_places(grams, least)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n_words", "class_a", "class_b", "anchors"])
 
@@ -110,8 +111,8 @@ def profiles(texts: DataFrame, window: int) -> DataFrame:
 
 def _candidates(h: np.ndarray, recurring: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, anchors) of the windows whose anchor recurs."""
-    least = _signed(anchors(h, window)[1])
-    starts = np.flatnonzero(np.isin(least, recurring))
+    least, known = _signed(anchors(h, window)[1]), np.sort(recurring)
+    starts = np.flatnonzero(known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least)
     return starts, least[starts]
 
 
@@ -121,13 +122,12 @@ def window_keys(hits: DataFrame, window: int) -> DataFrame:
     names = ["key_a", "key_b", "id", "start", "n"]
 
     def emit(batches):
-        first, second, held, n = WordHashes(), WordHashes(seed=1), [], 0
+        scanner, held, n = WordScanner((0, 1)), [], 0
         for batch in batches:
             for key, text, recurring, copies in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                words = text.split()
-                h = first.of(words)
+                _, _, (h, g) = scanner.scan(text)
                 starts, _ = _candidates(h, recurring.values.to_numpy(zero_copy_only=False), window)
-                held.append((_signed(_runs(h, window))[starts], _signed(_runs(second.of(words), window))[starts], np.full(len(starts), key), starts.astype(np.int32), np.full(len(starts), min(copies, 2), np.int32)))
+                held.append((_signed(_runs(h, window))[starts], _signed(_runs(g, window))[starts], np.full(len(starts), key), starts.astype(np.int32), np.full(len(starts), min(copies, 2), np.int32)))
                 n += len(starts)
                 if n >= EMITTED:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
@@ -138,11 +138,11 @@ def window_keys(hits: DataFrame, window: int) -> DataFrame:
     return hits.select("id", "text", "recurring", "copies").mapInArrow(emit, "key_a long, key_b long, id long, start int, n int")
 
 
-def _stretches(starts: np.ndarray, shards: np.ndarray) -> list[tuple[int, int]]:
-    """[lo, hi) in `starts`, cut where windows are no longer neighbours of one shard."""
-    cuts = np.flatnonzero((np.diff(starts) != 1) | (np.diff(shards) != 0)) + 1
-    edges = np.concatenate([[0], cuts, [len(starts)]]).tolist()
-    return list(zip(edges[:-1], edges[1:], strict=True)) if len(starts) else []
+def _stretches(starts: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places in `starts` of the runs of windows that are neighbours of one shard."""
+    cuts = np.flatnonzero((np.diff(starts) != 1) | (np.diff(shards) != 0))
+    edge = np.arange(len(starts))
+    return np.concatenate([edge[:1], cuts + 1]), np.concatenate([cuts, edge[-1:]])
 
 
 def phrases_and_stretches(hits: DataFrame, window: int, shards: int) -> DataFrame:
@@ -153,24 +153,25 @@ def phrases_and_stretches(hits: DataFrame, window: int, shards: int) -> DataFram
     """
 
     def emit(batches):
-        hashes = WordHashes()
+        scanner = WordScanner()
         for batch in batches:
             shard, phrase, ids, first, out = [], [], [], [], []
             for key, text, recurring, chosen in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                words = text.split()
-                starts, least = _candidates(hashes.of(words), recurring.values.to_numpy(zero_copy_only=False), window)
+                begins, ends, (h,) = scanner.scan(text)
+                starts, least = _candidates(h, recurring.values.to_numpy(zero_copy_only=False), window)
                 own = least % shards
                 stands = np.isin(starts, chosen.values.to_numpy(zero_copy_only=False)) if chosen.is_valid else np.zeros(len(starts), bool)
                 for kind, some in ((False, slice(None)), (True, stands)):
                     s, o = starts[some], own[some]
-                    for lo, hi in _stretches(s, o):
-                        begin = int(s[lo])
-                        shard.append(int(o[lo]))
-                        phrase.append(kind)
-                        ids.append(key)
-                        first.append(begin)
-                        out.append(b" ".join(words[begin : int(s[hi - 1]) + window]))
-            cols = [pa.array(shard, pa.int64()), pa.array(phrase, pa.bool_()), pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(out, pa.binary())]
+                    lo, hi = _stretches(s, o)
+                    shard.append(o[lo])
+                    phrase.append(np.full(len(lo), kind))
+                    ids.append(np.full(len(lo), key))
+                    first.append(s[lo])
+                    out += [text[a:b] for a, b in zip(begins[s[lo]].tolist(), ends[s[hi] + window - 1].tolist(), strict=True)]
+            if not shard:
+                continue
+            cols = [*(pa.array(np.concatenate(c)) for c in (shard, phrase, ids, first)), pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["shard", "phrase", "id", "first", "words"])
 
     return hits.select("id", "text", "recurring", "starts").mapInArrow(emit, "shard long, phrase boolean, id long, first long, words binary")
@@ -181,7 +182,7 @@ def automata(phrases: list[bytes], window: int, most: int) -> Iterator[tuple[dic
     numbers: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     for text in phrases:
-        coded = tuple(numbers.setdefault(w, len(numbers)) for w in text.split(b" "))
+        coded = tuple(numbers.setdefault(w, len(numbers)) for w in text.split())
         for at in range(len(coded) - window + 1):
             automaton.add_word(coded[at : at + window])
         if len(automaton) >= most:
@@ -198,20 +199,23 @@ def locate(window: int, phrases: pa.Table, texts: pa.Table) -> pa.Table:
     ids, starts, ends = [], [], []
     for numbers, automaton in automata(phrases.column("phrase_words").to_pylist(), window, AUTOMATON_PHRASES):
         unknown = len(numbers)
-        for key, first, text in zip(texts.column("id").to_pylist(), texts.column("first").to_pylist(), texts.column("words"), strict=True):
-            begin = end = -1
-            for last, _ in automaton.iter(tuple(numbers.get(w, unknown) for w in text.as_py().split(b" "))):
-                if last - window + 1 > end:  # the last word of the run so far, or beyond
+
+        @functools.lru_cache(maxsize=20_000)  # copies of a passage bring the same stretch again
+        def found(text: bytes, numbers=numbers, automaton=automaton, unknown=unknown) -> list[tuple[int, int]]:
+            runs, begin, end = [], -1, -1
+            for last, _ in automaton.iter(tuple([numbers.get(w, unknown) for w in text.split()])):
+                if last - window + 1 > end:
                     if end >= 0:
-                        ids.append(key)
-                        starts.append(first + begin)
-                        ends.append(first + end + 1)
+                        runs.append((begin, end + 1))
                     begin = last - window + 1
                 end = last
-            if end >= 0:
+            return [*runs, (begin, end + 1)] if end >= 0 else runs
+
+        for key, first, text in zip(texts.column("id").to_pylist(), texts.column("first").to_pylist(), texts.column("words"), strict=True):
+            for begin, end in found(text.as_py()):
                 ids.append(key)
                 starts.append(first + begin)
-                ends.append(first + end + 1)
+                ends.append(first + end)
     return pa.table({"id": pa.array(ids, pa.int64()), "first": pa.array(starts, pa.int64()), "last": pa.array(ends, pa.int64())})
 
 
@@ -242,7 +246,7 @@ def repeated_passages(texts: DataFrame, window: int = 35) -> tuple[DataFrame, Da
     discard(hits, confirmed)
     around, phrases = both.where("not phrase").drop("phrase"), both.where("phrase").select(F.col("shard").alias("own"), F.col("words").alias("phrase_words"))
     parts = materialize(around.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("words")) / PART_BYTES)).cast("int").alias("parts")), "parts")
-    dealt = around.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("id", "first"), F.col("parts")).cast("int")).drop("parts")
+    dealt = around.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("words"), F.col("parts")).cast("int")).drop("parts")
     spread = phrases.join(parts, F.col("own") == F.col("shard")).select("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own_part"), "phrase_words")
 
     def one_shard(phrases: pa.Table, texts: pa.Table) -> pa.Table:
