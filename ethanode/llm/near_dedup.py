@@ -105,9 +105,9 @@ def sketches(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
     return texts.select("id", "text", "doc").mapInArrow(sketch, f"id long, doc {kind}, class_a long, class_b long, n_shingles long, bits binary, bands array<long>")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """pairs (a, b) with `ok`: denominator * |intersection| >= numerator * |union|."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+def _confirm(pairs: DataFrame, left: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """pairs (a, b) with `ok`: denominator * |intersection| >= numerator * |union|; `left` has the sets of all a."""
+    left = left.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
 
     def judge(batches):
@@ -213,9 +213,13 @@ def _verdicts(texts: DataFrame, numerator: int, denominator: int, shingle: int,
             keep = pa.array(estimates(x, y, n_hashes) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
-    left, right = (bits.select(F.col("id").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    # the first member of a bucket may have a great many others: written on its own, so that the joins on it shuffle both sides and can be split
+    centres = materialize(stars.select(F.col("a").alias("id")).distinct(), "centres")
+    their_bits, their_sets = (materialize(t.join(centres, "id", "left_semi"), "of_centres") for t in (bits, sets))
+    left, right = (t.select(F.col("id").alias(k), F.col("bits").alias(f"bits_{k}")) for t, k in ((their_bits, "a"), (bits, "b")))
     likely = stars.join(left, "a").join(right, "b").select("a", "b", "bits_a", "bits_b").mapInArrow(pass_estimate, "a long, b long")
-    tested = materialize(_confirm(likely, sets, numerator, denominator), "tested")
+    tested = materialize(_confirm(likely, their_sets, sets, numerator, denominator), "tested")
+    discard(centres, their_bits, their_sets)
 
     parts = connected_components(tested.where("ok").select("a", "b"))
     placed = buckets.where("n > 2").select("bucket", "band", "id", "n_shingles").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))  # the only pair of a bucket of two is tested
