@@ -19,7 +19,7 @@ def sloped_start(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     w = whole(keys)
     head = F.col("idx") <= 12
     x, y = F.when(head, F.col("idx").cast("double")), F.when(head, F.col("tac"))
-    slope = (F.avg(x * y).over(w) - F.avg(x).over(w) * F.avg(y).over(w)) / (F.avg(x * x).over(w) - F.avg(x).over(w) * F.avg(x).over(w))
+    slope = F.try_divide(F.avg(x * y).over(w) - F.avg(x).over(w) * F.avg(y).over(w), F.avg(x * x).over(w) - F.avg(x).over(w) * F.avg(x).over(w))
     d = df.withColumn("__sloped", F.coalesce((slope < -3) & (F.min(y).over(w) < 10) & (F.count(y).over(w) >= 2), F.lit(False)))
     return d.withColumns({"sloped_start": (F.col("__sloped") & (F.col("idx") <= 11)).cast("int"), "tac": F.when(F.col("__sloped") & head, 0.0).otherwise(F.col("tac"))}).drop("__sloped")
 
@@ -121,53 +121,98 @@ def matern(d: np.ndarray, length: float, nu: float) -> np.ndarray:
     return np.interp(np.sqrt(2 * nu) * np.abs(d) / length, x, y, right=0.0)
 
 
+def _fit(base: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """(loss, weights) of a Gaussian process with this correlation; its scale has a closed form."""
+    try:
+        chol = np.linalg.cholesky(base + 1e-8 * np.eye(len(y)))
+    except np.linalg.LinAlgError:
+        return np.inf, np.zeros(len(y))
+    alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, y))
+    return len(y) * np.log(max(float(y @ alpha) / len(y), 1e-12)) / 2 + np.log(np.diag(chol)).sum(), alpha
+
+
+def _best_length(loss, low: float = -3.0, high: float = 3.0) -> float:
+    """The length between 10**low and 10**high of least loss: a grid, then golden sections beside its best point."""
+    grid = np.linspace(low, high, 9)
+    at = int(np.argmin([loss(10**g) for g in grid]))
+    a, b = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
+    ratio = (np.sqrt(5) - 1) / 2
+    for _ in range(10):
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        a, b = (a, d) if loss(10**c) < loss(10**d) else (c, b)
+    return 10 ** ((a + b) / 2)
+
+
 def predicted(x: np.ndarray, y: np.ndarray, at: np.ndarray, method: str) -> np.ndarray:
-    """Values at `at`: a straight line, interpolation, or a Gaussian process with a Matern kernel whose length and scale come from a coarse grid by likelihood."""
+    """Values at `at`: a straight line, interpolation, or a Gaussian process with a Matern kernel whose length and scale are those of greatest likelihood.
+
+    The line is also what a Gaussian process with the dot-product kernel and next to no noise gives.
+    """
     if len(x) < 2:
         return np.full(len(at), y[0] if len(y) else 0.0)
     if method == "line":
         b, a = np.polyfit(x, y, 1) if np.ptp(x) else (0.0, y.mean())
         return a + b * at
-    if method == "interpolate":
+    if method == "interpolate" or not y.any():
         return np.interp(at, x, y)
-    best, fit = np.inf, None
-    for length in (0.1, 0.4, 1.6, 6.4):
-        base = matern(x[:, None] - x[None, :], length, 0.3) + 1e-8 * np.eye(len(x))
-        try:
-            chol = np.linalg.cholesky(base)
-        except np.linalg.LinAlgError:
-            continue
-        alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, y))
-        scale = max(float(y @ alpha) / len(x), 1e-12)
-        loss = len(x) * np.log(scale) / 2 + np.log(np.diag(chol)).sum()
-        if loss < best:
-            best, fit = loss, (length, alpha)
-    return np.interp(at, x, y) if fit is None else matern(at[:, None] - x[None, :], fit[0], 0.3) @ fit[1]
+    apart = x[:, None] - x[None, :]
+    length = _best_length(lambda k: _fit(matern(apart, k, 0.3), y)[0])
+    loss, weights = _fit(matern(apart, length, 0.3), y)
+    return np.interp(at, x, y) if loss == np.inf else matern(at[:, None] - x[None, :], length, 0.3) @ weights
+
+
+def local_peak(v: np.ndarray, i: int, width: int = 100) -> float:
+    """The highest value about row i, at least 1 where it is not over 0.5; the stretch is one row short at the start and, near the end, as long as the published tool has it."""
+    ahead = width if i + width < len(v) else len(v) - width - 1
+    stretch = v[max(i - width, 1 if i <= width else i - width) : max(i + ahead + 1, 0)]
+    stretch = stretch[np.isfinite(stretch)]
+    top = stretch.max() if len(stretch) else 1.0
+    return float(top) if top > 0.5 else 1.0
+
 
+def rows_beside(lo: int, hi: int, n: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows before and after a gap [lo, hi) that its filling may learn from."""
+    span = limit * n
+    before = np.arange(max(0, lo - max(30, int(0.1 * n)) - 1), lo)
+    return before, np.arange(hi, min(n, hi + (int(span / 2) if span > 75 else 30) + 1))
 
-def filled(values: np.ndarray, hours: np.ndarray, missing: np.ndarray, *, extend: int = 0, limit: float = 0.7, side: str = "both", method: str = "matern", merge: int = 15) -> np.ndarray:
-    """`values` with the missing runs filled from rows before and after; runs too long for that become 0."""
+
+def without_jumps(rows: np.ndarray, v: np.ndarray, reject: float | None) -> np.ndarray:
+    """`rows` without those that jump from the row before them by a share of the rows' peak (in logarithms) over `reject`."""
+    if reject is None or len(rows) < 2:
+        return rows
+    known = v[rows]
+    top = np.nanmax(known) if np.isfinite(known).any() else 1.0
+    step = np.abs(np.diff(known, prepend=known[0]))
+    jumps = (step > 1) & (np.log(np.maximum(step, 1e-12)) / (np.log(max(top, 1e-12)) + 1e-4) > reject) if top > 3 else np.zeros(len(rows), bool)
+    return rows[~jumps]
+
+
+def filled(values: np.ndarray, hours: np.ndarray, missing: np.ndarray, *, extend: int = 0, limit: float = 0.7, side: str = "both", method: str = "matern", merge: int = 15, reject: float | None = None) -> np.ndarray:
+    """`values` with the missing runs filled from rows before and after; runs too long for that become 0.
+
+    side `flex` learns from the rows before alone if less than an hour follows the gap, or if
+    the values rise across it by over 10 and by over half of the peak. Runs that lie apart are
+    filled apart, also without extension (where the published tool makes them one).
+    """
     n, out = len(values), values.copy()
     out[missing] = np.nan
     source = out.copy()
     for lo, hi in missing_runs(missing, extend, merge):
         if hi - lo >= limit * n:
             continue
-        span = limit * n
-        before = np.arange(max(0, lo - max(30, int(0.1 * n)) - 1), lo)
-        after = np.arange(hi, min(n, hi + (int(span / 2) if span > 75 else 30) + 1))
-        if not len(after):
-            side = "left"
-        use = side
-        if side == "flex" and len(before):
-            jump = abs(source[after[0]] - source[before[-1]]) if len(after) else 0.0
-            peak = np.nanmax(source[before]) if np.isfinite(source[before]).any() else 1.0
-            use = "left" if hours[-1] - hours[lo] < 1 or (peak and jump / peak > 0.5 and jump > 10) else "both"
+        before, after = rows_beside(lo, hi, n, limit)
+        use = side if len(after) else "left"
+        if use == "flex":
+            rise = source[after[0]] - source[before[-1]] if len(before) else 0.0
+            peak = local_peak(source, max(len(before) - 1, 0))  # the place within the rows before, as published
+            use = "left" if len(before) and (hours[-1] - hours[after[0]] < 1 or (abs(rise) / peak > 0.5 and rise > 10)) else "both"
+        before, after = without_jumps(before, source, reject), without_jumps(after, source, reject)
         rows = before if use == "left" else after if use == "right" else np.concatenate([before, after])
         rows = rows[np.isfinite(source[rows])]
         if len(rows):
             out[lo:hi] = predicted(hours[rows], source[rows], hours[lo:hi], method)
-    return np.nan_to_num(out, nan=0.0)
+    return np.nan_to_num(np.maximum(out, 0.0), nan=0.0)
 
 
 def fill_missing(df: DataFrame, missing: str, out: str, *, col: str = "tac", keys: Sequence[str] = EPISODE, **how) -> DataFrame:
@@ -202,48 +247,44 @@ def device_removal_filled(df: DataFrame, cutoff: float = 27.0, keys: Sequence[st
     return d.withColumns({"device_off_imputed": (F.col("__filled") != F.col("tac")).cast("int"), "tac": F.col("__filled")}).drop("__off", "__filled")
 
 
-def artifact_pass(v: np.ndarray, raw: np.ndarray, major: float, minor: float, cycle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of major and minor artifacts that one pass over a signal finds."""
-    n, hits_major, hits_minor = len(v), np.zeros(len(v), bool), np.zeros(len(v), bool)
-    gone = np.zeros(n, bool)
-    for i in range(11, n):
-        if gone[i] or abs(jump := v[i] - v[i - 1]) <= 5:
-            continue
-        ahead = 100 if i + 100 < n else n - 101
-        stretch = raw[max(i - 100, 1 if i <= 100 else i - 100) : max(i + ahead + 1, 0)]
-        top = stretch.max() if len(stretch) else 1.0
-        peak = top if top > 0.5 else 1.0
-        scale = np.log(peak) + 1e-4
-        size = abs(v[i] - v[i - 3 : i].mean())
-        if peak > 15 and size > 0 and np.log(size) / scale >= major:
-            slope = abs(np.polyfit(np.arange(10), v[i - 10 : i], 1)[0])
-            sign = np.sign(jump)
-            k = 1
-            while i + k - 1 < n and sign * (v[i + k - 1] - (v[i - 1] + sign * (slope * k + 0.05))) > 0:
-                hits_major[i + k - 1] = gone[i + k - 1] = True
-                k += 1
-        if cycle > 1 and peak > 5 and jump > 0 and np.log(jump) / scale >= minor:
-            hits_minor[i] = gone[i] = True
-    return hits_major, hits_minor
-
-
-def without_artifacts(v: np.ndarray, hours: np.ndarray, major: float = 0.8, minor: float = 0.5, most: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The signal after passes until one, the second or later, finds nothing new; each place is filled once."""
-    raw, out = v.copy(), v.copy()
-    all_major, all_minor, done = np.zeros(len(v), bool), np.zeros(len(v), bool), np.zeros(len(v), bool)
-    for cycle in range(1, most):
-        a, b = artifact_pass(out, raw, major, minor, cycle)
-        new = (a | b) & ~done
-        if not new.any():
-            if cycle > 1:
-                break
-            continue
-        all_major |= a & new
-        all_minor |= b & new & ~a
-        left = hours[-1] - hours[np.flatnonzero(new)[-1]] < 1
-        out = np.where(new, filled(out, hours, new, limit=0.5, side="left" if left else "both", method="line", merge=1), out)
-        done |= new
-    return out, all_major, all_minor
+def without_artifacts(v: np.ndarray, hours: np.ndarray, major: float = 0.8, minor: float = 0.5, share: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signal without sudden jumps, and the places of major and minor artifacts.
+
+    One walk after the other goes through the rows; what is found is filled at once by a line
+    through the rows beside it as they were recorded, and later rows are compared with the
+    filled values. A major artifact goes on while values lie beyond a line that starts at the
+    row before with the slope of the ten before it; a minor one, looked for from the second
+    walk on, is one row, filled from the left. A row is dealt with once; walks end with the
+    first, but the second at the earliest, that finds nothing.
+    """
+    n, out, kept = len(v), v.astype(float).copy(), v.astype(float).copy()
+    is_major, is_minor, settled = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    walk = 0
+    while True:
+        walk, found = walk + 1, False
+        for i in range(11, n):
+            jump = out[i] - out[i - 1]
+            if settled[i] or abs(jump) <= 5:
+                continue
+            peak = local_peak(v, i)
+            scale, off, hi = np.log(peak) + 1e-4, abs(out[i] - out[i - 3 : i].mean()), i
+            if peak > 15 and off > 0 and np.log(off) / scale >= major:
+                sign, slope = np.sign(jump), abs(np.polyfit(np.arange(10), out[i - 10 : i], 1)[0])
+                while hi < n and sign * (out[hi] - out[i - 1]) > slope * (hi - i) + 0.05:
+                    hi += 1
+                side = "left" if hours[-1] - hours[i] < 1 else "both"
+                is_major[i:hi] = True
+            elif walk > 1 and peak > 5 and np.log(abs(jump)) / scale >= minor and np.log(abs(jump)) / (np.log(local_peak(kept, i)) + 1) > 0.35:
+                hi, side = i + 1, "left"
+                is_minor[i] = True
+            if hi == i:
+                continue
+            found, settled[i:hi], kept[i:hi] = True, True, np.nan
+            before, after = rows_beside(i, hi, n, share)
+            rows = before if side == "left" else np.concatenate([before, after])
+            out[i:hi] = np.maximum(predicted(hours[rows], v[rows], hours[i:hi], "line"), 0.0) if hi - i < share * n else 0.0
+        if walk > 1 and not found:
+            return out, is_major, is_minor & ~is_major
 
 
 def artifacts_removed(df: DataFrame, major: float = 0.8, minor: float = 0.5, keys: Sequence[str] = EPISODE) -> DataFrame:
