@@ -108,14 +108,14 @@ def revised(measures: DataFrame, limit: float = 0.5, upper: float = 0.9, predict
 
     Under `limit` a model's prediction replaces the duration and the rate follows; under
     `upper` the duration is divided by the completion. With parity the rise is divided by the
-    fall's completion.
+    fall's completion; no duration where that is 0.
     """
     fall_model = predicted_fall if predicted_fall is not None else F.col("fall_duration")
     rise_model = predicted_rise if predicted_rise is not None else F.col("rise_duration")
     fc, rc = F.col("fall_completion"), F.col("rise_completion")
     out = measures.withColumns({
-        "fall_duration_revised": F.when(fc < limit, fall_model).when(fc < upper, F.col("fall_duration") / fc).otherwise(F.col("fall_duration")),
-        "rise_duration_revised": F.when(rc < limit, rise_model).when(rc < upper, F.col("rise_duration") / (fc if parity else rc)).otherwise(F.col("rise_duration")),
+        "fall_duration_revised": F.when(fc < limit, fall_model).when(fc < upper, F.try_divide(F.col("fall_duration"), fc)).otherwise(F.col("fall_duration")),
+        "rise_duration_revised": F.when(rc < limit, rise_model).when(rc < upper, F.try_divide(F.col("rise_duration"), fc if parity else rc)).otherwise(F.col("rise_duration")),
     })
     return out.withColumns({
         "fall_rate_revised": F.when((fc < limit) & (fall_model != 0), F.col("relative_peak") / fall_model).otherwise(F.col("fall_rate")),

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethanode.operators.joins import excluded_and_kept
@@ -36,9 +36,9 @@ def subject_folds(df: DataFrame, subject: str = "subid", folds: int | None = Non
     subjects = df.select(subject).distinct()
     n = subjects.count()
     if folds is None or folds >= n:
-        ids = sorted(r[0] for r in subjects.toLocalIterator())  # one name per subject of a study
-        place = F.array_position(F.array(*[F.lit(x) for x in ids]), F.col(subject)) - 1
-        return df.withColumn("fold", place.cast("int")), n
+        # one model is fitted for each subject of a study, so they are few enough to be numbered in one window
+        placed = subjects.withColumn("fold", (F.row_number().over(Window.orderBy(subject)) - 1).cast("int"))
+        return df.join(placed, df[subject].eqNullSafe(placed[subject])).drop(placed[subject]), n
     return df.withColumn("fold", F.pmod(F.xxhash64(subject), F.lit(folds)).cast("int")), folds
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ethanode.config import EngineConfig
 from ethanode.functions import dates
 from ethanode.functions import identifiers as ids
 from ethanode.operators import aggregates, cleaning, crop, curve, features, joins, learning, plot_data, smoothing, windows
@@ -18,9 +19,9 @@ from ethanode.sources import recordings, results
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Shared heads of the SQL: readings r of day episodes split at 6:00, and metadata m.
+#: Shared heads of the SQL: readings r of episodes (a user's month, from 6:00), and metadata m.
 R = """WITH e AS (SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts, value AS tac, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(ts AS TIMESTAMP) - INTERVAL 6 HOUR AS sh FROM events),
-d AS (SELECT *, strftime(sh, '%Y-%m-%d') AS episode FROM e WHERE sh <> date_trunc('day', sh)),
+d AS (SELECT *, user_id || '_' || strftime(sh, '%Y-%m') AS episode FROM e),
 r AS (SELECT episode, event_id, user_id, event_type, ts, tac, k / 100.0 AS motion, CAST(22 + k % 16 AS DOUBLE) AS temp,
  row_number() OVER w - 1 AS idx, (epoch_us(ts) / 1e6 - epoch_us(first_value(ts) OVER w) / 1e6) / 3600 AS hours
  FROM d WINDOW w AS (PARTITION BY episode ORDER BY ts, event_id)),
@@ -54,10 +55,10 @@ def neat(df: DataFrame, *cols: str) -> DataFrame:
 readings = recordings.event_readings
 
 
-@query(R + " SELECT episode, count(*) AS n, min(ts) AS first, max(ts) AS last FROM r GROUP BY episode")
+@query(R + " SELECT user_id, strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%d') AS day, count(*) AS n, min(ts) AS first, max(ts) AS last FROM r WHERE ts - INTERVAL 6 HOUR <> date_trunc('day', ts - INTERVAL 6 HOUR) GROUP BY ALL")
 def episode_split_day(spark, sf):
-    out = results.split_manifest(readings(spark, sf), ["episode"])
-    return out.select("episode", "n", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
+    out = results.split_manifest(crop.day_episodes(readings(spark, sf), name="day"), ["user_id", "day"])
+    return out.select("user_id", "day", "n", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
 
 
 @query(R + """ SELECT episode, count(*) AS n, round(avg(tac), 6) AS mean, round(stddev_samp(tac), 6) AS sd, round(stddev_samp(tac) / sqrt(count(tac)), 6) AS sem,
@@ -177,14 +178,14 @@ def completion(spark, sf):
     return neat(curve.curve_measures(curve.curve_bounds(_thresholded(spark, sf))), "episode", "rise_completion", "fall_completion")
 
 
-@query(R + C + COMPLETION + """ SELECT episode, round(CASE WHEN fc < 0.5 THEN fd WHEN fc < 0.9 THEN fd / fc ELSE fd END, 6) AS fall_duration_revised, round(CASE WHEN rc < 0.5 THEN rd WHEN rc < 0.9 THEN rd / fc ELSE rd END, 6) AS rise_duration_revised FROM w""")
+@query(R + C + COMPLETION + """ SELECT episode, round(CASE WHEN fc < 0.5 THEN fd WHEN fc < 0.9 THEN fd / nullif(fc, 0) ELSE fd END, 6) AS fall_duration_revised, round(CASE WHEN rc < 0.5 THEN rd WHEN rc < 0.9 THEN rd / nullif(fc, 0) ELSE rd END, 6) AS rise_duration_revised FROM w""")
 def revise_incomplete(spark, sf):
     return neat(curve.revised(curve.curve_measures(curve.curve_bounds(_thresholded(spark, sf)))), "episode", "fall_duration_revised", "rise_duration_revised")
 
 
-@query(R + " SELECT event_id, idx FROM r WHERE hours <= 18")
+@query(R + " SELECT event_id, idx FROM r WHERE hours <= 240")
 def crop_max_duration(spark, sf):
-    return crop.max_duration(readings(spark, sf), 18.0).select("event_id", "idx")
+    return crop.max_duration(readings(spark, sf), 240.0).select("event_id", "idx")
 
 
 TEMPS = """, t AS (SELECT r.*, b.n, CASE WHEN temp < 27 THEN 1.0 ELSE 0.0 END AS cold1 FROM r JOIN b USING (episode)),
@@ -221,16 +222,16 @@ def negative_reset(spark, sf):
     return neat(cleaning.negatives_to_zero(readings(spark, sf, 20.0)), "event_id", "negative_reassigned_zero", "tac")
 
 
-@query(R + """ SELECT episode, idx - 1 AS before, pts AS start, round(g, 6) AS length_h FROM (SELECT *, lag(ts) OVER w AS pts, hours - lag(hours) OVER w AS g FROM r WINDOW w AS (PARTITION BY episode ORDER BY idx)) WHERE g > 0.2""")
+@query(R + """ SELECT episode, idx - 1 AS before, pts AS start, round(g, 6) AS length_h FROM (SELECT *, lag(ts) OVER w AS pts, hours - lag(hours) OVER w AS g FROM r WINDOW w AS (PARTITION BY episode ORDER BY idx)) WHERE g > 12""")
 def gap_detect(spark, sf):
-    return neat(cleaning.gaps(readings(spark, sf), 0.2).withColumn("start", F.col("start").cast("timestamp_ntz")))
+    return neat(cleaning.gaps(readings(spark, sf), 12.0).withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
 @query(R + """, g AS (SELECT r.*, lag(ts) OVER w AS pts, hours - lag(hours) OVER w AS g, n FROM r JOIN b USING (episode) WINDOW w AS (PARTITION BY r.episode ORDER BY idx)),
- x AS (SELECT episode, event_id, pts, unnest(range(1, CAST(floor(g * 60 / 5) AS BIGINT) + 1)) AS k FROM g WHERE g > 0.2 AND n * 5 > 60)
- SELECT episode, event_id, pts + INTERVAL 5 MINUTE * k AS ts, 1 AS gap_imputed FROM x UNION ALL SELECT episode, event_id, ts, 0 FROM r""")
+ x AS (SELECT episode, event_id, pts, unnest(range(1, CAST(floor(g * 60 / 60) AS BIGINT) + 1)) AS k FROM g WHERE g > 12 AND n * 60 > 60)
+ SELECT episode, event_id, pts + INTERVAL 60 MINUTE * k AS ts, 1 AS gap_imputed FROM x UNION ALL SELECT episode, event_id, ts, 0 FROM r""")
 def gap_row_insert(spark, sf):
-    df = cleaning.insert_gap_rows(readings(spark, sf), 0.2, 5.0)
+    df = cleaning.insert_gap_rows(readings(spark, sf), 12.0, 60.0)
     return df.select("episode", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "gap_imputed")
 
 
@@ -261,10 +262,11 @@ def rolling_slope(spark, sf):
  u AS (SELECT *, j - (m - 1) / 2.0 AS u FROM l WHERE m > 5 AND span > 0),
  s AS (SELECT event_id, any_value(m) AS m, any_value(span) AS span, sum(u*u) AS s2, sum(u*u*u*u) AS s4, sum(y) AS y0, sum(y*u) AS y1, sum(y*u*u) AS y2 FROM u GROUP BY event_id),
  k AS (SELECT event_id, (m * y2 - s2 * y0) / (m * s4 - s2 * s2) AS a, y1 / s2 AS b, (y0 - (m * y2 - s2 * y0) / (m * s4 - s2 * s2) * s2) / m AS c, (m - 1) / span AS q, (m - 1) / 2.0 AS h FROM s)
- SELECT r.event_id, round(a*q*q, 4) + 0.0 AS a, round(b*q - 2*a*q*h, 4) + 0.0 AS b, round(a*h*h - b*h + c, 4) + 0.0 AS c FROM r LEFT JOIN k USING (event_id)""")
+ SELECT r.event_id, round(a*q*q * 1e6, 4) + 0.0 AS a_e6, round((b*q - 2*a*q*h) * 1e3, 4) + 0.0 AS b_e3, round(a*h*h - b*h + c + 1e-6, 4) + 0.0 AS c FROM r LEFT JOIN k USING (event_id)""")
 def quadratic_fit(spark, sf):
     df = windows.quadratic_fits(readings(spark, sf))
-    return df.select("event_id", *[(F.round(f"tac_{k}_pre", 4) + F.lit(0.0)).alias(k) for k in "abc"])
+    scaled = {"a_e6": F.col("tac_a_pre") * 1e6, "b_e3": F.col("tac_b_pre") * 1e3, "c": F.col("tac_c_pre") + 1e-6}  # c away from exact halves of the last place
+    return df.select("event_id", *[(F.round(v, 4) + F.lit(0.0)).alias(k) for k, v in scaled.items()])
 
 
 SG = ", ".join(f"({j}, CAST({c!r} AS DOUBLE))" for j, c in enumerate(smoothing.coefficients(51, 3)))
@@ -328,10 +330,10 @@ def merge_outer(spark, sf):
 EVENTS = ", v AS (SELECT episode, CASE event_type WHEN 'error' THEN 'off' ELSE 'on' END AS event_name, min(ts) AS event_ts FROM r WHERE event_type IN ('error', 'signup') GROUP BY ALL)"
 
 
-@query(R + EVENTS + " SELECT episode, event_name, event_ts, min_by(idx, (abs(epoch_us(ts) - epoch_us(event_ts)), idx)) AS idx FROM r JOIN v USING (episode) WHERE hour(ts) % 2 = 0 GROUP BY ALL")
+@query(R + EVENTS.replace("min(ts) AS event_ts", "min(ts) + INTERVAL 100 MINUTE AS event_ts") + " SELECT episode, event_name, event_ts, min_by(idx, (abs(epoch_us(ts) - epoch_us(event_ts)), idx)) AS idx FROM r JOIN v USING (episode) GROUP BY ALL")
 def nearest_event_asof(spark, sf):
-    df = readings(spark, sf).where(F.hour("ts") % 2 == 0)
-    return joins.nearest_reading(df, recordings.day_events(spark, sf)).withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
+    events = recordings.day_events(spark, sf).withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 100 MINUTES"))  # away from the readings themselves
+    return joins.nearest_reading(readings(spark, sf), events).withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
 
 
 @query(R + EVENTS + """ SELECT event_id, CAST(arg_max(CASE event_name WHEN 'off' THEN 0 ELSE 1 END, (event_ts, event_name = 'off')) FILTER (event_ts IS NOT NULL) AS INTEGER) AS device_on_label FROM r LEFT JOIN v ON v.episode = r.episode AND event_ts <= ts GROUP BY event_id""")
@@ -436,9 +438,9 @@ def impute_linear(spark, sf):
     return neat(cleaning.fill_linear(df, "gone", "filled"), "event_id", "filled")
 
 
-@query(R + """ SELECT event_id, CAST(sum(CASE WHEN g > 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY idx) AS BIGINT) AS run FROM (SELECT *, hours - lag(hours) OVER (PARTITION BY episode ORDER BY idx) AS g FROM r)""")
+@query(R + """ SELECT event_id, CAST(sum(CASE WHEN g > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY idx) AS BIGINT) AS run FROM (SELECT *, hours - lag(hours) OVER (PARTITION BY episode ORDER BY idx) AS g FROM r)""")
 def find_ranges(spark, sf):
-    return windows.runs(readings(spark, sf), F.col("hours"), 0.1).select("event_id", "run")
+    return windows.runs(readings(spark, sf), F.col("hours"), 12.0).select("event_id", "run")
 
 
 @query(R + """ SELECT event_id, CASE WHEN tac >= m THEN mn <= m ELSE mx >= m END AS returns FROM (SELECT event_id, tac, avg(tac) OVER (PARTITION BY episode ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m,
@@ -448,10 +450,10 @@ def returns_to_baseline(spark, sf):
 
 
 @query(R.replace("WITH e AS", "WITH RECURSIVE e AS") + """, t AS (SELECT episode, idx, event_id, epoch_us(ts) / 1e6 AS t FROM r),
- k AS (SELECT episode, idx, event_id, t FROM t WHERE idx = 0 UNION ALL SELECT s.episode, s.idx, s.event_id, s.t FROM (SELECT t.*, row_number() OVER (PARTITION BY t.episode ORDER BY t.idx) AS rn FROM k JOIN t ON t.episode = k.episode AND t.idx > k.idx AND t.t - k.t >= 600) s WHERE rn = 1)
+ k AS (SELECT episode, idx, event_id, t FROM t WHERE idx = 0 UNION ALL SELECT s.episode, s.idx, s.event_id, s.t FROM (SELECT t.*, row_number() OVER (PARTITION BY t.episode ORDER BY t.idx) AS rn FROM k JOIN t ON t.episode = k.episode AND t.idx > k.idx AND t.t - k.t >= 36000) s WHERE rn = 1)
  SELECT event_id, row_number() OVER (PARTITION BY episode ORDER BY idx) - 1 AS idx FROM k""")
 def greedy_downsample(spark, sf):
-    return cleaning.thinned(readings(spark, sf), 600.0).select("event_id", "idx")
+    return cleaning.thinned(readings(spark, sf), 36000.0).select("event_id", "idx")
 
 
 @query(R + TEMPS + " SELECT r.event_id, CAST(NOT cut OR idx <= last AS INTEGER) AS kept FROM r JOIN a USING (episode)")
@@ -492,14 +494,15 @@ def full_identifiers(spark, sf):
     return c.select("c_custkey", ids.full_identifier(F.col("c_nationkey"), F.col("c_custkey") % 50, F.lit(1)).alias("full_identifier"))
 
 
-@query(R + " SELECT episode, CAST(count(DISTINCT user_id) > 1 AS INTEGER) AS several FROM r GROUP BY episode")
+@query(R + " SELECT episode, CAST(count(DISTINCT CASE WHEN user_id % 3 = 0 AND day(ts) > 15 THEN 2 ELSE 1 END) > 1 AS INTEGER) AS several FROM r GROUP BY episode")
 def multiple_devices(spark, sf):
-    return readings(spark, sf).groupBy("episode").agg((F.count_distinct("user_id") > 1).cast("int").alias("several"))
+    device = F.when((F.col("user_id") % 3 == 0) & (F.dayofmonth("ts") > 15), 2).otherwise(1)  # every third user's was exchanged
+    return readings(spark, sf).groupBy("episode").agg((F.count_distinct(device) > 1).cast("int").alias("several"))
 
 
-@query(R + " SELECT event_id, episode FROM r JOIN b USING (episode) WHERE n > 300")
+@query(R + " SELECT event_id, episode FROM r JOIN b USING (episode) WHERE n > 60")
 def size_gate(spark, sf):
-    return crop.large_enough(readings(spark, sf), 300).select("event_id", "episode")
+    return crop.large_enough(readings(spark, sf), 60).select("event_id", "episode")
 
 
 @query(R + " SELECT event_id FROM r JOIN b USING (episode) WHERE idx < 5 OR idx >= n - 5")
@@ -561,8 +564,9 @@ def row_features(spark, sf):
 
 @query()
 def cohort_features(spark, sf):
-    """Every stage from readings to features, with day episodes."""
-    return neat(cohort.cohort_features(cohort.processed(readings(spark, sf), ["episode"]), ["episode"]))
+    """Every stage from readings to features; the readings are some hours apart, so durations and gaps are in days where a study has them in hours."""
+    config = EngineConfig(max_duration_h=24.0 * 31, gap_fill_h=24.0, sampling_rate=240.0)
+    return neat(cohort.cohort_features(cohort.processed(readings(spark, sf), ["episode"], config), ["episode"], config))
 
 
 def _user_features(spark, sf) -> DataFrame:

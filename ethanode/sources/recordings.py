@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ethanode.functions import identifiers as ids
 from ethanode.functions.dates import recorded_time
-from ethanode.operators.crop import day_episodes
 from ethanode.operators.joins import event_rows
 from ethanode.operators.windows import numbered
 from ethanode.schema import nan_to_null, normalize_columns
@@ -104,13 +103,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_readings(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataFrame:
-    """Events as readings of day episodes split at 6:00, all users pooled, numbered."""
+    """Events as readings, numbered; an episode is a user's month (a month ends at 6:00 of the next one's first day), so episodes grow in number with users and time."""
     k = F.get_json_object("props", "$.k").cast("int")
     df = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") - F.lit(shift)).alias("tac"),
         (k / 100).alias("motion"), (22 + F.pmod(k, F.lit(16))).cast("double").alias("temp"),
     )
-    return numbered(day_episodes(df))
+    month = F.date_format(F.col("ts") - F.expr("INTERVAL 6 HOURS"), "yyyy-MM")
+    return numbered(df.withColumn("episode", F.concat_ws("_", "user_id", month)))
 
 
 def customer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def customer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first `error` (device off) and `signup` (device on) of each day episode."""
+    """The first `error` (device off) and `signup` (device on) of each episode."""
     df = event_readings(spark, sf_dir).where("event_type in ('error', 'signup')")
     name = F.when(F.col("event_type") == "error", "off").otherwise("on")
     return df.groupBy("episode", name.alias("event_name")).agg(F.min("ts").alias("event_ts"))
