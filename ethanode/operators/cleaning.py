@@ -124,22 +124,31 @@ def matern(d: np.ndarray, length: float, nu: float) -> np.ndarray:
 def _fit(base: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     """(loss, weights) of a Gaussian process with this correlation; its scale has a closed form."""
     try:
-        chol = np.linalg.cholesky(base + 1e-8 * np.eye(len(y)))
+        full = base + 1e-8 * np.eye(len(y))
+        chol = np.linalg.cholesky(full)
     except np.linalg.LinAlgError:
         return np.inf, np.zeros(len(y))
-    alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, y))
+    alpha = np.linalg.solve(full, y)
     return len(y) * np.log(max(float(y @ alpha) / len(y), 1e-12)) / 2 + np.log(np.diag(chol)).sum(), alpha
 
 
 def _best_length(loss, low: float = -3.0, high: float = 3.0) -> float:
     """The length between 10**low and 10**high of least loss: a grid, then golden sections beside its best point."""
-    grid = np.linspace(low, high, 9)
+    grid = np.linspace(low, high, 7)
     at = int(np.argmin([loss(10**g) for g in grid]))
     a, b = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
     ratio = (np.sqrt(5) - 1) / 2
-    for _ in range(10):
-        c, d = b - ratio * (b - a), a + ratio * (b - a)
-        a, b = (a, d) if loss(10**c) < loss(10**d) else (c, b)
+    c, d = b - ratio * (b - a), a + ratio * (b - a)
+    at_c, at_d = loss(10**c), loss(10**d)
+    for _ in range(6):
+        if at_c < at_d:
+            b, d, at_d = d, c, at_c
+            c = b - ratio * (b - a)
+            at_c = loss(10**c)
+        else:
+            a, c, at_c = c, d, at_d
+            d = a + ratio * (b - a)
+            at_d = loss(10**d)
     return 10 ** ((a + b) / 2)
 
 
