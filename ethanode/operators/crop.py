@@ -18,6 +18,11 @@ def day_episodes(df: DataFrame, split_time: str = "6:00", ts: str = "ts", name:
     return df.withColumn("__s", shifted).where(F.date_trunc("day", "__s") != F.col("__s")).withColumn(name, F.date_format("__s", "yyyy-MM-dd")).drop("__s")
 
 
+def owner_days(df: DataFrame, owner: str = "email", split_time: str = "6:00", ts: str = "ts", name: str = "day") -> DataFrame:
+    """`day_episodes` of a recording that several owners share: a slice is one owner's day; rows without an owner are in none."""
+    return day_episodes(df.where(F.col(owner).isNotNull()), split_time, ts, name)
+
+
 def max_duration(df: DataFrame, h: float, keys: Sequence[str] = EPISODE) -> DataFrame:
     """Rows up to h hours after the episode's first, that moment included."""
     return renumbered(df.where(F.col("hours") <= h), keys)
@@ -32,11 +37,16 @@ def session_bounds(metadata: DataFrame, first: DataFrame, keys: Sequence[str], b
     return joined.select(*keys, "begin", F.coalesce(end, F.col("begin") + hours(F.lit(max_duration_h))).alias("end"), F.col("time_zone"))
 
 
-def shifted_to_zone(df: DataFrame, upload_zone: str | None, zone_offset: str = "time_zone") -> DataFrame:
-    """Times moved from the upload's zone to the row's `h:mm` offset; no zone or 999 moves nothing."""
+def shifted_to_zone(df: DataFrame, upload_zone: str | None, zone_offset: str = "time_zone", date: str | None = None) -> DataFrame:
+    """Times moved from the upload's zone to the row's `h:mm` offset; no zone or 999 moves nothing.
+
+    The upload zone's offset is that of the day in the column `date`, or, where that is not
+    given or null, of the reading's own day.
+    """
     if upload_zone in (None, "999", 999):
         return df
-    base = utc_offset_hours(F.to_date("ts"), F.lit(upload_zone))
+    day = F.to_date("ts") if date is None else F.coalesce(F.col(date).try_cast("date"), F.to_date("ts"))
+    base = utc_offset_hours(day, F.lit(upload_zone))
     parts = F.split(F.col(zone_offset), ":")
     sign = F.when(F.col(zone_offset).startswith("-"), -1).otherwise(1)
     own = parts[0].cast("double") + sign * F.coalesce(F.get(parts, F.lit(1)).cast("double"), F.lit(0.0)) / 60

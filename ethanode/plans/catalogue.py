@@ -61,6 +61,13 @@ def episode_split_day(spark, sf):
     return out.select("user_id", "day", "n", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
 
 
+@query(R + " SELECT c_name AS email, strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%d') AS day, count(*) AS n, min(ts) AS first, max(ts) AS last FROM r JOIN customer ON c_custkey = user_id WHERE c_name IS NOT NULL AND ts - INTERVAL 6 HOUR <> date_trunc('day', ts - INTERVAL 6 HOUR) GROUP BY ALL")
+def email_split_day(spark, sf):
+    owners = recordings.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"))
+    out = results.split_manifest(crop.owner_days(joins.merged(readings(spark, sf), owners, "user_id", ["email"])), ["email", "day"])
+    return out.select("email", "day", "n", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
+
+
 @query(R + """ SELECT episode, count(*) AS n, round(avg(tac), 6) AS mean, round(stddev_samp(tac), 6) AS sd, round(stddev_samp(tac) / sqrt(count(tac)), 6) AS sem,
  round(CASE WHEN max(tac) > 0.5 THEN max(tac) ELSE 1.0 END, 6) AS peak, min_by(idx, (-tac, idx)) AS peak_index, round(sum(step) * 0.1, 6) AS auc_total, round(max(hours), 6) AS hours
  FROM (SELECT *, (tac + lag(tac) OVER (PARTITION BY episode ORDER BY idx)) / 2 AS step FROM r) GROUP BY episode""")

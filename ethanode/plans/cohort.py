@@ -55,14 +55,21 @@ def initial_validity(df: DataFrame, metadata: DataFrame, keys: Sequence[str]) ->
     return devices.join(used, list(keys), "left").select(*keys, F.when(F.coalesce("__use", F.lit(0)) == 0, "excluded by metadata").when(F.col("__d") > 1, "multiple devices").alias("reason"))
 
 
-def run(readings: DataFrame, metadata: DataFrame, config: EngineConfig = EngineConfig()) -> tuple[DataFrame, DataFrame]:
-    """(processed readings, features with metadata) of a cohort whose readings carry subid and dataset."""
+def run(readings: DataFrame, metadata: DataFrame, config: EngineConfig = EngineConfig(), upload_zone: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(processed readings, features with metadata) of a cohort whose readings carry subid and dataset.
+
+    Readings uploaded in `upload_zone` move to their episode's own time zone before the study
+    times crop them; without one, or with 999, they stay.
+    """
     keys = ("subid", "dataset_identifier", "episode_identifier")
     fanned = joins.fan_out(readings, metadata)
-    first = fanned.groupBy(*keys).agg(F.min("ts").alias("min_ts"))
     zone = metadata if "time_zone" in metadata.columns else metadata.withColumn("time_zone", F.lit(None).cast("string"))
     for c in ("crop_begin_date", "crop_begin_time", "crop_end_date", "crop_end_time"):
         zone = zone if c in zone.columns else zone.withColumn(c, F.lit(None).cast("string"))
+    if upload_zone is not None:
+        own = zone.select(*keys, F.col("time_zone").alias("__zone"), F.col("crop_begin_date").cast("string").alias("__date"))
+        fanned = crop.shifted_to_zone(joins.with_metadata(fanned, own, keys), upload_zone, "__zone", "__date").drop("__zone", "__date")
+    first = fanned.groupBy(*keys).agg(F.min("ts").alias("min_ts"))
     bounds = crop.session_bounds(zone, first, keys, config.crop_begin_adjust_h, config.crop_end_adjust_h, config.max_duration_h)
     good = initial_validity(fanned, metadata, keys).where("reason is null")
     numbered = windows.numbered(joins.semi(fanned, good, keys).withColumn("event_id", F.xxhash64("ts", "tac", "temp", "motion")), keys)
