@@ -28,6 +28,18 @@ def extension_of(name: Column) -> Column:
     return F.when(found != "", found)
 
 
+def slice_positions(name: Column) -> Column:
+    """First and last positions, from 0, of subid and dataset in a name like `1001_002_...`; null without a subid."""
+    n = F.length(subid_of(name))
+    return F.when(n.isNotNull(), F.array(F.lit(0), n - 1, n + 1, n + 3))
+
+
+def sliced(name: Column, positions: Column) -> Column:
+    """A struct of subid and dataset, cut from a name at the positions taken from another one."""
+    cut = lambda i: F.substring(name, positions[i] + 1, positions[i + 1] - positions[i] + 1)
+    return F.struct(cut(0).alias("subid"), cut(2).alias("dataset_identifier"))
+
+
 def follows_convention(name: Column) -> Column:
     return subid_of(name).isNotNull() & dataset_of(name).isNotNull()
 

@@ -92,9 +92,15 @@ def value_proportion(df: DataFrame, col: str, value, keys: Sequence[str] = EPISO
 
 
 def flag_counts(df: DataFrame, flags: Sequence[str], keys: Sequence[str] = EPISODE) -> DataFrame:
+    """How many rows of an episode each flag marks; an unset flag counts as 0."""
     return df.groupBy(*keys).agg(*[F.coalesce(F.sum(F.col(f).cast("long")), F.lit(0)).alias(f"{f}_count") for f in flags])
 
 
+def value_counts(df: DataFrame, col: str, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """(keys, col, n): rows of each value, null being one."""
+    return df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
+
+
 def wear_statistics(df: DataFrame, cutoff: float = 27.0, keys: Sequence[str] = EPISODE) -> DataFrame:
     """Hours and percentages off and on the body, by temperature over `cutoff`; 0 without temperatures."""
     off = F.coalesce(F.avg(F.when(F.col("temp").isNotNull(), (F.col("temp") <= cutoff).cast("double"))), F.lit(0.0))

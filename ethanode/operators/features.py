@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethanode.config import EngineConfig
-from ethanode.operators import aggregates, curve
+from ethanode.operators import aggregates, curve, learning
 
 #: Features that fall back to the raw signal's where the cleaned one has none.
 FALLBACK = ("auc_total", "auc_per_hour", "curve_auc", "curve_auc_per_hour", "avg_tac_diff")
@@ -40,7 +41,23 @@ def episode_features(df: DataFrame, raw: str, clean: str, keys: Sequence[str], c
     return both.withColumns({f"{c}_cln": F.when(F.coalesce(F.col(f"{c}_cln"), F.lit(0.0)) != 0, F.col(f"{c}_cln")).otherwise(F.col(f"{c}_raw")) for c in FALLBACK})
 
 
+def revised_features(features: DataFrame, models: Mapping[str, PipelineModel], config: EngineConfig = EngineConfig(), suffix: str = "") -> DataFrame:
+    """`features` with the durations and rates of cut-off curves revised, in columns ending in `_revised`.
+
+    `models` has fall_duration and rise_duration (`learning.feature_estimators`); where one is
+    missing, or a predictor has no value, the measured duration stays.
+    """
+    wanted = ("fall_duration", "rise_duration")
+    out = learning.estimated(features, {k: models[k] for k in wanted if k in models})
+    named = ("fall_completion", "rise_completion", "relative_peak", "fall_rate", "rise_rate", *wanted)
+    plain = out.select(*features.columns, *[F.col(f"{c}{suffix}").alias(f"__{c}") for c in named], *[F.coalesce(F.col(f"predicted_{k}") if k in models else F.lit(None), F.col(f"{k}{suffix}")).alias(f"__predicted_{k}") for k in wanted])
+    hidden = plain.select(F.struct(*features.columns).alias("__all"), *[F.col(f"__{c}").alias(c) for c in named], *[F.col(f"__predicted_{k}").alias(f"predicted_{k}") for k in wanted])
+    found = curve.revised(hidden, config.revision_limit, config.revision_upper, F.col("predicted_fall_duration"), F.col("predicted_rise_duration"))
+    return found.select("__all.*", *[F.col(f"{c}_revised").alias(f"{c}{suffix}_revised") for c in (*wanted, "fall_rate", "rise_rate")])
+
+
 def valid_and_invalid(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid) episodes; those without a verdict are invalid."""
     return features.where("valid = 1"), features.where("coalesce(valid, 0) <> 1")
 
 

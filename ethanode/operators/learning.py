@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -13,9 +13,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ethanode.operators import windows
 from ethanode.operators.joins import excluded_and_kept
 
 #: Study designs by name: filters on features, the outcome's column and its labels.
@@ -26,8 +28,28 @@ DESIGNS = {
     "worn": {"filters": {"device_on_label": ["unk"]}, "truth": "device_on_label", "labels": {0: 0.0, 1: 1.0}},
 }
 
+#: Outcomes as models are named after them (`RF_Binge`), and their designs.
+OUTCOMES = {"Alc_vs_Non": "AlcNon", "Binge": "Binge", "AUD": "AUD"}
+#: Features that are estimated where a curve is cut off, and what from.
+ESTIMATED = {
+    "fall_rate": ("relative_peak", "rise_duration", "rise_rate"),
+    "fall_duration": ("relative_peak", "rise_duration", "rise_rate"),
+    "rise_rate": ("relative_peak", "fall_duration", "fall_rate"),
+    "rise_duration": ("relative_peak", "fall_duration", "fall_rate"),
+}
+
+
+def complete(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Whether all the columns have a value in a row, NaN not being one."""
+    ok: Column = F.lit(True)
+    for c in columns:
+        number = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+        ok = ok & F.col(c).isNotNull() & (~F.isnan(c) if number else F.lit(True))
+    return ok
+
 
 def assembled(df: DataFrame, predictors: Sequence[str]) -> DataFrame:
+    """Rows with features; those without a value in every predictor are left out."""
     return VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="skip").transform(df)
 
 
@@ -43,11 +65,14 @@ def subject_folds(df: DataFrame, subject: str = "subid", folds: int | None = Non
 
 
 def grid(kind: str, rows: int, small: bool = False):
-    """(estimator, parameter maps) for `RF`, `LR` or `LinearReg`; small: one candidate per axis for quick runs."""
+    """(estimator, parameter maps) for `RF`, `LR` or `LinearReg`; small: one candidate per axis for quick runs.
+
+    Depths run from 10 in steps of 4 up to 30, the deepest that Spark's forests have.
+    """
     builder = ParamGridBuilder()
     if "RF" in kind:
         rf = RandomForestClassifier(seed=42)
-        trees, features, depths = ([20], ["sqrt"], [5]) if small else ([50, 100, 200, 400], ["sqrt", "log2"], [10, 15, 20, 25, 30])
+        trees, features, depths = ([20], ["3"], [5]) if small else ([10, 50, 100, 300], ["3", "5"], [10, 14, 18, 22, 26, 30])
         return rf, builder.addGrid(rf.numTrees, trees).addGrid(rf.featureSubsetStrategy, features).addGrid(rf.maxDepth, depths).build()
     if "LinearReg" in kind:
         lin = LinearRegression()
@@ -71,14 +96,14 @@ def optimized(df: DataFrame, kind: str, predictors: Sequence[str], label: str =
 
 
 def cross_validated(df: DataFrame, estimator, predictors: Sequence[str], label: str = "label", folds: int | None = None) -> DataFrame:
-    """`df` with predicted and probability for every row, each from a model that has not seen its subject."""
+    """`df` with fold, predicted and probability for every row, each from a model that has not seen its subject; null where a predictor has no value."""
     rows, n = subject_folds(assembled(df, predictors), folds=folds)
     rows = rows.withColumn("label", F.col(label).cast("double")).persist()
-    out = None
+    out = df.where(~complete(df, predictors)).withColumns({"fold": F.lit(None).cast("int"), "predicted": F.lit(None).cast("double"), "probability": F.lit(None).cast("double")})
     for fold in range(n):
         part = estimator.fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
         part = part.select(*df.columns, "fold", F.col("prediction").alias("predicted"), vector_to_array("probability")[1].alias("probability"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
@@ -101,15 +126,72 @@ def holdout(df: DataFrame, group: str = "subid", order: str = "row_id", share: f
     return df.join(held, group, "left_anti"), df.join(held, group, "left_semi")
 
 
-def feature_estimators(features: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], PipelineModel]:
-    """A linear regression of the second feature on the first, for each pair."""
+def feature_estimators(features: DataFrame, wanted: Mapping[str, Sequence[str]] = ESTIMATED, suffix: str = "") -> dict[str, PipelineModel]:
+    """A linear regression for each feature of `wanted` on its predictors, from the rows that have all of them; its column is predicted_<feature>."""
+    out = {}
+    for name, predictors in wanted.items():
+        inputs, y = [f"{p}{suffix}" for p in predictors], f"{name}{suffix}"
+        stages = [VectorAssembler(inputCols=inputs, outputCol="__x", handleInvalid="keep"), LinearRegression(featuresCol="__x", labelCol=y, predictionCol=f"predicted_{name}")]
+        out[name] = Pipeline(stages=stages).fit(features.where(complete(features, [*inputs, y])))
+    return out
+
+
+def estimated(features: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
+    """`features` with predicted_<feature> for each model, null where a predictor has no value."""
+    for name, model in models.items():
+        column = f"predicted_{name}"
+        features = model.transform(features).drop("__x").withColumn(column, F.when(~F.isnan(column), F.col(column)))
+    return features
+
+
+def model_names(chosen: Mapping[str, Sequence[str]]) -> list[str]:
+    """Names of the models to train, in order of outcomes: {"RF": ["Binge"]} has RF_Binge."""
+    return [f"{kind}_{outcome}" for outcome in OUTCOMES for kind, outcomes in chosen.items() if outcome in outcomes]
+
+
+def trained(features: DataFrame, names: Sequence[str], predictors: Sequence[str], folds: int | None = None, small: bool = False) -> dict[str, tuple]:
+    """For each name, such as `RF_Binge`: (the model of the best settings, the table of the search, rows with fold, predicted, probability, outcome and result).
+
+    Rows that the outcome's design excludes, or that have no label, follow with nulls. An
+    outcome without a design is an error.
+    """
     out = {}
-    for x, y in pairs:
-        stages = [VectorAssembler(inputCols=[x], outputCol="features"), LinearRegression(labelCol=y)]
-        out[x, y] = Pipeline(stages=stages).fit(features.where(F.col(x).isNotNull() & F.col(y).isNotNull()))
+    for name in names:
+        kind, _, outcome = name.partition("_")
+        design = DESIGNS[OUTCOMES[outcome]]
+        kept, excluded = excluded_and_kept(features, design["filters"])
+        labels = F.create_map(*[F.lit(x) for pair in design["labels"].items() for x in pair])
+        rows = kept.withColumn("label", labels[F.col(design["truth"])])
+        labelled = rows.where("label is not null")
+        model, found = optimized(labelled, kind, predictors, folds=folds, small=small)
+        estimator, maps = grid(kind, labelled.where(complete(labelled, predictors)).count(), small)
+        best = max(range(len(maps)), key=lambda i: found[i][1])
+        scored = outcome_kind(cross_validated(labelled, estimator.copy(maps[best]), predictors, folds=folds), "label")
+        rest = rows.where("label is null").unionByName(excluded, allowMissingColumns=True)
+        out[name] = (model, found, scored.unionByName(rest, allowMissingColumns=True))
     return out
 
 
+def wear_model(df: DataFrame, predictors: Sequence[str], estimator, label: str = "device_on_label", ends: int = 10, share: float = 0.3, group: str = "episode", order: str = "event_id", keys: Sequence[str] = windows.EPISODE):
+    """(model, rows with part, predicted and probability): whether a device was worn, learned from labelled rows.
+
+    The first and last `ends` rows of an episode are left out (part `ends`), as are rows
+    without a label (`unlabelled`) and without a value in every predictor (`incomplete`); of
+    the rest, a `share` of groups is held out (`held`), the model is fitted to the others
+    (`train`), and both get predictions.
+    """
+    inner = windows.without_ends(df, ends, keys)
+    outer = windows.head_and_tail(df, ends, keys)
+    ready = complete(df, predictors)
+    known = inner.where(F.col(label).isNotNull() & ready)
+    train, held = holdout(known, group, order, share)
+    model = estimator.setLabelCol("__label").fit(assembled(train, predictors).withColumn("__label", F.col(label).cast("double")))
+    both = train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("held")))
+    scored = model.transform(assembled(both, predictors)).select(*both.columns, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("probability"))
+    lost = inner.where(F.col(label).isNull() | ~ready).withColumn("part", F.when(F.col(label).isNull(), "unlabelled").otherwise("incomplete"))
+    return model, scored.unionByName(lost, allowMissingColumns=True).unionByName(outer.withColumn("part", F.lit("ends")), allowMissingColumns=True)
+
+
 def explained_variance(df: DataFrame, predictors: Sequence[str], k: int) -> list[float]:
     """Shares of variance of the first k principal components, unscaled."""
     return [float(x) for x in PCA(k=k, inputCol="features", outputCol="__pc").fit(assembled(df, predictors)).explainedVariance.toArray()]
@@ -140,12 +222,11 @@ def knee(costs: Sequence[float]) -> int:
 
 
 def clustered(df: DataFrame, predictors: Sequence[str], most: int = 9, seed: int = 42) -> DataFrame:
-    """`df` with cluster, for the number of clusters at the knee."""
+    """`df` with cluster, for the number of clusters at the knee; null where a predictor has no value."""
     k = knee(distortions(df, predictors, most, seed))
-    rows = assembled(df, predictors)
-    if k < 2:
-        return rows.withColumn("cluster", F.lit(0)).drop("features")
-    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows).drop("features")
+    rows, lost = assembled(df, predictors), df.where(~complete(df, predictors)).withColumn("cluster", F.lit(None).cast("int"))
+    found = rows.withColumn("cluster", F.lit(0)) if k < 2 else KMeans(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows)
+    return found.drop("features").unionByName(lost)
 
 
 def binary_predictions(features: DataFrame, model, predictors: Sequence[str], filters: dict, truth: str, labels: dict) -> DataFrame:

@@ -129,3 +129,8 @@ def standardized(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE)
 
 def baseline_corrected(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
     return df.withColumn(f"{col}_baseline", F.col(col) - F.least(F.min(col).over(whole(keys)), F.lit(0.0)))
+
+
+def sorted_by_text(df: DataFrame, col: str) -> DataFrame:
+    """Rows in the order of a text column whatever its case; the exact text breaks ties."""
+    return df.orderBy(F.lower(col), col)

@@ -550,6 +550,125 @@ def r_squared(spark, sf):
     return neat(aggregates.r_squared(readings(spark, sf).withColumn("fit", F.lit(50.0)), "tac", "fit"))
 
 
+@query(R + """, v AS (SELECT r.*, n, greatest(tac - 20, 0) AS v, max(greatest(tac - 20, 0)) OVER w - min(greatest(tac - 20, 0)) OVER w AS rng FROM r JOIN b USING (episode) WINDOW w AS (PARTITION BY r.episode))
+ SELECT episode, CAST(sum(CAST(tac - 20 < 0 AS INTEGER)) AS BIGINT) AS negative_reassigned_zero_count, CAST(sum(CAST(v > 80 AND n > 30 AND rng > 5 AS INTEGER)) AS BIGINT) AS extreme_outlier_count FROM v GROUP BY episode""")
+def cleaning_counts(spark, sf):
+    df = cleaning.bridge_extremes(cleaning.negatives_to_zero(readings(spark, sf, 20.0)), 80.0)
+    return aggregates.flag_counts(df, ["negative_reassigned_zero", "extreme_outlier"])
+
+
+@query(R + " SELECT episode, CAST(temp > 27 AS INTEGER) AS device_on, count(*) AS n FROM r GROUP BY ALL")
+def device_on_counts(spark, sf):
+    return aggregates.value_counts(cleaning.worn(readings(spark, sf)), "device_on")
+
+
+@query(R + """, t AS (SELECT episode, idx FROM (SELECT episode, idx, row_number() OVER (PARTITION BY episode ORDER BY idx) AS rn FROM r WHERE idx <= 15 AND tac - 40 < 3) WHERE rn = 3),
+ h AS (SELECT episode, max(tac - 40) AS top FROM r WHERE idx <= 5 GROUP BY episode)
+ SELECT event_id, round(CASE WHEN top > 10 AND r.idx < t.idx THEN 0 ELSE tac - 40 END, 6) AS tac FROM r LEFT JOIN t USING (episode) LEFT JOIN h USING (episode)""")
+def baseline_artifact(spark, sf):
+    return neat(cleaning.zero_high_baseline(readings(spark, sf, 40.0)), "event_id", "tac")
+
+
+@query(R + """, x AS (SELECT episode, avg(CASE WHEN motion = 0 OR temp <= 27 THEN 1.0 ELSE 0.0 END) AS i, avg(CASE WHEN tac > 100 THEN 1.0 ELSE 0.0 END) AS m, max(hours) AS h FROM r GROUP BY episode)
+ SELECT episode, CASE WHEN i * 100 >= 36 OR (1 - i) * h <= 1 OR m * 100 > 15 THEN 'invalid' ELSE 'valid' END AS part FROM x""")
+def valid_episodes(spark, sf):
+    df = cleaning.worn(readings(spark, sf)).withColumn("extreme_outlier", (F.col("tac") > 100).cast("int"))
+    good, bad = features.valid_and_invalid(aggregates.quality_control(df, 1.0, 36.0, 15.0))
+    return good.select("episode", F.lit("valid").alias("part")).unionByName(bad.select("episode", F.lit("invalid").alias("part")))
+
+
+@query(M + " SELECT user_id, condition, CASE WHEN condition <> 'Unk' THEN CAST(drinks >= 4 AS INTEGER) END AS predicted FROM m")
+def prediction_write_back(spark, sf):
+    meta = recordings.customer_metadata(spark, sf)
+    found = meta.where("condition <> 'Unk'").withColumn("predicted", (F.col("drinks") >= 4).cast("int"))
+    return joins.written_back(meta, found, ["user_id"], ["predicted"]).select("user_id", "condition", "predicted")
+
+
+@query(M + " SELECT user_id, format('Predicted {} with probability {:.2f}', CASE WHEN drinks >= 4 THEN 'Alc' ELSE 'Non' END, drinks / 10) AS sentence FROM m")
+def prediction_sentence(spark, sf):
+    rows = recordings.customer_metadata(spark, sf).select("user_id", F.when(F.col("drinks") >= 4, "Alc").otherwise("Non").alias("predicted"), (F.col("drinks") / 10).alias("probability"))
+    return rows.select("user_id", learning.outcome_text("predicted", "probability").alias("sentence"))
+
+
+@query(M + """, f AS (SELECT CAST(condition = 'Alc' AS INTEGER) AS t, CAST(drinks >= 4 AS INTEGER) AS p, drinks FROM m WHERE condition <> 'Unk'),
+ k AS (SELECT t, rank() OVER (ORDER BY drinks) + (count(*) OVER (PARTITION BY drinks) - 1) / 2.0 AS rk FROM f),
+ a AS (SELECT (sum(rk) FILTER (t = 1) - sum(t) * (sum(t) + 1) / 2.0) / (sum(t) * sum(1 - t)) AS auc FROM k)
+ SELECT CAST(sum(t * p) AS BIGINT) AS tp, CAST(sum((1 - t) * (1 - p)) AS BIGINT) AS tn, CAST(sum((1 - t) * p) AS BIGINT) AS fp, CAST(sum(t * (1 - p)) AS BIGINT) AS fn,
+ round(sum(t * p + (1 - t) * (1 - p)) / count(*), 2) AS accuracy, round(sum(t * p) / sum(t), 2) AS sensitivity, round(sum((1 - t) * (1 - p)) / sum(1 - t), 2) AS specificity, round(any_value(auc), 4) AS auc FROM f, a""")
+def performance_report(spark, sf):
+    meta = recordings.customer_metadata(spark, sf).where("condition <> 'Unk'")
+    rows = meta.select((F.col("condition") == "Alc").cast("int").alias("truth"), (F.col("drinks") >= 4).cast("int").alias("predicted"), (F.col("drinks") / 10).alias("probability"))
+    return results.model_performance(aggregates.confusion(rows, positive=1, negative=0), rows)
+
+
+@query(M + " SELECT CAST(user_id AS VARCHAR) || '_' || lpad(CAST(user_id % 50 AS VARCHAR), 3, '0') || 'e1' AS \"ID\", round(1 - drinks / 10, 2) AS negative, round(drinks / 10, 2) AS positive FROM m")
+def probability_report(spark, sf):
+    rows = recordings.customer_metadata(spark, sf).withColumn("probability", F.col("drinks") / 10)
+    return results.model_probabilities(rows, ids.full_identifier(F.col("user_id"), F.col("user_id") % 50, F.lit(1)))
+
+
+@query("""WITH n AS (SELECT c_custkey, CAST(1000 + c_custkey AS VARCHAR) AS s, lpad(CAST(1 + c_nationkey AS VARCHAR), 3, '0') AS d FROM customer)
+ SELECT c_custkey, len(s) - 1 AS subid_end, len(s) + 1 AS dataset_start, s AS subid, d AS dataset_identifier FROM n""")
+def filename_slices(spark, sf):
+    c = recordings.table(spark, sf, "customer")
+    name = F.concat((F.col("c_custkey") + 1000).cast("string"), F.lit("_"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 3, "0"), F.lit(".csv"))
+    rows = c.select("c_custkey", name.alias("name")).withColumn("at", ids.slice_positions(F.col("name")))
+    return rows.withColumn("cut", ids.sliced(F.col("name"), F.col("at"))).select("c_custkey", F.col("at")[1].alias("subid_end"), F.col("at")[2].alias("dataset_start"), "cut.*")
+
+
+@query(R + M.replace("WITH m", ", m") + """ SELECT user_id, CASE WHEN coalesce(any_value(use_data), 'N') <> 'Y' THEN 'excluded by metadata' WHEN count(DISTINCT CASE WHEN user_id % 3 = 0 AND day(ts) > 15 THEN 2 ELSE 1 END) > 1 THEN 'multiple devices' END AS reason FROM r LEFT JOIN m USING (user_id) GROUP BY user_id""")
+def initial_validity(spark, sf):
+    device = F.when((F.col("user_id") % 3 == 0) & (F.dayofmonth("ts") > 15), 2).otherwise(1)
+    return cohort.initial_validity(readings(spark, sf).withColumn("device_id", device), recordings.customer_metadata(spark, sf), ["user_id"])
+
+
+@query("""SELECT o_orderkey, 'ordered' AS event_name, CAST(o_orderdate AS TIMESTAMP) AS event_ts FROM orders
+ UNION ALL SELECT o_orderkey, 'urgent', CAST(o_orderdate AS TIMESTAMP) + INTERVAL 90 MINUTE FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def event_sheet(spark, sf):
+    """A sheet of event times as text, in two formats, and rows that do not parse."""
+    o = recordings.table(spark, sf, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp"))
+    later = F.date_format(F.col("t") + F.expr("INTERVAL 90 MINUTES"), "yyyy-MM-dd HH:mm:ss")
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", later).when(F.col("o_orderpriority") == "2-HIGH", "none")
+    sheet = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate", F.date_format("t", "yyyy-MM-dd HH:mm").alias("ordered"), urgent.alias("urgent"))
+    return recordings.event_times(sheet, ["o_orderkey"]).select("o_orderkey", "event_name", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"))
+
+
+USERS = " , u AS (SELECT user_id, avg(tac) AS mean, max(tac) AS peak FROM r JOIN customer ON c_custkey = user_id GROUP BY user_id)"
+
+
+@query(R + USERS + ", k AS (SELECT regr_slope(peak, mean) AS a, regr_intercept(peak, mean) AS c FROM u) SELECT user_id, round(mean, 6) AS mean, round(peak, 6) AS peak, round(a * mean + c, 6) AS prediction FROM u, k")
+def linreg_estimator(spark, sf):
+    df = _user_features(spark, sf)
+    found = learning.estimated(df, learning.feature_estimators(df, {"peak": ["mean"]}))
+    return neat(found.withColumnRenamed("predicted_peak", "prediction"), "user_id", "mean", "peak", "prediction")
+
+
+def _regression(y: str, xs: tuple[str, str, str]) -> str:
+    """SQL of coefficients b1, b2, b3 and b0 of y on three columns of w, by Cramer's rule on covariances."""
+    s = {(i, j): f"covar_pop({xs[i]}, {xs[j]})" for i in range(3) for j in range(3)}
+    t = [f"covar_pop({x}, {y})" for x in xs]
+
+    def det(c):
+        return " + ".join(f"({c[0, i]}) * (({c[1, j]}) * ({c[2, k]}) - ({c[1, k]}) * ({c[2, j]}))" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+    over = [", ".join([f"({det({(i, j): t[i] if j == n else s[i, j] for i in range(3) for j in range(3)})}) / ({det(s)}) AS b{n + 1}"]) for n in range(3)]
+    means = ", ".join(f"avg({x}) AS m{i + 1}" for i, x in enumerate(xs))
+    return f"(SELECT b1, b2, b3, m0 - b1 * m1 - b2 * m2 - b3 * m3 AS b0 FROM (SELECT {', '.join(over)}, avg({y}) AS m0, {means} FROM w))"
+
+
+@query(R + C + f""", w AS (SELECT episode, peak - thr AS rp, hp - hb AS rd, he - hp AS fd, CASE WHEN hp <> hb THEN (peak - thr) / (hp - hb) ELSE 0 END AS rr, CASE WHEN he <> hp THEN (peak - thr) / (he - hp) ELSE 0 END AS fr,
+ CASE WHEN vb - thr <= 0 THEN 1.0 ELSE (peak - thr - (vb - thr)) / (peak - thr) END AS rc, CASE WHEN ve - thr <= 0 THEN 1.0 ELSE (peak - thr - (ve - thr)) / (peak - thr) END AS fc FROM q),
+ kf AS {_regression("fd", ("rp", "rd", "rr"))}, kr AS {_regression("rd", ("rp", "fd", "fr"))},
+ z AS (SELECT w.*, kf.b0 + kf.b1 * rp + kf.b2 * rd + kf.b3 * rr AS pf, kr.b0 + kr.b1 * rp + kr.b2 * fd + kr.b3 * fr AS pr FROM w, kf, kr)
+ SELECT episode, round(CASE WHEN fc < 0.5 THEN pf WHEN fc < 0.9 THEN fd / nullif(fc, 0) ELSE fd END, 4) AS fall_duration_revised, round(CASE WHEN rc < 0.5 THEN pr WHEN rc < 0.9 THEN rd / nullif(fc, 0) ELSE rd END, 4) AS rise_duration_revised,
+ round(CASE WHEN fc < 0.5 AND pf <> 0 THEN rp / pf ELSE fr END, 4) AS fall_rate_revised, round(CASE WHEN rc < 0.5 AND pr <> 0 THEN rp / pr ELSE rr END, 4) AS rise_rate_revised FROM z""")
+def revise_by_models(spark, sf):
+    rows = curve.curve_measures(curve.curve_bounds(_thresholded(spark, sf)))
+    models = learning.feature_estimators(rows, {k: learning.ESTIMATED[k] for k in ("fall_duration", "rise_duration")})
+    found = features.revised_features(rows, models)
+    return found.select("episode", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("fall_duration_revised", "rise_duration_revised", "fall_rate_revised", "rise_rate_revised")])
+
+
 # --- no SQL for the same rows: grouped or fitted -------------------------------------------
 
 
@@ -597,10 +716,28 @@ def lr_cv(spark, sf):
 
 
 @query()
-def linreg_estimator(spark, sf):
-    df = _user_features(spark, sf)
-    model = learning.feature_estimators(df, [("mean", "peak")])["mean", "peak"]
-    return neat(model.transform(df), "user_id", "mean", "peak", "prediction")
+def linreg_search(spark, sf):
+    """Both settings of the linear grid with their squared errors over three folds of subjects."""
+    _, found = learning.optimized(_user_features(spark, sf), "LinearReg", ["mean", "sd", "n"], "peak", folds=3)
+    return spark.createDataFrame([(bool(p["fitIntercept"]), round(x, 6)) for p, x in found], "intercept boolean, squared_error double")
+
+
+@query()
+def trained_models(spark, sf):
+    """A forest of condition by the study design, rows without a known condition excluded."""
+    df = _user_features(spark, sf).drop("label")
+    scored = learning.trained(df, learning.model_names({"RF": ["Alc_vs_Non"]}), PREDICTORS, folds=3, small=True)["RF_Alc_vs_Non"][2]
+    return neat(scored, "user_id", "condition", "predicted", "probability", "outcome", "result")
+
+
+@query()
+def wear_model(spark, sf):
+    """A forest that tells worn from removed rows by temperature and motion around them, with its held-out episodes."""
+    df = windows.row_features(joins.labelled_by_events(readings(spark, sf), recordings.day_events(spark, sf)))
+    shapes = [f"{c}_{k}_{side}" for c in ("temp", "motion") for k in ("a", "b", "c", "mean_change", "diff") for side in ("pre" if k != "diff" else "prior", "post")]
+    forest = learning.grid("RF", 0, small=True)[0].copy({}).setNumTrees(20).setMaxDepth(5)
+    _, scored = learning.wear_model(df, ["temp", "motion", *shapes], forest)
+    return neat(scored, "event_id", "part", "device_on_label", "predicted", "probability")
 
 
 def _vectors(spark, sf) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +37,18 @@ def processed(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineC
     return curve.truncated(df, curve.threshold_search(df, "tac_smooth", config.baseline_range, keys), keys)
 
 
-def cohort_features(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineConfig()) -> DataFrame:
+def cohort_features(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineConfig(), estimators: Mapping[str, PipelineModel] | None = None) -> DataFrame:
     """Feature rows with quality verdicts, for the output of `processed`.
 
+    Durations and rates of cut-off curves are revised, by `estimators` (`learning.feature_estimators`
+    of an earlier cohort's rows) where they are given.
+
     The readings are written once and read by every aggregate: the cleaning stages run Python
     per episode and should not run again for each.
     """
     df = materialize(df, "readings")
     rows = features.episode_features(df, "tac_raw", "tac_smooth", keys, config, threshold="threshold")
+    rows = features.revised_features(rows, estimators or {}, config, "_cln")
     checks = aggregates.quality_control(df, config.min_active_h, config.max_inactive_pct, config.max_imputed_pct, keys)
     return rows.join(checks, list(keys), "left")
 
@@ -55,7 +60,7 @@ def initial_validity(df: DataFrame, metadata: DataFrame, keys: Sequence[str]) ->
     return devices.join(used, list(keys), "left").select(*keys, F.when(F.coalesce("__use", F.lit(0)) == 0, "excluded by metadata").when(F.col("__d") > 1, "multiple devices").alias("reason"))
 
 
-def run(readings: DataFrame, metadata: DataFrame, config: EngineConfig = EngineConfig(), upload_zone: str | None = None) -> tuple[DataFrame, DataFrame]:
+def run(readings: DataFrame, metadata: DataFrame, config: EngineConfig = EngineConfig(), upload_zone: str | None = None, estimators: Mapping[str, PipelineModel] | None = None) -> tuple[DataFrame, DataFrame]:
     """(processed readings, features with metadata) of a cohort whose readings carry subid and dataset.
 
     Readings uploaded in `upload_zone` move to their episode's own time zone before the study
@@ -74,6 +79,6 @@ def run(readings: DataFrame, metadata: DataFrame, config: EngineConfig = EngineC
     good = initial_validity(fanned, metadata, keys).where("reason is null")
     numbered = windows.numbered(joins.semi(fanned, good, keys).withColumn("event_id", F.xxhash64("ts", "tac", "temp", "motion")), keys)
     out = processed(crop.between(numbered, bounds, keys), keys, config)
-    rows = cohort_features(out, keys, config)
+    rows = cohort_features(out, keys, config, estimators)
     about = metadata.withColumns({"binge": ids.binge(F.col("total_drinks"), F.col("sex")) if "sex" in metadata.columns else F.lit("Unk"), "condition": ids.coerced_condition(F.col("condition"))})
     return out, joins.with_metadata(rows, about, keys)

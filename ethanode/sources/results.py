@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ethanode.operators.learning import roc_auc
+
 
 def present(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """The columns of `order` that `df` has, then its others."""
@@ -55,6 +57,16 @@ def metadata_template(metadata: DataFrame, excluded: DataFrame, keys: Sequence[s
     return out.withColumn("use_data", F.when(F.col("__out"), "N").otherwise(F.col("use_data"))).drop("__out")
 
 
-def model_performance(scored: DataFrame, confusion: DataFrame) -> DataFrame:
-    """The confusion figures with their percentages rounded to two places."""
-    return confusion.withColumns({c: F.round(c, 2) for c in ("accuracy", "sensitivity", "specificity")})
+def model_performance(confusion: DataFrame, scored: DataFrame | None = None, probability: str = "probability", truth: str = "truth") -> DataFrame:
+    """The confusion figures with accuracy, sensitivity and specificity rounded to two places, and the area under the ROC curve of `scored`."""
+    out = confusion.withColumns({c: F.round(c, 2) for c in ("accuracy", "sensitivity", "specificity")})
+    if scored is None:
+        return out
+    known = scored.where(F.col(probability).isNotNull() & F.col(truth).isNotNull())
+    return out.withColumn("auc", F.round(F.lit(roc_auc(known, probability, truth)), 4))
+
+
+def model_probabilities(scored: DataFrame, identifier: Column, probability: str = "probability") -> DataFrame:
+    """(ID, negative, positive): both probabilities of each predicted row, rounded to two places."""
+    p = F.col(probability)
+    return scored.where(p.isNotNull()).select(identifier.alias("ID"), F.round(1 - p, 2).alias("negative"), F.round(p, 2).alias("positive"))
