@@ -7,6 +7,7 @@ over the residual gaps, smallest.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -66,6 +67,12 @@ class WordIds(dict):
         return np.array(ids, "<u4").tobytes()
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """This process's `WordIds`: one Python worker runs many tasks, which share the vocabulary read and the words known."""
+    return WordIds(path)
+
+
 def token_pieces(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) for each piece of each document.
 
@@ -79,7 +86,7 @@ def token_pieces(df: DataFrame, tokenizer: str | None = None, capacity: int = CA
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        ids_of = WordIds(tokenizer).__getitem__
+        ids_of = word_ids(tokenizer).__getitem__
         for batch in batches:
             keys, rows, bodies = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
