@@ -8,6 +8,7 @@ over the residual gaps, smallest.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -28,13 +29,18 @@ class WordIds(dict):
     """Run of bytes without ASCII white space to its token ids, little-endian uint32.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are those
-    of its runs. Runs of lower-case letters that no normalisation changes go straight to the
-    BPE model, ASCII capitals through their lower case, letters before a full stop or comma
-    as two runs; all others through the whole tokenizer, as they are.
+    of its runs. Runs of printable ASCII are split by the vocabulary's pattern and their parts,
+    in lower case, go straight to the BPE model, as do lower-case letters that no normalisation
+    changes; all others, and what may hold a special token, go through the whole tokenizer, as
+    they are. When `bound` runs are remembered, those used since that last happened stay.
     """
 
+    _ASCII = re.compile(rb"[!-~]+")
+    _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # a fixed value: the vocabulary's pattern for printable ASCII
+
     def __init__(self, path: str, bound: int = 400_000):
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,26 +50,41 @@ class WordIds(dict):
         self.shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}  # GPT-2's public byte alphabet
 
     def __missing__(self, run: bytes) -> bytes:
+        value = self.older.pop(run, None)
+        if value is None:
+            parts = self._parts(run)
+            value = self._ids(run) if parts == [run] else b"".join(map(self.__getitem__, parts))
         if len(self) >= self.bound:
+            self.older = dict(self)
             self.clear()
-        value = self[run] = self._ids(run)
+        self[run] = value
         return value
 
+    def _parts(self, run: bytes) -> list[bytes]:
+        """The runs whose ids make up those of `run`; itself alone where it is not put together."""
+        if run.isalpha():  # ASCII letters
+            return [run.lower()]
+        body, stop = run[:-1], run[-1:]
+        if stop in (b".", b",") and (body.isalpha() or self._plain(body)):
+            return [body, stop]
+        return self._PARTS.findall(run.lower()) if self._ascii(run) else [run]
+
+    def _ascii(self, run: bytes) -> bool:
+        return self._ASCII.fullmatch(run) is not None and b"<|" not in run
+
+    @staticmethod
+    def _plain(body: bytes) -> bool:
+        """Lower-case letters so old that all versions of Unicode agree on them; composed, as they are letters."""
+        word = body.decode("utf-8", "replace")
+        return word.isalpha() and word == word.lower() and max(word) < "\u0250"
+
     def _ids(self, run: bytes) -> bytes:
-        body, stop = (run[:-1], run[-1:]) if len(run) > 1 and run[-1:] in (b".", b",") else (run, b"")
-        if body.isalpha():  # ASCII letters
-            low = body.lower()
-            if stop or low != body:
-                return self[low] + (self[stop] if stop else b"")
-            ids = [t.id for t in self.model.tokenize(low.decode())]
+        if self._ascii(run):
+            ids = [t.id for t in self.model.tokenize(run.decode())]
+        elif self._plain(run):
+            ids = [t.id for t in self.model.tokenize(run.decode("latin-1").translate(self.shown))]
         else:
-            word = body.decode("utf-8", "replace")
-            if word.isalpha() and word == word.lower() and max(word) < "\u0250":  # old letters, on which all versions of Unicode agree; composed, as they are letters
-                if stop:
-                    return self[body] + self[stop]
-                ids = [t.id for t in self.model.tokenize(body.decode("latin-1").translate(self.shown))]
-            else:
-                ids = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
 
