@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,10 @@ def words_column(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def ascii_lower(c: Column) -> Column:
+    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 

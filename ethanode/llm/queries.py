@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethanode.llm import decontaminate, language_id, near_dedup, packing, quality_model, quality_rules, secrets, sharding, substring_dedup, url_filter
+from ethanode.llm import decontaminate, language_id, manifest, near_dedup, packing, quality_model, quality_rules, secrets, sharding, spelling, substring_dedup, toxicity, url_filter
 from ethanode.llm.common import crc_of_id, table
 
 
@@ -66,4 +66,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_dedup, op4_url_filter, op5_secrets, op6_substring_dedup, op7_decontamination, op8_quality_rules, op9_quality_model, op10_sharding)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
+    scored = toxicity.train_and_score(docs, labels.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    made = manifest.manifest(table(spark, sf_dir, "documents"), columns, checked=manifest.tampered(columns))
+    rows = made.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"), manifest.folded(F.col("checked"), F.col("steps")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_dedup, op4_url_filter, op5_secrets, op6_substring_dedup, op7_decontamination, op8_quality_rules, op9_quality_model, op10_sharding, op11_toxicity, op12_spelling_variants, op13_manifest)}

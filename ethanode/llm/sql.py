@@ -38,3 +38,57 @@ ORACLE_SQL: dict[str, str] = {
  q AS (SELECT source, max((k + a) / (n + a + b)) AS rate FROM h JOIN z USING (rule) GROUP BY source)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept FROM f LEFT JOIN q USING (source)""",
 }
+
+#: The table of the reflected CRC-32 (polynomial EDB88320), by its rule; _CRC folds a list of bytes with it.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+#: UTF-8 bytes of a text without code points over 00FF.
+_BYTES = "flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, (unicode(c) - 64)::BIGINT] END))"
+
+
+def _crc(text: str) -> str:
+    return _CRC.format(bytes=_BYTES.format(text=text))
+
+
+ORACLE_SQL["op12_spelling_variants"] = f"""WITH RECURSIVE {_CRC_TABLE},
+ r AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY ALL),
+ h AS (SELECT r, n, {_crc("doc_id || ':' || r")} AS h FROM r, crc), g AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM h),
+ w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM g WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+ x AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+ e AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.d = b.d AND a.i = b.i AND a.word <> b.word UNION SELECT x.word, w.word FROM x JOIN w ON x.d = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.d = w.word),
+ m AS (SELECT e.word, count(*) AS n_near, max(b.n) AS top, min_by(near, (-b.n, near)) AS best FROM e JOIN w b ON b.word = near GROUP BY e.word),
+ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN best END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n FROM w LEFT JOIN m ON m.word = w.word),
+ go(word, place) AS (SELECT word, word FROM f UNION ALL SELECT go.word, f.form FROM go JOIN f ON f.word = go.place WHERE f.form IS NOT NULL),
+ z AS (SELECT go.word, go.place AS root FROM go JOIN f ON f.word = go.place WHERE f.form IS NULL)
+ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON z.word = f.word"""
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs {name}0 .. of (p, idx, n, h), up to the root, and {name}s0 .. with the siblings' digests l and r."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(levels):
+        out.append(f"{name}s{k} AS (SELECT a.p, a.idx, any_value(a.n) AS n, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r FROM {name}{k} a LEFT JOIN {name}{k} b ON a.p = b.p AND a.idx // 8 = b.idx // 8 AND a.idx <> b.idx GROUP BY a.p, a.idx)")
+        out.append(f"{name}{k + 1} AS (SELECT p, idx // 8 AS idx, (any_value(n) + 7) // 8 AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h FROM {name}{k} GROUP BY p, idx // 8)")
+    return ", ".join(out)
+
+
+def _walk(name: str, tree: str, start: str, part: str, at: str, levels: int) -> str:
+    """CTEs that fold f and join the siblings into `proof` along the levels of a tree, for rows of `start` whose leaf is (part, at)."""
+    out, before = [], start
+    for k in range(levels):
+        out.append(f"{name}{k} AS (SELECT q.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.l || q.f || s.r) ELSE q.f END AS f, q.proof || s.l || s.r AS proof) FROM {before} q JOIN {tree}s{k} s ON s.p = q.{part} AND s.idx = q.{at} // {8**k})")
+        before = f"{name}{k}"
+    return ", ".join(out)
+
+
+_ENCODED = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_ENCODED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_TEXT_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Levels written out: enough for 8**6 rows of a language and 8**3 languages.
+_LOW, _TOP = 6, 3
+
+ORACLE_SQL["op13_manifest"] = f"""WITH {_CRC_TABLE}, d AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n, {_LEAF.format(text="text")} AS leaf,
+ CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_LEAF.format(text=_TEXT_LOWER)} ELSE {_LEAF.format(text="text")} END AS f, '' AS proof, 0 AS one FROM documents, crc),
+ {_tree("t", "SELECT p, idx, n, leaf AS h FROM d", _LOW)}, {_tree("u", f"SELECT 0 AS p, p AS idx, count(*) OVER () AS n, h FROM t{_LOW}", _TOP)},
+ {_walk("v", "t", "d", "p", "idx", _LOW)}, {_walk("w", "u", f"v{_LOW - 1}", "one", "p", _TOP)}
+ SELECT doc_id, leaf, t{_LOW}.h AS subroot, u{_TOP}.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u{_TOP}.h AS verified FROM w{_TOP - 1} w JOIN t{_LOW} ON t{_LOW}.p = w.p, u{_TOP}"""

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethanode.llm.common import materialize
+from ethanode.llm.common import ascii_lower, materialize
 
 #: (rule, verdict): host, then the path's beginning.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -18,10 +18,6 @@ FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "dig
 ENTROPY_CHARS = string.ascii_lowercase + string.digits + "-._~:/?#[]@!$&'()*+,;=%"
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
-
-
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host after the first `://`, A-Z lower-cased, and path; both empty without one or for null."""
     at = F.instr(url, "://")
