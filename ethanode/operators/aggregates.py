@@ -41,13 +41,24 @@ def windowed_peak(df: DataFrame, width: int, col: str = "tac", keys: Sequence[st
     Near an episode's end the published tool reaches n - width - 1 rows ahead instead of to
     the last row, and near its start back to row 1; both are kept.
     """
-    both = df.withColumn("__n", F.count(F.lit(1)).over(whole(keys)))
-    back = F.when(F.col("idx") - width > 0, width).otherwise(F.col("idx") - 1)
-    ahead = F.when(F.col("idx") + width < F.col("__n"), width).otherwise(F.col("__n") - width - 1)
-    values = F.collect_list(F.coalesce(col, F.lit(float("-inf")))).over(whole(keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lo, hi = F.greatest(F.col("idx") - back, F.lit(0)), F.least(F.col("idx") + ahead, F.col("__n") - 1)
-    both = both.withColumns({"__v": values, "__lo": lo.cast("int"), "__len": F.greatest(hi - lo + 1, F.lit(0)).cast("int")})
-    return both.withColumn("local_peak", floored_peak(F.array_max(F.slice("__v", F.col("__lo") + 1, F.col("__len"))))).drop("__n", "__v", "__lo", "__len")
+    n, w, i = F.count(F.lit(1)).over(whole(keys)), by(keys), F.col("idx")
+    d = df.withColumns({"__n": n, "__v": F.when(i > 0, F.col(col))})
+    # maxima over 1, 2, 4 ... rows up to this one and from it on, each from two of the half width
+    d, step = d.withColumns({"__b": F.col("__v"), "__f": F.col("__v")}), 1
+    while 2 * step <= width + 1:
+        d = d.withColumns({"__b": F.greatest("__b", F.lag("__b", step).over(w)), "__f": F.greatest("__f", F.lead("__f", step).over(w))})
+        step *= 2
+    rest = width + 1 - step
+    around = F.greatest("__b", "__f", F.lag("__b", rest).over(w), F.lead("__f", rest).over(w))
+    # episodes of under two widths have rows that reach neither end: from row 1 to n - width - 1 rows ahead
+    running = F.coalesce(F.max("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(float("-inf")))
+    d = d.withColumns({"__around": around, "__running": F.when(F.col("__n") < 2 * width, running)})
+    heads = F.collect_list("__running").over(whole(keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    d = d.withColumn("__heads", heads)
+    ahead = i + F.col("__n") - width - 1
+    short = F.when(ahead >= 1, F.get("__heads", ahead.cast("int")))
+    top = F.when((i < width) & (i + width >= F.col("__n")), short).otherwise(F.col("__around"))
+    return d.withColumn("local_peak", floored_peak(top)).drop("__n", "__v", "__b", "__f", "__around", "__running", "__heads")
 
 
 def baseline(df: DataFrame, col: str = "tac", rows: int = 10, keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -83,7 +94,7 @@ def direction_changes(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPI
 def sampling_rate(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     seconds = F.unix_micros("ts") / 1e6
     step = seconds - F.lag(seconds).over(by(keys))
-    return df.withColumn("__s", step).groupBy(*keys).agg(F.bround(60 / F.avg("__s")).alias("sampling_rate"))
+    return df.withColumn("__s", step).groupBy(*keys).agg(F.bround(F.try_divide(F.lit(60), F.avg("__s"))).alias("sampling_rate"))
 
 
 def value_proportion(df: DataFrame, col: str, value, keys: Sequence[str] = EPISODE) -> DataFrame:

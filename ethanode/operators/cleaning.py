@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
-from math import gamma
+from collections.abc import Callable, Mapping, Sequence
+from math import gamma, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethanode.operators.windows import EPISODE, by, numbered, whole
+from ethanode.operators.windows import EPISODE, backwards, by, numbered, whole
 
 
 def sloped_start(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -61,7 +62,7 @@ def bridge_extremes(df: DataFrame, cutoff: float = 800.0, keys: Sequence[str] =
     high = F.col("tac") > cutoff
     ok = F.when(~high, F.col("tac"))
     before = F.last(ok, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(ok, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last(ok, ignorenulls=True).over(backwards(keys).rowsBetween(Window.unboundedPreceding, -1))
     wanted = (F.count(F.lit(1)).over(whole(keys)) > 30) & (F.max("tac").over(whole(keys)) - F.min("tac").over(whole(keys)) > 5)
     d = df.withColumns({"__hit": F.coalesce(high & wanted, F.lit(False)), "__mid": (before + after) / 2})
     return d.withColumns({"extreme_outlier": F.col("__hit").cast("int"), "tac": F.when(F.col("__hit") & F.col("__mid").isNotNull(), F.col("__mid")).otherwise(F.col("tac"))}).drop("__hit", "__mid")
@@ -80,13 +81,42 @@ def zero_high_baseline(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFram
     return d.withColumn("tac", F.when((F.col("__peak") > 10) & (F.col("idx") < F.col("__third")), 0.0).otherwise(F.col("tac"))).drop("__peak", "__third")
 
 
+def kept_in_steps(micros: np.ndarray, least: int) -> list[int]:
+    """Places of ascending times that stay if each comes `least` or more after the last one that stayed."""
+    kept, at = [], 0
+    while at < len(micros):
+        kept.append(at)
+        at = max(at + 1, int(np.searchsorted(micros, micros[at] + least)))
+    return kept
+
+
+def thinning(df: DataFrame, seconds: float = 59.0, keys: Sequence[str] = EPISODE, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """The rows that greedy thinning leaves: one stays if it comes `seconds` or more after the last row that stayed; rows without a time go.
+
+    Each choice rests on the one before it, so an episode is gone through in one pass, by
+    searches in its sorted times.
+    """
+    least = round(seconds * 1e6)
+
+    def keep(rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.is_valid(rows.column("ts"))).sort_by([(c, "ascending") for c in order])
+        return rows.take(pa.array(kept_in_steps(rows.column("ts").cast(pa.int64()).to_numpy(), least), pa.int64()))
+
+    return df.groupBy(*keys).applyInArrow(keep, df.schema)
+
+
 def thinned(df: DataFrame, seconds: float = 59.0, keys: Sequence[str] = EPISODE, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Greedy thinning: a row stays if it comes `seconds` or more after the last row that stayed."""
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((F.unix_micros("ts") / 1e6).alias("t"), "idx"))).alias("__all"))
-    start = F.struct(F.lit(float("-inf")).alias("t"), F.array().cast("array<bigint>").alias("kept"))
-    kept = F.aggregate("__all", start, lambda acc, x: F.when(x["t"] - acc["t"] >= seconds, F.struct(x["t"].alias("t"), F.concat(acc["kept"], F.array(x["idx"])).alias("kept"))).otherwise(acc), lambda acc: acc["kept"])
-    chosen = times.select(*keys, F.explode(kept).alias("idx"))
-    return numbered(df.join(chosen, [*keys, "idx"], "left_semi"), keys, order)
+    """`thinning`, numbered anew."""
+    return numbered(thinning(df, seconds, keys, order), keys, order)
+
+
+def thinned_where_dense(df: DataFrame, seconds: float = 59.0, keys: Sequence[str] = EPISODE, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """`df` with the episodes thinned that have more than one row a minute, by the rounded mean; the others stay as they are."""
+    w = whole(keys)
+    span = (F.unix_micros(F.max("ts").over(w)) - F.unix_micros(F.min("ts").over(w))) / 1e6
+    dense = F.coalesce(F.bround(F.try_divide(60 * (F.count("ts").over(w) - 1), span)) > 1, span == 0, F.lit(False)) & (F.count("ts").over(w) > 1)
+    marked = df.withColumn("__dense", dense)
+    return thinning(marked.where("__dense").drop("__dense"), seconds, keys, order).unionByName(marked.where("not __dense").drop("__dense"))
 
 
 # --- gaps of values, filled from the rows around them -------------------------------------
@@ -160,8 +190,9 @@ def predicted(x: np.ndarray, y: np.ndarray, at: np.ndarray, method: str) -> np.n
     if len(x) < 2:
         return np.full(len(at), y[0] if len(y) else 0.0)
     if method == "line":
-        b, a = np.polyfit(x, y, 1) if np.ptp(x) else (0.0, y.mean())
-        return a + b * at
+        mid, off = y.mean(), x - x.mean()
+        spread = float(off @ off)
+        return mid + (float(off @ y) / spread if spread else 0.0) * (at - x.mean())
     if method == "interpolate" or not y.any():
         return np.interp(at, x, y)
     apart = x[:, None] - x[None, :]
@@ -224,17 +255,44 @@ def filled(values: np.ndarray, hours: np.ndarray, missing: np.ndarray, *, extend
     return np.nan_to_num(np.maximum(out, 0.0), nan=0.0)
 
 
+def per_episode(df: DataFrame, added: Mapping[str, pa.DataType], compute: Callable[[pa.Table], Mapping[str, object]], keys: Sequence[str] = EPISODE) -> DataFrame:
+    """`df` with the columns of `added`, which replace those of their names: computed for each episode, its rows by idx, in Arrow batches."""
+    replaced = {c.lower() for c in added}
+    kinds = {pa.float64(): "double", pa.int32(): "int"}
+    old = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name.lower() not in replaced]
+    schema = ", ".join([*old, *[f"`{c}` {kinds[t]}" for c, t in added.items()]])
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("idx")
+        found = compute(rows)
+        rows = rows.drop_columns([c for c in rows.column_names if c.lower() in replaced])
+        for c, kind in added.items():
+            values = found[c]
+            rows = rows.append_column(c, values if isinstance(values, pa.Array) else pa.array(np.asarray(values).astype(kind.to_pandas_dtype())))
+        return rows
+
+    return df.groupBy(*keys).applyInArrow(one, schema)
+
+
+def _numbers(rows: pa.Table, column: str) -> np.ndarray:
+    """A column as doubles, null as NaN."""
+    return rows.column(column).cast(pa.float64()).to_numpy()
+
+
+def filled_where(v: np.ndarray, hours: np.ndarray, hit: np.ndarray, **how) -> np.ndarray:
+    """`filled`, values that are missing anyway included; untouched where none is."""
+    gone = hit | ~np.isfinite(v)
+    return filled(v, hours, gone, **how) if gone.any() else v
+
+
 def fill_missing(df: DataFrame, missing: str, out: str, *, col: str = "tac", keys: Sequence[str] = EPISODE, **how) -> DataFrame:
     """`df` with `out`: `col` filled where `missing` is true. One episode per group: a day of readings at most."""
-    schema = f"{df._jdf.schema().toDDL()}, `{out}` double"
 
-    def one(episode: pd.DataFrame) -> pd.DataFrame:
-        episode = episode.sort_values("idx")
-        hit = episode[missing].fillna(False).to_numpy(bool)
-        v = episode[col].to_numpy(float)
-        return episode.assign(**{out: filled(v, episode["hours"].to_numpy(float), hit | ~np.isfinite(v), **how) if hit.any() or not np.isfinite(v).all() else v})
+    def compute(rows: pa.Table):
+        hit = rows.column(missing).fill_null(False).to_numpy()
+        return {out: filled_where(_numbers(rows, col), _numbers(rows, "hours"), hit, **how)}
 
-    return df.groupBy(*keys).applyInPandas(one, schema)
+    return per_episode(df, {out: pa.float64()}, compute, keys)
 
 
 def fill_linear(df: DataFrame, missing: str, out: str, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -242,7 +300,7 @@ def fill_linear(df: DataFrame, missing: str, out: str, col: str = "tac", keys: S
     w = by(keys)
     known = F.when(~F.coalesce(F.col(missing), F.lit(False)), F.struct(F.col("hours").alias("h"), F.col(col).alias("v")))
     a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    b = F.last(known, ignorenulls=True).over(backwards(keys).rowsBetween(Window.unboundedPreceding, 0))
     d = df.withColumns({"__a": a, "__b": b})
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col("hours") - F.col("__a.h")) / (F.col("__b.h") - F.col("__a.h"))
     value = F.when(known.isNotNull(), F.col(col)).when(F.col("__b.h") > F.col("__a.h"), line).otherwise(F.coalesce("__a.v", "__b.v", F.lit(0.0)))
@@ -267,6 +325,8 @@ def without_artifacts(v: np.ndarray, hours: np.ndarray, major: float = 0.8, mino
     first, but the second at the earliest, that finds nothing.
     """
     n, out, kept = len(v), v.astype(float).copy(), v.astype(float).copy()
+    peaks: dict[int, float] = {}
+    places = np.arange(10) - 4.5
     is_major, is_minor, settled = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
     walk = 0
     while True:
@@ -275,15 +335,17 @@ def without_artifacts(v: np.ndarray, hours: np.ndarray, major: float = 0.8, mino
             jump = out[i] - out[i - 1]
             if settled[i] or abs(jump) <= 5:
                 continue
-            peak = local_peak(v, i)
-            scale, off, hi = np.log(peak) + 1e-4, abs(out[i] - out[i - 3 : i].mean()), i
-            if peak > 15 and off > 0 and np.log(off) / scale >= major:
-                sign, slope = np.sign(jump), abs(np.polyfit(np.arange(10), out[i - 10 : i], 1)[0])
+            if i not in peaks:
+                peaks[i] = local_peak(v, i)
+            peak = peaks[i]
+            scale, off, hi = log(peak) + 1e-4, abs(out[i] - (out[i - 3] + out[i - 2] + out[i - 1]) / 3), i
+            if peak > 15 and off > 0 and log(off) / scale >= major:
+                sign, slope = np.sign(jump), abs(float(places @ out[i - 10 : i])) / 82.5
                 while hi < n and sign * (out[hi] - out[i - 1]) > slope * (hi - i) + 0.05:
                     hi += 1
                 side = "left" if hours[-1] - hours[i] < 1 else "both"
                 is_major[i:hi] = True
-            elif walk > 1 and peak > 5 and np.log(abs(jump)) / scale >= minor and np.log(abs(jump)) / (np.log(local_peak(kept, i)) + 1) > 0.35:
+            elif walk > 1 and peak > 5 and log(abs(jump)) / scale >= minor and log(abs(jump)) / (log(local_peak(kept, i)) + 1) > 0.35:
                 hi, side = i + 1, "left"
                 is_minor[i] = True
             if hi == i:
@@ -298,12 +360,54 @@ def without_artifacts(v: np.ndarray, hours: np.ndarray, major: float = 0.8, mino
 
 def artifacts_removed(df: DataFrame, major: float = 0.8, minor: float = 0.5, keys: Sequence[str] = EPISODE) -> DataFrame:
     """tac without sudden jumps, and the flags major_outlier and minor_outlier. Sequential within an episode, so one group per episode."""
-    schema = f"{df._jdf.schema().toDDL()}, major_outlier int, minor_outlier int"
 
-    def one(episode: pd.DataFrame) -> pd.DataFrame:
-        episode = episode.sort_values("idx")
-        v = np.nan_to_num(episode["tac"].to_numpy(float))
-        out, a, b = without_artifacts(v, episode["hours"].to_numpy(float), major, minor)
-        return episode.assign(tac=np.maximum(out, 0.0), major_outlier=a.astype("int32"), minor_outlier=b.astype("int32"))
+    def compute(rows: pa.Table):
+        out, a, b = without_artifacts(np.nan_to_num(_numbers(rows, "tac")), _numbers(rows, "hours"), major, minor)
+        return {"tac": np.maximum(out, 0.0), "major_outlier": a, "minor_outlier": b}
+
+    return per_episode(df, {"tac": pa.float64(), "major_outlier": pa.int32(), "minor_outlier": pa.int32()}, compute, keys)
+
+
+def bridged(v: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """The values and the marks of `bridge_extremes` for one episode."""
+    hit = v > cutoff
+    if not hit.any() or len(v) <= 30 or v.max() - v.min() <= 5:
+        return v, np.zeros(len(v), bool)
+    known, at = np.flatnonzero(~hit), np.flatnonzero(hit)
+    after = np.searchsorted(known, at)
+    inside = (after > 0) & (after < len(known))
+    out = v.copy()
+    out[at[inside]] = (v[known[after[inside] - 1]] + v[known[after[inside]]]) / 2
+    return out, hit
+
+
+#: Columns that `repaired` adds: the value after each stage, and what marks the rows.
+STAGES = {
+    "tac_gaps_filled": pa.float64(), "tac_extremes": pa.float64(), "extreme_outlier": pa.int32(), "device_on": pa.int32(), "tac_device_off": pa.float64(),
+    "device_off_imputed": pa.int32(), "tac_processed": pa.float64(), "major_outlier": pa.int32(), "minor_outlier": pa.int32(), "tac": pa.float64(),
+}
+
+
+def repaired(df: DataFrame, extreme: float = 800.0, wear_temp: float = 27.0, major: float = 0.8, minor: float = 0.5, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Gaps filled, extremes bridged, removal of the device filled and artifacts taken out, one after the other, in one pass over each episode.
+
+    `df` has gap_imputed. The stages are those of `fill_missing`, `bridge_extremes`,
+    `device_removal_filled` and `artifacts_removed`; the episode's values go from one to the
+    next without leaving the task.
+    """
 
-    return df.groupBy(*keys).applyInPandas(one, schema)
+    def compute(rows: pa.Table):
+        hours, temp = _numbers(rows, "hours"), _numbers(rows, "temp")
+        gaps = filled_where(_numbers(rows, "tac"), hours, _numbers(rows, "gap_imputed") == 1, limit=0.7, method="matern")
+        extremes, marked = bridged(gaps, extreme)
+        worn_ = np.isfinite(temp)
+        off = filled_where(extremes, hours, worn_ & (temp <= wear_temp), extend=15, limit=0.9, side="flex", method="matern")
+        out, a, b = without_artifacts(np.nan_to_num(off), hours, major, minor)
+        out = np.maximum(out, 0.0)
+        on = pa.array(temp > wear_temp, pa.bool_(), mask=~worn_).cast(pa.int32())
+        return {
+            "tac_gaps_filled": gaps, "tac_extremes": extremes, "extreme_outlier": marked, "device_on": on, "tac_device_off": off,
+            "device_off_imputed": off != extremes, "tac_processed": out, "major_outlier": a, "minor_outlier": b, "tac": out,
+        }
+
+    return per_episode(df, STAGES, compute, keys)

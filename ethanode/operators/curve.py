@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethanode.operators.aggregates import baseline, floored_peak
-from ethanode.operators.windows import EPISODE, by, renumbered, whole
+from ethanode.operators.windows import EPISODE, backwards, by, renumbered, whole
 
 
 def with_episode(df: DataFrame, values: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -24,7 +24,7 @@ def threshold_search(df: DataFrame, col: str = "tac", rows: int = 10, keys: Sequ
     taken. None: the search stops at the last place it may try.
     """
     w, v = by(keys), F.col(col)
-    first, rest = w.rowsBetween(0, rows), w.rowsBetween(0, Window.unboundedFollowing)
+    first, rest = w.rowsBetween(0, rows), backwards(keys).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumns({
         "__n": F.count(F.lit(1)).over(whole(keys)),
         "__thr": F.avg(v).over(first) + F.stddev_samp(v).over(first),
@@ -74,13 +74,17 @@ def curve_bounds(df: DataFrame, col: str = "tac", threshold: str = "curve_thresh
     k = F.col("idx") - F.col("__p")
     climbing = F.col(threshold) + F.least(ramp * (k - 1), F.lit(ramp_max))
     down = F.when((k > 0) & (F.col("idx") < F.col("__n") - 1) & (v < climbing), F.col("idx"))
-    got = d.groupBy(*keys).agg(F.max("__n").alias("n"), F.max("__p").alias("peak_index"), F.coalesce(F.max(up), F.lit(0)).alias("begin"), F.coalesce(F.min(down), F.max("idx")).alias("end"), F.min(down).isNotNull().alias("__found"), F.max(threshold).alias("__thr"), F.max_by(v, F.struct(v, -F.col("idx"))).alias("__peak"), F.map_from_entries(F.collect_list(F.struct("idx", F.struct(v.alias("v"), F.col("hours").alias("h"))))).alias("__at"))
-    at = lambda c: F.col("__at")[F.col(c)]
+    row = F.struct(v.alias("v"), F.col("hours").alias("h"))
+    got = d.groupBy(*keys).agg(
+        F.max("__n").alias("n"), F.max("__p").alias("peak_index"), F.coalesce(F.max(up), F.lit(0)).alias("begin"), F.coalesce(F.min(down), F.max("idx")).alias("end"),
+        F.min(down).isNotNull().alias("__found"), F.max(threshold).alias("__thr"), F.max_by(row, F.struct(v, -F.col("idx"))).alias("__top"),
+        F.coalesce(F.max_by(row, up), F.min_by(row, "idx")).alias("__begin"), F.coalesce(F.min_by(row, down), F.max_by(row, "idx")).alias("__end"),
+    )
     steps = F.col("end") - F.col("peak_index") - F.when(F.col("__found"), 0).otherwise(1)
     return got.select(
-        *keys, "n", "peak_index", "begin", "end", F.col("__thr").alias("threshold"), floored_peak(F.col("__peak")).alias("peak"),
-        (at("peak_index")["h"] - at("begin")["h"]).alias("rise_duration"), (at("end")["h"] - at("peak_index")["h"]).alias("fall_duration"),
-        at("begin")["v"].alias("begin_value"), at("end")["v"].alias("end_value"),
+        *keys, "n", "peak_index", "begin", "end", F.col("__thr").alias("threshold"), floored_peak(F.col("__top.v")).alias("peak"),
+        (F.col("__top.h") - F.col("__begin.h")).alias("rise_duration"), (F.col("__end.h") - F.col("__top.h")).alias("fall_duration"),
+        F.col("__begin.v").alias("begin_value"), F.col("__end.v").alias("end_value"),
         (F.col("__thr") + F.least(ramp * F.greatest(steps, F.lit(0)), F.lit(ramp_max))).alias("end_threshold"),
     )
 
@@ -141,18 +145,19 @@ def curve_count(df: DataFrame, col: str = "tac", threshold: str = "curve_thresho
     first run, and the peak is over the rows from its first (one earlier for the first run) to
     the next run's first.
     """
-    over = df.where(F.col(col) > F.col(threshold))
-    w = by(keys)
-    gap = (F.col("idx") - F.lag("idx").over(w)) * rate / 60
-    over = over.withColumn("run", F.sum(F.when(gap >= separation_h, 1).otherwise(0)).over(w))
-    runs = over.groupBy(*keys, "run").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    runs = runs.withColumn("next_lo", F.lead("lo").over(by(keys, "run"))).where("next_lo is not null")
-    first = (F.col("run") == 0).cast("int")
-    runs = runs.withColumns({"from": F.greatest(F.col("lo") - first, F.lit(0)), "duration": (F.col("hi") - F.col("lo") + first) * rate / 60})
-    rows = df.select(*keys, "idx", F.col(col).alias("__v"))
-    peaks = runs.where(F.col("duration") >= min_h).join(rows, list(keys)).where("idx >= `from` and idx <= next_lo").groupBy(*keys, "run").agg(F.max("__v").alias("peak"))
-    counts = peaks.where(F.col("peak") > min_peak).groupBy(*keys).agg(F.count(F.lit(1)).alias("curve_count"))
-    return df.select(*keys).distinct().join(counts, list(keys), "left").withColumn("curve_count", F.coalesce("curve_count", F.lit(0)))
+    w, v = by(keys), F.col(col)
+    over = F.when(v > F.col(threshold), F.col("idx"))
+    d = df.select(*keys, "idx", v.alias("__v"), over.alias("__over"), F.last(over, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__last"))
+    starts = F.col("__over").isNotNull() & F.coalesce((F.col("__over") - F.col("__last")) * rate / 60 >= separation_h, F.lit(True))
+    d = d.withColumn("run", F.sum(starts.cast("int")).over(w))  # 0 before the first run
+    runs = d.groupBy(*keys, "run").agg(F.min("idx").alias("lo"), F.max("__over").alias("hi"), F.max("__v").alias("top"), F.min_by("__v", "idx").alias("opens"), F.max_by("__v", "idx").alias("closes"))
+    w = by(keys, "run")
+    first = F.col("run") == 1
+    # a run reaches to the next one's first row, and the first one begins a row early
+    peak = F.greatest("top", F.lead("opens").over(w), F.when(first, F.lag("closes").over(w)))
+    runs = runs.withColumns({"peak": peak, "next": F.lead("lo").over(w), "duration": (F.col("hi") - F.col("lo") + first.cast("int")) * rate / 60})
+    counted = (F.col("run") > 0) & F.col("next").isNotNull() & (F.col("duration") >= min_h) & (F.col("peak") > min_peak)
+    return runs.groupBy(*keys).agg(F.count(F.when(counted, 1)).alias("curve_count"))
 
 
 def thresholded(df: DataFrame, col: str = "tac", rows: int = 10, keys: Sequence[str] = EPISODE) -> DataFrame:

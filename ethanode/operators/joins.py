@@ -52,10 +52,24 @@ def outer_by_row(left: DataFrame, right: DataFrame, key: str = "row_id") -> Data
 
 
 def nearest_reading(df: DataFrame, events: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
-    """(keys, event_name, event_ts, idx): the reading nearest in time to each event, the first on ties."""
-    paired = df.select(*keys, "idx", "ts").join(sized(events), list(keys))
-    away = F.abs(F.unix_micros("ts") - F.unix_micros("event_ts"))
-    return paired.groupBy(*keys, "event_name", "event_ts").agg(F.min(F.struct(away.alias("d"), F.col("idx"))).alias("m")).select(*keys, "event_name", "event_ts", F.col("m.idx").alias("idx"))
+    """(keys, event_name, event_ts, idx): the reading nearest in time to each event, the first on ties.
+
+    Readings and events are sorted together: the last reading up to an event and the first one
+    after it are what running windows in both directions hold, and the nearer of them is taken.
+    Events without a time, and those of episodes without readings, have none and are left out.
+    """
+    reading = F.struct("ts", "idx")
+    rows = df.where("ts is not null").select(*keys, "ts", "idx", F.lit(None).cast("string").alias("event_name"), reading.alias("__r"))
+    marks = events.where("event_ts is not null").select(*keys, F.col("event_ts").cast(df.schema["ts"].dataType).alias("ts"), F.lit(None).cast(df.schema["idx"].dataType).alias("idx"), "event_name", F.lit(True).alias("__event"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    later = F.col("__event").isNotNull().cast("int")  # of one moment, readings come before events, and the first reading last
+    upward = Window.partitionBy(*keys).orderBy("ts", later, F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    downward = Window.partitionBy(*keys).orderBy(F.col("ts").desc(), later.desc(), F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sides = [F.last("__r", ignorenulls=True).over(w) for w in (upward, downward)]
+    found = both.withColumns({"__before": sides[0], "__after": sides[1]}).where("__event")
+    away = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.unix_micros("ts") - F.unix_micros(F.col(c)["ts"])).alias("d"), F.col(c)["idx"].alias("idx"))) for c in ("__before", "__after")]
+    out = found.select(*keys, "event_name", F.col("ts").alias("event_ts"), F.least(*away)["idx"].alias("idx")).where("idx is not null")
+    return out.dropDuplicates([*keys, "event_name", "event_ts"])
 
 
 def event_rows(df: DataFrame, keys: Sequence[str], event_columns: Sequence[str]) -> DataFrame:

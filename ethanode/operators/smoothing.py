@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethanode.operators.windows import EPISODE, whole
+from ethanode.operators.windows import EPISODE, by, whole
 
 
 def coefficients(window: int = 51, order: int = 3) -> list[float]:
@@ -21,17 +21,20 @@ def coefficients(window: int = 51, order: int = 3) -> list[float]:
 def smoothed(df: DataFrame, col: str = "tac", out: str = "smooth", window: int = 51, order: int = 3, keys: Sequence[str] = EPISODE) -> DataFrame:
     """`df` with `out`, the filtered `col`; past an end the series is mirrored about its last value, again and again if it is short."""
     half = window // 2
-    values = F.collect_list(F.coalesce(col, F.lit(0.0))).over(whole(keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    n, i = F.col("__n"), F.col("idx").cast("int")
+    period = F.greatest(2 * (n - 1), F.lit(1))
+    # where a row stands: at its own place, and, near an end, at its mirrored ones beyond it
+    turns = F.sequence(-F.floor(half / period).cast("int") - 1, F.floor(half / period).cast("int") + 2)
+    places = F.array_distinct(F.flatten(F.transform(turns, lambda k: F.array(i + k * period, k * period - i))))
+    beyond = F.filter(places, lambda p: (p >= -half) & (p <= n - 1 + half))
+    near = (i <= half) | (i >= n - 1 - half)
+    d = df.withColumn("__n", F.count(F.lit(1)).over(whole(keys)).cast("int"))
+    d = d.withColumn("__at", F.explode(F.when(near, beyond).otherwise(F.array(i))))
+    frame = by(keys, "__at").rowsBetween(-half, half)
+    d = d.withColumn("__ys", F.collect_list(F.coalesce(col, F.lit(0.0))).over(frame))
     weights = F.array(*[F.lit(c) for c in coefficients(window, order)])
-    d = df.withColumns({"__v": values, "__n": F.count(F.lit(1)).over(whole(keys)).cast("int"), "__w": weights})
-    period = F.greatest(2 * (F.col("__n") - 1), F.lit(1))
-
-    def mirrored(offset):
-        q = F.pmod(F.col("idx").cast("int") + offset, period)
-        return F.when(F.col("__n") == 1, 0).when(q < F.col("__n"), q).otherwise(period - q)
-
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), F.lit(0.0), lambda acc, j: acc + F.get("__w", j) * F.get("__v", mirrored(j - half)))
-    return d.withColumn(out, total).drop("__v", "__n", "__w")
+    total = F.aggregate(F.zip_with("__ys", weights, lambda y, c: y * c), F.lit(0.0), lambda acc, x: acc + x)
+    return d.where(F.col("__at") == F.col("idx")).withColumn(out, total).drop("__n", "__at", "__ys")
 
 
 def lifted(df: DataFrame, col: str = "smooth", keys: Sequence[str] = EPISODE) -> DataFrame:

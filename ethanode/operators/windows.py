@@ -14,6 +14,11 @@ def by(keys: Sequence[str], order: str = "idx"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def backwards(keys: Sequence[str], order: str = "idx"):
+    """From the last row to the first: what looks at all rows that follow is a running frame here, where one to the end would be computed anew for each row."""
+    return Window.partitionBy(*keys).orderBy(F.col(order).desc())
+
+
 def whole(keys: Sequence[str]):
     return Window.partitionBy(*keys)
 

@@ -14,7 +14,7 @@ from ethanode.functions import dates
 from ethanode.functions import identifiers as ids
 from ethanode.operators import aggregates, cleaning, crop, curve, features, joins, learning, plot_data, smoothing, windows
 from ethanode.plans import cohort
-from ethanode.sources import recordings, results
+from ethanode.sources import recordings, results, workbooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -633,6 +633,14 @@ def event_sheet(spark, sf):
     return recordings.event_times(sheet, ["o_orderkey"]).select("o_orderkey", "event_name", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"))
 
 
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS file, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
+def workbook_round_trip(spark, sf):
+    """Customers as one workbook a nation, written and read again in the executors."""
+    files = workbooks.as_workbooks(recordings.table(spark, sf, "customer"), "c_nationkey", order=["c_custkey"])
+    rows = workbooks.sheet_table(files, path_col="file")
+    return neat(rows.withColumn("c_acctbal", F.col("c_acctbal").cast("double")), "file", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
 USERS = " , u AS (SELECT user_id, avg(tac) AS mean, max(tac) AS peak FROM r JOIN customer ON c_custkey = user_id GROUP BY user_id)"
 
 

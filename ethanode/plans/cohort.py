@@ -20,19 +20,19 @@ def cleaned(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineCon
     df = cleaning.sloped_start(df, keys).withColumn("tac_sloped_start", F.col("tac"))
     df = cleaning.negatives_to_zero(df, config.parity).withColumn("tac_negatives", F.col("tac"))
     df = cleaning.insert_gap_rows(df, config.gap_fill_h, config.sampling_rate, keys=keys)
-    df = df.withColumn("__gap", F.col("gap_imputed") == 1)
-    df = cleaning.fill_missing(df, "__gap", "tac_gaps_filled", keys=keys, limit=0.7, method="matern").withColumn("tac", F.col("tac_gaps_filled")).drop("__gap")
-    df = cleaning.bridge_extremes(df, config.extreme_tac, keys).withColumn("tac_extremes", F.col("tac"))
-    df = cleaning.device_removal_filled(df, config.wear_temp_c, keys).withColumn("tac_device_off", F.col("tac"))
-    return cleaning.artifacts_removed(df, config.major_threshold, config.minor_threshold, keys).withColumn("tac_processed", F.col("tac"))
+    return cleaning.repaired(df, config.extreme_tac, config.wear_temp_c, config.major_threshold, config.minor_threshold, keys)
 
 
 def processed(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Readings cropped, cleaned, smoothed and cut to where the curve starts, with threshold."""
+    """Readings cropped, cleaned, smoothed and cut to where the curve starts, with threshold.
+
+    The cleaned readings are written before the threshold is searched in them, so that no
+    episode goes through Python twice.
+    """
     df = crop.max_duration(df, config.max_duration_h, keys)
     if config.crop_by_temperature:
         df = crop.by_temperature(df, config.wear_temp_c, keys)
-    df = cleaned(crop.large_enough(df, config.min_rows, keys), keys, config)
+    df = materialize(cleaned(crop.large_enough(df, config.min_rows, keys), keys, config), "cleaned")
     df = smoothing.lifted(smoothing.smoothed(df, "tac_processed", "tac_smooth", config.smoothing_window, config.smoothing_order, keys), "tac_smooth", keys)
     return curve.truncated(df, curve.threshold_search(df, "tac_smooth", config.baseline_range, keys), keys)
 
@@ -60,13 +60,24 @@ def initial_validity(df: DataFrame, metadata: DataFrame, keys: Sequence[str]) ->
     return devices.join(used, list(keys), "left").select(*keys, F.when(F.coalesce("__use", F.lit(0)) == 0, "excluded by metadata").when(F.col("__d") > 1, "multiple devices").alias("reason"))
 
 
+def cropped_away(wanted: DataFrame, cropped: DataFrame, keys: Sequence[str], least: int = 10) -> DataFrame:
+    """(keys, invalid_reason, valid) of the wanted episodes of which fewer than `least` rows are left after cropping."""
+    left = cropped.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    gone = wanted.select(*keys).distinct().join(left, list(keys), "left").where(F.coalesce("__n", F.lit(0)) < least)
+    return gone.select(*keys, F.lit("no data within crop times").alias("invalid_reason"), F.lit(0).alias("valid"))
+
+
 def run(readings: DataFrame, metadata: DataFrame, config: EngineConfig = EngineConfig(), upload_zone: str | None = None, estimators: Mapping[str, PipelineModel] | None = None) -> tuple[DataFrame, DataFrame]:
     """(processed readings, features with metadata) of a cohort whose readings carry subid and dataset.
 
-    Readings uploaded in `upload_zone` move to their episode's own time zone before the study
-    times crop them; without one, or with 999, they stay.
+    Recordings with more than one row a minute are thinned first. Readings uploaded in
+    `upload_zone` move to their episode's own time zone before the study times crop them;
+    without one, or with 999, they stay. Episodes of which the crop leaves fewer than
+    `min_rows_after_crop` rows come out as invalid, without features.
     """
     keys = ("subid", "dataset_identifier", "episode_identifier")
+    readings = readings.withColumn("event_id", F.xxhash64("ts", "tac", "temp", "motion"))
+    readings = cleaning.thinned_where_dense(readings, config.downsample_s, keys[:2])
     fanned = joins.fan_out(readings, metadata)
     zone = metadata if "time_zone" in metadata.columns else metadata.withColumn("time_zone", F.lit(None).cast("string"))
     for c in ("crop_begin_date", "crop_begin_time", "crop_end_date", "crop_end_time"):
@@ -77,8 +88,9 @@ def run(readings: DataFrame, metadata: DataFrame, config: EngineConfig = EngineC
     first = fanned.groupBy(*keys).agg(F.min("ts").alias("min_ts"))
     bounds = crop.session_bounds(zone, first, keys, config.crop_begin_adjust_h, config.crop_end_adjust_h, config.max_duration_h)
     good = initial_validity(fanned, metadata, keys).where("reason is null")
-    numbered = windows.numbered(joins.semi(fanned, good, keys).withColumn("event_id", F.xxhash64("ts", "tac", "temp", "motion")), keys)
-    out = processed(crop.between(numbered, bounds, keys), keys, config)
+    cropped = materialize(crop.between(windows.numbered(joins.semi(fanned, good, keys), keys), bounds, keys), "cropped")
+    out = processed(cropped, keys, config)
     rows = cohort_features(out, keys, config, estimators)
+    rows = rows.unionByName(cropped_away(good, cropped, keys, config.min_rows_after_crop), allowMissingColumns=True)
     about = metadata.withColumns({"binge": ids.binge(F.col("total_drinks"), F.col("sex")) if "sex" in metadata.columns else F.lit("Unk"), "condition": ids.coerced_condition(F.col("condition"))})
     return out, joins.with_metadata(rows, about, keys)

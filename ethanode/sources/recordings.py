@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethanode.functions import identifiers as ids
-from ethanode.functions.dates import recorded_time
-from ethanode.operators.joins import event_rows
+from ethanode.functions.dates import recorded_time, standard_dates
+from ethanode.operators.joins import event_rows, stacked
 from ethanode.operators.windows import numbered
-from ethanode.schema import nan_to_null, normalize_columns
+from ethanode.schema import KEYS, METADATA, nan_to_null, normalize_columns
+from ethanode.sources import workbooks
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV where the path ends so (no types are guessed), a workbook if a reader is at hand, else Parquet."""
+    """CSV where the path ends so (no types are guessed), the first sheet of a workbook, as texts, else Parquet."""
     if path.rstrip("/").endswith("csv"):
         return spark.read.csv(path, header=True)
-    if path.endswith((".xlsx", ".xls")):
-        import pandas as pd  # needs openpyxl
-
-        return spark.createDataFrame(pd.read_excel(path, dtype=str))
+    if path.endswith(".xlsx"):
+        return workbooks.read_sheet(spark, path)
     return spark.read.parquet(path)
 
 
@@ -44,9 +43,64 @@ def readings_of(df: DataFrame, file_name: str | None = None) -> DataFrame:
 
 
 def read_cohort(spark: SparkSession, folder: str) -> DataFrame:
-    """All recordings of a folder of CSV files; subid and dataset come from the files' names."""
-    raw = spark.read.csv(folder, header=True, pathGlobFilter="*.csv").select("*", F.col("_metadata.file_name").alias("__file"))
-    return readings_of(raw, "__file").withColumnRenamed("__file", "file_name")
+    """All recordings of a folder of CSV files and workbooks; subid and dataset come from the files' names.
+
+    Files whose names do not follow the convention, such as metadata beside the recordings, are left out.
+    """
+    parts = []
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    kinds = {r[0] for r in files.select(ids.extension_of(F.col("name"))).distinct().collect()}
+    if "csv" in kinds:
+        parts.append(spark.read.csv(folder, header=True, pathGlobFilter="*.csv").select("*", F.col("_metadata.file_name").alias("__file")))
+    if "xlsx" in kinds:
+        found = workbooks.workbook_files(spark, folder).where(ids.follows_convention(F.element_at(F.split("path", "/"), -1)))
+        parts.append(workbooks.sheet_table(found, path_col="__path").withColumn("__file", F.url_decode(F.element_at(F.split("__path", "/"), -1))).drop("__path"))
+    if not parts:
+        raise FileNotFoundError(f"no recordings in {folder}")
+    read = [readings_of(p.where(ids.follows_convention(F.col("__file"))), "__file").withColumnRenamed("__file", "file_name") for p in parts]
+    return stacked(*read)
+
+
+#: Columns of a study's metadata and their canonical names.
+METADATA_NAMES = {
+    "SubID": "subid", "Dataset_Identifier": "dataset_identifier", "Episode_Identifier": "episode_identifier", "Use_Data": "use_data", "Condition": "condition",
+    "TotalDrks": "total_drinks", "Sex": "sex", "AUD": "aud", "Notes": "notes", "Crop Begin Date": "crop_begin_date", "Crop Begin Time": "crop_begin_time",
+    "Crop End Date": "crop_end_date", "Crop End Time": "crop_end_time", "Time Zone": "time_zone",
+}
+
+
+def metadata_of(raw: DataFrame) -> DataFrame:
+    """Canonical metadata of a sheet or table of texts: padded datasets, labelled episodes, dates by one decision a column; other columns stay, missing ones are null.
+
+    Rows without a subject are left out.
+    """
+    df = raw.withColumnsRenamed({k: v for k, v in METADATA_NAMES.items() if k in raw.columns})
+    for f in METADATA.fields:
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast("string"))
+    whole = {c: F.regexp_replace(F.col(c).cast("string"), r"\.0+$", "") for c in ("subid", "dataset_identifier", "episode_identifier", "sex", "aud")}
+    df = df.withColumns(whole).where(F.coalesce("subid", F.lit("")) != "")
+    df = df.withColumns({
+        "dataset_identifier": ids.padded_dataset(F.col("dataset_identifier")), "episode_identifier": ids.episode_label(F.col("episode_identifier")),
+        "total_drinks": F.expr("try_cast(total_drinks AS double)"), "sex": F.expr("try_cast(sex AS int)"), "aud": F.expr("try_cast(aud AS int)"),
+        "crop_begin_date": F.substring_index(F.col("crop_begin_date").cast("string"), " ", 1), "crop_end_date": F.substring_index(F.col("crop_end_date").cast("string"), " ", 1),
+    })
+    for c in ("crop_begin_date", "crop_end_date"):
+        df = standard_dates(df, c).withColumn(c, F.col(c).cast("string"))
+    return df
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return metadata_of(read_table(spark, path))
+
+
+def read_event_times(spark: SparkSession, path: str, sheet: str = "Additional_Timestamps") -> DataFrame:
+    """(keys, event_name, event_ts) of a metadata workbook's sheet of times; no rows where it has none."""
+    table = workbooks.read_sheet(spark, path, sheet)
+    keyed = table.withColumnsRenamed({k: v for k, v in METADATA_NAMES.items() if k in table.columns})
+    if not set(KEYS) <= set(keyed.columns):
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in KEYS) + ", event_name string, event_ts timestamp")
+    return event_times(keyed.withColumns({"dataset_identifier": ids.padded_dataset(F.col("dataset_identifier")), "episode_identifier": ids.episode_label(F.col("episode_identifier"))}), KEYS)
 
 
 def cohort_metadata(files: DataFrame, name: str = "file_name") -> DataFrame:
