@@ -68,6 +68,68 @@ def bridge_extremes(df: DataFrame, cutoff: float = 800.0, keys: Sequence[str] =
     return d.withColumns({"extreme_outlier": F.col("__hit").cast("int"), "tac": F.when(F.col("__hit") & F.col("__mid").isNotNull(), F.col("__mid")).otherwise(F.col("tac"))}).drop("__hit", "__mid")
 
 
+def clusters_of(values: np.ndarray, most: int = 9) -> tuple[list[float], list[np.ndarray]]:
+    """For k = 1 to `most` clusters of numbers, the least sum of squares and each number's cluster (from 0 up): exact, by dynamic programming over the sorted distinct ones."""
+    distinct, place, weight = np.unique(values, return_inverse=True, return_counts=True)
+    n, mean = len(distinct), float(np.average(distinct, weights=weight))
+    centred = distinct - mean
+    w, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight, weight * centred, weight * centred**2))
+    best = np.concatenate([[0.0], np.full(n, np.inf)])
+    cuts, costs, labels = [], [], []
+    for k in range(1, min(most, n) + 1):
+        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        for j in range(k, n + 1):
+            lo = np.arange(k - 1, j)
+            cost = best[lo] + np.maximum(q[j] - q[lo] - (s[j] - s[lo]) ** 2 / (w[j] - w[lo]), 0.0)
+            at = int(np.argmin(cost))
+            new[j], cut[j] = cost[at], lo[at]
+        best = new
+        cuts.append(cut)
+        own, j = np.zeros(n, int), n
+        for level in range(k, 0, -1):
+            own[cuts[level - 1][j] : j] = level - 1
+            j = cuts[level - 1][j]
+        costs.append(float(best[n]))
+        labels.append(own[place])
+    return costs, labels
+
+
+def cluster_to_drop(values: np.ndarray, labels: np.ndarray, gap: float) -> int | None:
+    """In order of appearance, the last cluster that lies over the one before it by more than `gap`."""
+    seen = list(dict.fromkeys(labels.tolist()))
+    low, high = {c: values[labels == c].min() for c in seen}, {c: values[labels == c].max() for c in seen}
+    return next((c for b, c in reversed(list(zip(seen, seen[1:], strict=False))) if low[c] - high[b] > gap), None)
+
+
+def drop_clusters(df: DataFrame, over: float = 600.0, gap: float = 200.0, most: int = 9, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """The variant of `bridge_extremes` by clusters: in episodes with a value over `over`, the values of a cluster that lies apart are filled, marked extreme_outlier.
+
+    The number of clusters is that at the knee of their sums of squares; clusters are exact, so
+    the same values always give the same ones.
+    """
+
+    def compute(rows: pa.Table):
+        v = _numbers(rows, "tac")
+        known, hit = np.isfinite(v), np.zeros(len(v), bool)
+        if known.any() and v[known].max() > over:
+            costs, labels = clusters_of(v[known], most)
+            own = labels[knee(costs) - 1]
+            gone = cluster_to_drop(v[known], own, gap)
+            if gone is not None:
+                hit[np.flatnonzero(known)[own == gone]] = True
+        return {"tac": filled(v, _numbers(rows, "hours"), hit) if hit.any() else v, "extreme_outlier": hit}
+
+    return per_episode(df, {"tac": pa.float64(), "extreme_outlier": pa.int32()}, compute, keys)
+
+
+def knee(costs: Sequence[float]) -> int:
+    """The k (from 1) where a falling, convex curve lies farthest under the line between its ends."""
+    n, lo, hi = len(costs), min(costs), max(costs)
+    if n < 3 or hi == lo:
+        return 1
+    return 1 + max(range(n), key=lambda i: (1 - i / (n - 1)) - (costs[i] - lo) / (hi - lo))
+
+
 def worn(df: DataFrame, cutoff: float = 27.0) -> DataFrame:
     """device_on: 1 over the cutoff, 0 at or under it, null without a temperature."""
     return df.withColumn("device_on", F.when(F.col("temp").isNotNull(), (F.col("temp") > cutoff).cast("int")))

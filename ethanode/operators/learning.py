@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ethanode.operators import windows
-from ethanode.operators.joins import excluded_and_kept
+from ethanode.operators.cleaning import knee
+from ethanode.operators.joins import excluded_and_kept, stacked
+from ethanode.scratch import materialize
+
+#: Folds whose predictions are written together.
+FOLDS_WRITTEN = 32
 
 #: Study designs by name: filters on features, the outcome's column and its labels.
 DESIGNS = {
@@ -99,16 +104,41 @@ def cross_validated(df: DataFrame, estimator, predictors: Sequence[str], label:
     """`df` with fold, predicted and probability for every row, each from a model that has not seen its subject; null where a predictor has no value."""
     rows, n = subject_folds(assembled(df, predictors), folds=folds)
     rows = rows.withColumn("label", F.col(label).cast("double")).persist()
-    out = df.where(~complete(df, predictors)).withColumns({"fold": F.lit(None).cast("int"), "predicted": F.lit(None).cast("double"), "probability": F.lit(None).cast("double")})
-    for fold in range(n):
-        part = estimator.fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
-        part = part.select(*df.columns, "fold", F.col("prediction").alias("predicted"), vector_to_array("probability")[1].alias("probability"))
-        out = out.unionByName(part)
-    return out
+    parts = []
+    try:
+        for fold in range(n):
+            part = estimator.fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
+            parts.append(part.select(*df.columns, "fold", F.col("prediction").alias("predicted"), vector_to_array("probability")[1].alias("probability")))
+        # a table for every few folds, so that the plan does not grow with them
+        written = [materialize(stacked(*parts[i : i + FOLDS_WRITTEN]), "folds") for i in range(0, n, FOLDS_WRITTEN)]
+    finally:
+        rows.unpersist()
+    lost = df.where(~complete(df, predictors)).withColumns({"fold": F.lit(None).cast("int"), "predicted": F.lit(None).cast("double"), "probability": F.lit(None).cast("double")})
+    return stacked(lost, *written)
 
 
-def roc_auc(scored: DataFrame, probability: str = "probability", label: str = "label") -> float:
-    return BinaryClassificationEvaluator(rawPredictionCol=probability, labelCol=label, numBins=0).evaluate(scored.withColumn(label, F.col(label).cast("double")))
+def area_under_roc(scored: DataFrame, probability: str = "probability", label: str = "label", buckets: int = 1024) -> DataFrame:
+    """(auc) in one row: the share of pairs of label 1 and 0 that the scores order rightly, ties counting half; null without both labels.
+
+    Rows are counted by score first, so that a score that many rows share is one row; scores
+    are then ranked within buckets of their range, and between buckets by the buckets' counts.
+    Rows without a label or a score, and NaN, do not count.
+    """
+    p, y = F.col(probability).cast("double"), F.col(label).cast("double")
+    known = scored.where(p.isNotNull() & ~F.isnan(p) & y.isin(0.0, 1.0))
+    counts = known.groupBy(p.alias("p")).agg(F.sum((y == 1).cast("long")).alias("ones"), F.sum((y == 0).cast("long")).alias("zeros"))
+    counts = counts.withColumn("bucket", F.floor(F.greatest(F.least("p", F.lit(1.0)), F.lit(0.0)) * buckets).cast("int"))
+    own = F.coalesce(F.sum("zeros").over(Window.partitionBy("bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = counts.withColumn("__lower", own).groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.sum(F.col("ones") * (F.col("__lower") + F.col("zeros") / 2)).alias("pairs"))
+    rows = F.array_sort(F.collect_list(F.struct("bucket", "ones", "zeros", "pairs")))  # one for each bucket
+    start = F.struct(F.lit(0).cast("long").alias("ones"), F.lit(0).cast("long").alias("zeros"), F.lit(0.0).alias("pairs"))
+    walked = F.aggregate(rows, start, lambda t, x: F.struct((t["ones"] + x["ones"]).alias("ones"), (t["zeros"] + x["zeros"]).alias("zeros"), (t["pairs"] + x["pairs"] + x["ones"] * t["zeros"]).alias("pairs")))
+    total = inside.agg(walked.alias("t"))
+    return total.select(F.try_divide(F.col("t.pairs"), F.col("t.ones").cast("double") * F.col("t.zeros")).alias("auc"))
+
+
+def roc_auc(scored: DataFrame, probability: str = "probability", label: str = "label") -> float | None:
+    return area_under_roc(scored, probability, label).first()["auc"]
 
 
 def outcome_kind(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -213,14 +243,6 @@ def distortions(df: DataFrame, predictors: Sequence[str], most: int = 9, seed: i
         rows.unpersist()
 
 
-def knee(costs: Sequence[float]) -> int:
-    """The k (from 1) where a falling, convex curve lies farthest under the line between its ends."""
-    n, lo, hi = len(costs), min(costs), max(costs)
-    if n < 3 or hi == lo:
-        return 1
-    return 1 + max(range(n), key=lambda i: (1 - i / (n - 1)) - (costs[i] - lo) / (hi - lo))
-
-
 def clustered(df: DataFrame, predictors: Sequence[str], most: int = 9, seed: int = 42) -> DataFrame:
     """`df` with cluster, for the number of clusters at the knee; null where a predictor has no value."""
     k = knee(distortions(df, predictors, most, seed))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ethanode.config import EngineConfig
 from ethanode.functions import dates
 from ethanode.functions import identifiers as ids
-from ethanode.operators import aggregates, cleaning, crop, curve, features, joins, learning, plot_data, smoothing, windows
+from ethanode.operators import aggregates, cleaning, crop, curve, features, joins, learning, leave_one_out, plot_data, smoothing, windows
 from ethanode.plans import cohort
 from ethanode.sources import recordings, results, workbooks
 
@@ -677,6 +677,41 @@ def revise_by_models(spark, sf):
     return found.select("episode", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("fall_duration_revised", "rise_duration_revised", "fall_rate_revised", "rise_rate_revised")])
 
 
+def _left_out() -> str:
+    """SQL of z: user_id, y, x1 to x3 of w, with the coefficients that all other rows give, with (k) and without (g) a constant, by Cramer's rule."""
+    names = ["x1", "x2", "x3", "y"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = ", ".join([*[f"sum({a} * {b}) OVER () - {a} * {b} AS s_{a}_{b}" for a, b in pairs], *[f"sum({a}) OVER () - {a} AS s_{a}" for a in names], "count(*) OVER () - 1 AS n"])
+    of = lambda a, b: f"s_{min(a, b)}_{max(a, b)}"
+    centred = lambda a, b: f"({of(a, b)} - s_{a} * s_{b} / n)"
+
+    def det(c):
+        return " + ".join(f"({c[0, i]}) * (({c[1, j]}) * ({c[2, k]}) - ({c[1, k]}) * ({c[2, j]}))" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+    def solved(m, name):
+        s = {(i, j): m(names[i], names[j]) for i in range(3) for j in range(3)}
+        return ", ".join(f"({det({(i, j): m(names[i], 'y') if j == c else s[i, j] for i in range(3) for j in range(3)})}) / ({det(s)}) AS {name}{c + 1}" for c in range(3))
+
+    return f"z AS (SELECT *, s_y / n - k1 * s_x1 / n - k2 * s_x2 / n - k3 * s_x3 / n AS k0, 0.0 AS g0 FROM (SELECT *, {solved(centred, 'k')}, {solved(of, 'g')} FROM (SELECT user_id, x1, x2, x3, y, {sums} FROM w)))"
+
+
+LEFT_OUT = R + f""", w AS (SELECT user_id, avg(tac) AS x1, coalesce(stddev_samp(tac), 0) AS x2, CAST(count(*) AS DOUBLE) AS x3, max(tac) AS y FROM r JOIN customer ON c_custkey = user_id GROUP BY user_id), {_left_out()},
+ f AS (SELECT user_id, true AS intercept, y, k0 + k1 * x1 + k2 * x2 + k3 * x3 AS predicted FROM z UNION ALL SELECT user_id, false, y, g1 * x1 + g2 * x2 + g3 * x3 FROM z)"""
+
+
+@query(LEFT_OUT + " SELECT user_id, intercept, round(y, 4) AS peak, round(predicted, 4) AS predicted FROM f")
+def linear_leave_one_out(spark, sf):
+    """Each user's peak from the models of all other users, with and without a constant."""
+    found = leave_one_out.linear_leave_one_out(_user_features(spark, sf), ["mean", "sd", "n"], "peak")
+    return found.select("user_id", "intercept", F.round("peak", 4).alias("peak"), F.round("predicted", 4).alias("predicted"))
+
+
+@query(LEFT_OUT + " SELECT intercept, round(avg((predicted - y) * (predicted - y)), 4) AS squared_error FROM f GROUP BY intercept")
+def linear_grid_by_subject(spark, sf):
+    """The whole linear grid, every user a fold."""
+    return leave_one_out.linear_grid(_user_features(spark, sf), ["mean", "sd", "n"], "peak").select("intercept", F.round("squared_error", 4).alias("squared_error"))
+
+
 # --- no SQL for the same rows: grouped or fitted -------------------------------------------
 
 
@@ -723,6 +758,19 @@ def lr_cv(spark, sf):
     return neat(learning.outcome_kind(learning.cross_validated(_user_features(spark, sf), model, PREDICTORS, folds=3), "label"), "user_id", "label", "predicted", "probability", "outcome", "result")
 
 
+@query()
+def logistic_grid_by_subject(spark, sf):
+    """The whole logistic grid, seven penalties of two kinds, every user a fold: accuracies."""
+    return neat(leave_one_out.logistic_grid(_user_features(spark, sf), PREDICTORS))
+
+
+@query()
+def cluster_extremes(spark, sf):
+    """Clusters of values that lie apart, in readings of four times the size."""
+    df = readings(spark, sf).withColumn("tac", F.col("tac") * 4)
+    return neat(cleaning.drop_clusters(df), "event_id", "tac", "extreme_outlier")
+
+
 @query()
 def linreg_search(spark, sf):
     """Both settings of the linear grid with their squared errors over three folds of subjects."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethanode.operators.learning import roc_auc
+from ethanode.operators.learning import area_under_roc
 
 
 def present(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -62,8 +62,8 @@ def model_performance(confusion: DataFrame, scored: DataFrame | None = None, pro
     out = confusion.withColumns({c: F.round(c, 2) for c in ("accuracy", "sensitivity", "specificity")})
     if scored is None:
         return out
-    known = scored.where(F.col(probability).isNotNull() & F.col(truth).isNotNull())
-    return out.withColumn("auc", F.round(F.lit(roc_auc(known, probability, truth)), 4))
+    area = area_under_roc(scored, probability, truth).select(F.round("auc", 4).alias("auc"), F.lit(1).alias("__one"))
+    return out.withColumn("__one", F.lit(1)).join(area, "__one", "left").drop("__one")
 
 
 def model_probabilities(scored: DataFrame, identifier: Column, probability: str = "probability") -> DataFrame:
