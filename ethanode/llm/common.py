@@ -82,19 +82,23 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class WordScanner:
-    """Places and hashes of the words of a text, without a Python object for each word.
+    """Places and hashes of the words of a text, without a Python object for most words.
 
-    A word's hash is the polynomial of its bytes, each a random number, by differences of
-    prefix sums: all arithmetic is modulo 2**64. Hashes with different seeds are independent.
+    A short word's hash is the polynomial of its bytes, each a random number, by differences of
+    prefix sums, modulo 2**64. Long words could be built so that their polynomials agree for
+    every base, so those of over `SHORT` bytes have a seeded hash that mixes its input.
     """
 
+    #: Bytes of the longest word with a polynomial.
+    SHORT = 16
+
     #: Bytes summed at a time, more only where one word is longer.
     BLOCK = 1 << 20
 
     def __init__(self, seeds: tuple[int, ...] = (0,)):
         self.space = np.zeros(256, bool)
         self.space[list(WHITE_SPACE.encode())] = True
-        self.codes, self.bases = [], []
+        self.codes, self.bases, self.seeds = [], [], seeds
         for seed in seeds:
             rng = np.random.default_rng(seed + 101)
             self.codes.append(rng.integers(0, 1 << 64, 256, dtype=np.uint64))
@@ -127,4 +131,8 @@ class WordScanner:
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(codes[part] * up[: len(part)])])
                 out[lo:hi] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _SPREAD)
             lo = hi
+        for i in np.flatnonzero(ends - starts > self.SHORT).tolist():
+            word = text[starts[i] : ends[i]]
+            for out, seed in zip(hashes, self.seeds, strict=True):
+                out[i] = xxhash.xxh3_64_intdigest(word, seed + 1)
         return starts, ends, hashes

@@ -5,8 +5,8 @@ runs in it, so equal windows have equal anchors. Steps:
 
 1. Equal word sequences are one class; one document stands for each.
 2. Anchors are counted over all classes; only windows whose anchor recurs can recur.
-3. Those windows are counted by 128 bits of hash; what is found twice is confirmed, and one
-   place of it is kept.
+3. Those windows are counted by 128 bits of hash (two seeds); what is found twice is confirmed,
+   and one place of it is kept.
 4. The words at these places are the phrases. They go to shards by their anchors, and so do the
    stretches of text around recurring anchors: all text in which a shard's phrases can stand.
 5. Each shard's phrases are compiled into Aho-Corasick automata over its words, and its
