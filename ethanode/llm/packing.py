@@ -164,7 +164,7 @@ def pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pieces.assign(sequence=bins, offset=offsets)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """`pieces` with sequence_id and offset.
 
     `pieces` is a written table: its rows are dealt by a hash of their place in it, so that
@@ -185,12 +185,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", gr
 
 def pack_documents(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack; one row per piece."""
-    return pack(materialize(token_pieces(df, tokenizer, capacity, id_col=id_col, text_col=text_col), "pieces"), capacity, id_col)
+    return pack(materialize(token_pieces(df, tokenizer, capacity, id_col=id_col, text_col=text_col), "pieces"), capacity)
 
 
 def sequences(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(sequence_id, ids): the packed token sequences themselves."""
-    pieces = materialize(token_pieces(df, tokenizer, capacity, id_col=id_col, text_col=text_col, with_ids=True), "pieces")
-    packed = pack(pieces.drop("ids"), capacity, id_col).select(id_col, "piece", "sequence_id", "offset")
-    parts = packed.join(pieces.select(id_col, "piece", "ids"), [id_col, "piece"])
+    """(sequence_id, ids): the packed token sequences themselves.
+
+    Pieces are told apart by a number of their own, so rows that share an id, or have none,
+    each have their tokens once, as in `token_pieces`; an empty table gives no sequence.
+    """
+    pieces = token_pieces(df, tokenizer, capacity, id_col=id_col, text_col=text_col, with_ids=True)
+    pieces = materialize(pieces.select("length", "ids").withColumn("row", F.monotonically_increasing_id()), "pieces")
+    packed = pack(pieces.drop("ids"), capacity).select("row", "sequence_id", "offset")
+    parts = packed.join(pieces.select("row", "ids"), "row")
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
