@@ -3,8 +3,9 @@
 Test items are parted by the size of their shingle sets. The items of a part with sizes up to
 u keep their k = floor((1 - c) u) + 1 smallest shingle hashes (bottom-k minima); a document
 that contains a share c of an item's shingles misses at most floor((1 - c) n) of its n, so it
-holds one of these minima, however long it is. What shares a minimum is confirmed by exact
-containment on full shingle sets.
+holds one of these minima, however long it is. The items of which a document holds a minimum,
+and only those, are confirmed by exact containment on full shingle sets. Each block of items is
+one more pass over the documents.
 """
 
 from __future__ import annotations
@@ -47,23 +48,30 @@ class ItemIndex:
         self.keys, self.owners = cat(keys, np.uint64), cat(owners, np.int64)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owners = self.keys[order], self.owners[order]
-        self.minima = np.unique(cat(low, np.uint64))
+        self.minima, self.minima_owners = cat(low, np.uint64), np.repeat(np.arange(len(low)), [len(x) for x in low])
+        order = np.argsort(self.minima, kind="stable")
+        self.minima, self.minima_owners = self.minima[order], self.minima_owners[order]
 
     def found_in(self, shingles: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, its size, shared shingles) for items that share a minimum with the shingles."""
         if not len(self.minima) or not len(shingles):
             return []
-        at = np.searchsorted(self.minima, shingles)
-        if not (self.minima[np.minimum(at, len(self.minima) - 1)] == shingles).any():
-            return []
         shingles = np.unique(shingles)
-        lo, hi = np.searchsorted(self.keys, shingles, "left"), np.searchsorted(self.keys, shingles, "right")
-        runs = hi - lo
-        hit = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-        owners, shared = np.unique(self.owners[hit], return_counts=True)
+        candidates = np.unique(self.minima_owners[_places(self.minima, shingles)])
+        if not len(candidates):
+            return []
+        owners = self.owners[_places(self.keys, shingles)]
+        owners, shared = np.unique(owners[np.isin(owners, candidates)], return_counts=True)
         return [(self.ids[o], self.sizes[o], int(n)) for o, n in zip(owners, shared, strict=True)]
 
 
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in the sorted `keys` of all that equal one of the distinct `wanted`."""
+    lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+    runs = hi - lo
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+
+
 def _indexes(spark, benchmark: DataFrame, item_col: str, item_text_col: str, numerator: int, denominator: int, shingle: int):
     """A broadcast index of each block of items."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
@@ -82,7 +90,8 @@ def contained_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased); fewer words than a shingle make one shingle of
     all, for items as for documents. Null and wordless texts contain nothing and are contained
     nowhere. The items are taken in blocks of bounded size, each broadcast to one pass over
-    the documents; repeated items and documents each count. Ids may be of any type, or null.
+    the documents; repeated items and documents each count. Ids may be of any type, or null; an
+    id column named n_item or n_shared, or both of one name, is an error of the caller.
     """
     doc_kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
