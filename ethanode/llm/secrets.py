@@ -20,11 +20,13 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 _IDENTIFIER = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9]+(?:[+/_=-]+[0-9]*)*")
 #: Characters of the shortest run that is tested; shorter random strings are left to the fixed patterns.
-MIN_LENGTH = 20
+MIN_LENGTH = 16
 #: Characters per token under which a run counts as random.
 MAX_EFFICIENCY = 2.2
 #: The same for runs without a digit: long compounds of plain words come down to 2.0, random mixed-case letters hardly ever up to it.
 MAX_LETTERS_EFFICIENCY = 2.0
+#: Letters alone in runs of under so many characters: compounds of plain words come down to 1.6, with capitals inside they are hardly ever words.
+SHORT_LETTERS, MAX_SHORT_EFFICIENCY, MAX_SHORT_MIXED_EFFICIENCY = 20, 1.6, 1.75
 
 
 @functools.lru_cache(maxsize=2)
@@ -53,6 +55,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def most_efficient(run: str, most: float) -> float:
+    """Characters per token under which a run counts as random: less where it has no digit, still less where it is short besides."""
+    if re.search("[0-9]", run):
+        return most
+    if len(run) >= SHORT_LETTERS:
+        return min(most, MAX_LETTERS_EFFICIENCY)
+    plain = run[1:].islower() or not run.isalpha()
+    return min(most, MAX_SHORT_EFFICIENCY if plain else MAX_SHORT_MIXED_EFFICIENCY)
+
+
 def random_spans(text: str, vocabulary: str, max_efficiency: float = MAX_EFFICIENCY, min_length: int = MIN_LENGTH) -> list[tuple[int, int, int]]:
     """Runs of `min_length` or more key characters, letters alone included, that cost many tokens; digests of known lengths, UUIDs and numbers are left out."""
     found = []
@@ -61,8 +73,7 @@ def random_spans(text: str, vocabulary: str, max_efficiency: float = MAX_EFFICIE
         if _DIGEST.fullmatch(run) or _IDENTIFIER.fullmatch(run) or not re.search("[A-Za-z]", run):
             continue
         tokens = len(encoding(vocabulary).encode_ordinary(run))
-        least = max_efficiency if re.search("[0-9]", run) else min(max_efficiency, MAX_LETTERS_EFFICIENCY)
-        if len(run) < least * tokens:
+        if len(run) < most_efficient(run, max_efficiency) * tokens:
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -85,7 +96,10 @@ def find_secrets(df: DataFrame, vocabulary: str | None = None, id_col: str = "do
     """(id, spans, base_spans): arrays of (start, kind, end) in code points, end exclusive.
 
     A null text counts as empty and has none. Texts of any length are scanned whole. Random
-    strings shorter than `min_length` are found only where a fixed pattern has them.
+    strings shorter than `min_length` are found only where a fixed pattern has them. Spans come
+    by start, then kind in the order of KINDS, and may overlap. Repeated rows each come out,
+    ids may be null or of any type; an id column named like one of the arrays is an error of
+    the caller, other columns of `df` are not read.
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = df.schema[id_col].dataType.simpleString()
