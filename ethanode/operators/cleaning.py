@@ -203,7 +203,7 @@ def missing_runs(missing: np.ndarray, extend: int, merge: int) -> list[tuple[int
 def _matern_table(nu: float) -> tuple[np.ndarray, np.ndarray]:
     """The Matern correlation at scaled distances from 0 to 60, by quadrature of the Bessel function K."""
     x = np.concatenate([[0.0], np.geomspace(1e-8, 60, 4000)])
-    t = np.linspace(0, 12, 400)
+    t = np.linspace(0, 32, 1200)  # far enough for the smallest distance
     k = np.trapezoid(np.exp(-np.clip(x[1:, None] * np.cosh(t), 0, 700)) * np.cosh(nu * t), t, axis=1)
     return x, np.concatenate([[1.0], np.minimum(2 ** (1 - nu) / gamma(nu) * x[1:] ** nu * k, 1.0)])
 
@@ -213,35 +213,83 @@ def matern(d: np.ndarray, length: float, nu: float) -> np.ndarray:
     return np.interp(np.sqrt(2 * nu) * np.abs(d) / length, x, y, right=0.0)
 
 
-def _fit(base: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """(loss, weights) of a Gaussian process with this correlation; its scale has a closed form."""
-    try:
-        full = base + 1e-8 * np.eye(len(y))
-        chol = np.linalg.cholesky(full)
-    except np.linalg.LinAlgError:
-        return np.inf, np.zeros(len(y))
-    alpha = np.linalg.solve(full, y)
-    return len(y) * np.log(max(float(y @ alpha) / len(y), 1e-12)) / 2 + np.log(np.diag(chol)).sum(), alpha
-
-
-def _best_length(loss, low: float = -3.0, high: float = 3.0) -> float:
-    """The length between 10**low and 10**high of least loss: a grid, then golden sections beside its best point."""
-    grid = np.linspace(low, high, 7)
-    at = int(np.argmin([loss(10**g) for g in grid]))
+#: Added to a row's own correlation, so that equal rows do no harm.
+_NUGGET = 1e-8
+
+
+def toeplitz_solved(first: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, half the logarithm of the determinant) of the symmetric Toeplitz system with this first row, by Levinson's recursion: the square of its size in place of the cube."""
+    n = len(y)
+    r = first[1:] / first[0]
+    b = y / first[0]
+    x, z = np.zeros(n), np.zeros(n)
+    x[0], error, log_error = b[0], 1.0, 0.0
+    if n > 1:
+        z[0] = -r[0]
+    for k in range(1, n):
+        error *= 1 - z[k - 1] ** 2
+        if not error > 0:
+            raise np.linalg.LinAlgError("not positive definite")
+        log_error += log(error)
+        step = (b[k] - r[:k] @ x[k - 1 :: -1][:k]) / error
+        x[:k] += step * z[k - 1 :: -1][:k]
+        x[k] = step
+        if k < n - 1:
+            turn = -(r[k] + r[:k] @ z[k - 1 :: -1][:k]) / error
+            z[:k] += turn * z[k - 1 :: -1][:k].copy()
+            z[k] = turn
+    return x, (n * log(first[0]) + log_error) / 2
+
+
+class Correlations:
+    """The Matern correlations of rows at these times; for rows on an even grid each distance is computed once, and without a hole in it the system is a Toeplitz one."""
+
+    def __init__(self, x: np.ndarray, nu: float):
+        self.x, self.nu = x, nu
+        steps = np.diff(x)
+        unit = steps.min() if len(steps) and steps.min() > 0 else 0.0
+        places = (x - x[0]) / unit if unit else np.zeros(0)
+        on_grid = bool(unit) and np.abs(places - np.round(places)).max() < 1e-4 and places[-1] < 20 * len(x)
+        self.places, self.unit = (np.round(places).astype(int), unit) if on_grid else (None, 0.0)
+        self.even = on_grid and int(self.places[-1]) == len(x) - 1
+        self.lags = None if self.even else np.abs(self.places[:, None] - self.places[None, :]) if on_grid else np.abs(x[:, None] - x[None, :])
+
+    def fitted(self, y: np.ndarray, length: float) -> tuple[float, np.ndarray]:
+        """(loss, weights) for this length: the negative logarithm of the likelihood, but for constants, at its best scale, which has a closed form."""
+        try:
+            if self.even:
+                first = matern(self.unit * np.arange(len(y)), length, self.nu)
+                first[0] += _NUGGET
+                alpha, half_log = toeplitz_solved(first, y)
+            else:
+                full = matern(self.unit * np.arange(self.places[-1] + 1), length, self.nu)[self.lags] if self.places is not None else matern(self.lags, length, self.nu)
+                full[np.diag_indices_from(full)] += _NUGGET
+                half_log = float(np.log(np.diag(np.linalg.cholesky(full))).sum())
+                alpha = np.linalg.solve(full, y)
+        except np.linalg.LinAlgError:
+            return np.inf, np.zeros(len(y))
+        return len(y) * log(max(float(y @ alpha) / len(y), 1e-12)) / 2 + half_log, alpha
+
+
+def _best_length(loss, low: float = -3.0, high: float = 3.0, points: int = 13, rounds: int = 9) -> float:
+    """The length between 10**low and 10**high of least loss: a grid, then golden sections beside its best point; the grid's point where the sections find no better one."""
+    grid = np.linspace(low, high, points)
+    losses = [loss(10**g) for g in grid]
+    at = int(np.argmin(losses))
     a, b = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
     ratio = (np.sqrt(5) - 1) / 2
     c, d = b - ratio * (b - a), a + ratio * (b - a)
-    at_c, at_d = loss(10**c), loss(10**d)
-    for _ in range(6):
-        if at_c < at_d:
-            b, d, at_d = d, c, at_c
+    tried = {grid[at]: losses[at], c: loss(10**c), d: loss(10**d)}
+    for _ in range(rounds):
+        if tried[c] < tried[d]:
+            b, d = d, c
             c = b - ratio * (b - a)
-            at_c = loss(10**c)
+            tried[c] = loss(10**c)
         else:
-            a, c, at_c = c, d, at_d
+            a, c = c, d
             d = a + ratio * (b - a)
-            at_d = loss(10**d)
-    return 10 ** ((a + b) / 2)
+            tried[d] = loss(10**d)
+    return 10 ** min(tried, key=tried.get)
 
 
 def predicted(x: np.ndarray, y: np.ndarray, at: np.ndarray, method: str) -> np.ndarray:
@@ -257,9 +305,9 @@ def predicted(x: np.ndarray, y: np.ndarray, at: np.ndarray, method: str) -> np.n
         return mid + (float(off @ y) / spread if spread else 0.0) * (at - x.mean())
     if method == "interpolate" or not y.any():
         return np.interp(at, x, y)
-    apart = x[:, None] - x[None, :]
-    length = _best_length(lambda k: _fit(matern(apart, k, 0.3), y)[0])
-    loss, weights = _fit(matern(apart, length, 0.3), y)
+    rows = Correlations(x, 0.3)
+    length = _best_length(lambda k: rows.fitted(y, k)[0])
+    loss, weights = rows.fitted(y, length)
     return np.interp(at, x, y) if loss == np.inf else matern(at[:, None] - x[None, :], length, 0.3) @ weights
 
 
