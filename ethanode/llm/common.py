@@ -18,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, its rows dealt over all cores if it is a table of fewer files than cores and too few bytes to give each core a part of its own.
+
+    A small file is often one row group, which one task reads; what is then done to its texts
+    would keep one core busy. Tables of many files or bytes are not moved.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    part = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * part else df
+
+
 def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     """(key, row), written in buckets of the key: the columns of each row under a number of its own, whatever its id."""
     row = F.struct(*[F.col(c) for c in dict.fromkeys(columns)])
