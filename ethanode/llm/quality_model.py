@@ -19,8 +19,8 @@ from ethanode.llm.quality_rules import base_statistics
 FEATURES = ("words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "punct_ratio", "distinct_ratio", "bang_ratio", "pipe_ratio", "same_next_ratio", "mean_line", "long_ratio")
 
 
-#: The bounded training rows are fitted in so many partitions: each step of a fit is a job.
-FIT_PARTITIONS = 6
+#: The bounded training rows are fitted in so many partitions: each step of a fit is a job, and up to four are summed in one stage.
+FIT_PARTITIONS = 4
 
 
 @dataclass(frozen=True)
