@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 
 UNDETERMINED = "und"
@@ -199,6 +199,15 @@ def expected_counts(words: list[str], weights: np.ndarray, probs: np.ndarray, vo
     return counts
 
 
+def _sampled(rows: DataFrame, rows_per_language: int) -> tuple[list[str], DataFrame]:
+    """The languages of (id, text, lang), and about so many rows of each, by a hash of the id."""
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return [], rows
+    share = F.create_map(*[x for k in sorted(sizes) for x in (F.lit(k), F.lit(rows_per_language / sizes[k]))])[F.col("lang")]
+    return sorted(sizes), rows.where(F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 20)) < share * (1 << 20))
+
+
 def train(
     labelled: DataFrame,
     vocabulary: str | None = None,
@@ -219,13 +228,11 @@ def train(
     """
     vocabulary = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    langs = sorted(sizes)
+    langs, rows = _sampled(rows, rows_per_language)
     size = lattice(vocabulary).size
     if not langs:
         return [], np.zeros((size, 0))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(rows_per_language / sizes[k]))])[F.col("lang")]
-    rows = rows.where(F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    rows = rows.select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -271,49 +278,68 @@ class Scorer:
     def __init__(self, table: np.ndarray, vocabulary: str):
         self.table, self.vocabulary = table, vocabulary
         self.known: dict[str, int] = {}
-        self.logs = np.zeros((0, table.shape[1]))
-
-    def sums(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """One vector per text; None for a text without letters."""
+        self.held, self.logs, self.chars = 0, np.empty((1 << 12, table.shape[1])), np.empty(1 << 12)
+
+    def _remember(self, words: list[str]) -> None:
+        """The words' sums beside those held; the room for them doubles."""
+        end = self.held + len(words)
+        if end > len(self.chars):
+            room = max(end, 2 * len(self.chars))
+            self.logs, self.chars = (np.concatenate([x[: self.held], np.empty((room - self.held, *x.shape[1:]))]) for x in (self.logs, self.chars))
+        self.logs[self.held : end] = log_likelihoods(words, self.table, self.vocabulary)
+        self.chars[self.held : end] = [len(w) for w in words]
+        self.held = end
+
+    def sums(self, texts: list[str | None], fits: bool = False) -> list[tuple[np.ndarray, np.ndarray | None, int] | None]:
+        """(log-likelihoods, where asked for those a letter over its distinct words, and their number) of each text; None for one without letters."""
         words = [letter_words(t) for t in texts]
-        if len(self.logs) > _CACHE:
-            self.known, self.logs = {}, self.logs[:0]
+        if self.held > _CACHE:
+            self.known, self.held = {}, 0
         new = [w for w in dict.fromkeys(itertools.chain(*words)) if w not in self.known]
         lettered = [w for w in new if any(map(str.isalpha, w))]  # signs like a superscript are no letters
         self.known.update(dict.fromkeys(new, -1))
-        self.known.update(zip(lettered, itertools.count(len(self.logs))))
-        self.logs = np.vstack([self.logs, log_likelihoods(lettered, self.table, self.vocabulary)])
+        self.known.update(zip(lettered, itertools.count(self.held)))
+        self._remember(lettered)
         out = []
         for row in words:
             at = np.fromiter(map(self.known.__getitem__, row), np.int64, len(row))
             at = at[at >= 0]
-            out.append(self.logs[at].sum(axis=0) if len(at) else None)
+            if not len(at):
+                out.append(None)
+                continue
+            once = np.unique(at) if fits else at[:0]
+            out.append((self.logs[at].sum(axis=0), self.logs[once].sum(axis=0) / self.chars[once].sum() if fits else None, len(once)))
         for w in new:
             if len(w) > _CACHED_LENGTH:
                 del self.known[w]
         return out
 
 
-def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, fits: bool = False) -> DataFrame:
     """(id, lang_pred, score) per row: the likeliest language and its posterior probability.
 
-    `columns` of `df`, where given, come out in place of the id; of these, `lang_pred` and
-    `score` are replaced. A null text, one without letters, and every text where `langs` is
+    With `fits` also fit, the log-likelihood a letter of the text's distinct words under that
+    language, and distinct_words; null and 0 where it is `und`.
+
+    `columns` of `df`, where given, come out in place of the id; of these, the names of results
+    are replaced. A null text, one without letters, and every text where `langs` is
     empty, gets `und` and score 0. Texts of any length are scored whole, a few at a time; ties
     go to the language that sorts first. Repeated rows each come out.
     """
     vocabulary = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     shared = df.sparkSession.sparkContext.broadcast(table)
-    columns = [id_col] if columns is None else [c for c in columns if c not in ("lang_pred", "score")]
+    results = [StructField("lang_pred", StringType()), StructField("score", DoubleType())] + [StructField("fit", DoubleType()), StructField("distinct_words", LongType())] * fits
+    names = [f.name for f in results]
+    columns = [id_col] if columns is None else [c for c in columns if c not in names]
     rows_in = df.select(*columns, F.col(text_col).alias("__text"))
-    out = StructType([*rows_in.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = StructType([*rows_in.schema.fields[:-1], *results])
     langs = list(langs)
 
     def score(batches):
         scorer = Scorer(shared.value, vocabulary) if langs else None
         for batch in batches:
             texts = batch.column(len(columns))
-            preds, scores = [], []
+            found: list[tuple] = []
             lo = 0
             while lo < len(texts):
                 hi, n, some = lo, 0, []
@@ -322,14 +348,34 @@ def identify(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str
                     n += len(some[-1] or "")
                     hi += 1
                 lo = hi
-                for total in scorer.sums(some) if langs else [None] * len(some):
-                    if total is None:
-                        preds.append(UNDETERMINED)
-                        scores.append(0.0)
+                for got in scorer.sums(some, fits) if langs else [None] * len(some):
+                    if got is None:
+                        found.append((UNDETERMINED, 0.0, None, 0))
                         continue
+                    total, letters, distinct = got
                     best = int(total.argmax())
-                    preds.append(langs[best])
-                    scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+                    found.append((langs[best], float(1 / np.exp(total - total[best]).sum()), float(letters[best]) if fits else None, distinct))
+            made = list(zip(*found, strict=True)) or [()] * 4
+            cols = [pa.array(c, k) for c, k, _ in zip(made, (pa.string(), pa.float64(), pa.float64(), pa.int64()), names, strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*columns, *names])
 
     return rows_in.mapInArrow(score, out)
+
+
+#: Distinct words from which on a text's fit can speak against it.
+FIT_WORDS = 20
+#: A text is of no language if its fit lies below the middle of the language's labelled texts by FIT_REACH times the distance of their lowest hundredth, and by FIT_MARGIN (in logarithms; a letter) at least: texts of two languages, or with codes among the words, stay within that.
+FIT_REACH, FIT_MARGIN = 3.0, 2.25
+
+
+def least_fits(labelled: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = 1500) -> dict[str, float]:
+    """For each language the fit under which a text is of none, by `FIT_REACH` and `FIT_MARGIN`.
+
+    It comes from the sample that `train` takes; a language without texts of `FIT_WORDS`
+    distinct words in it has no bound.
+    """
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    _, rows = _sampled(rows, rows_per_language)
+    judged = identify(rows, langs, table, vocabulary, "id", "text", ["lang"], fits=True).where((F.col("lang") == F.col("lang_pred")) & (F.col("distinct_words") >= FIT_WORDS))
+    found = judged.groupBy("lang").agg(F.percentile_approx("fit", F.array(F.lit(0.01), F.lit(0.5)), F.lit(10_000)).alias("q")).collect()
+    return {r["lang"]: r["q"][1] - max(FIT_REACH * (r["q"][1] - r["q"][0]), FIT_MARGIN) for r in found}
