@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,9 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _OTHER = re.compile("[^A-Za-zÀ-ÿ]")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 GRAM = 2
+#: Code points of the longest word that is found by its bigrams; of longer ones, however long and uniform, one half stays as it was.
+LONG = 64
+_ALWAYS = (1 << 31) - 1
 #: Characters of a long text read at a time, and words that a task counts before it sends them on.
 CHUNK = 1 << 20
 HELD_WORDS = 200_000
@@ -115,8 +119,10 @@ def chosen_pivots(prefix: list[tuple[int, int]], wanted: int) -> list[int]:
     return list(best[wanted][n][1]) if best[wanted][n] else []
 
 
-def signature(word: str, order: dict[str, tuple[int, str]], edits: int = 1) -> tuple[tuple[int, str], list[int], list[int]]:
-    """(the prefix's last bigram in the order, places of the prefix, places of the pivots), places from 0."""
+def signature(word: str, order: dict[str, tuple[int, str]], edits: int = 1) -> tuple[tuple[int, str] | None, list[int], list[int]]:
+    """(the prefix's last bigram in the order, places of the prefix, places of the pivots), places from 0; nothing for words that no near word's bigrams are compared with."""
+    if len(word) > LONG + 1:
+        return None, [], []
     grams = [(order[word[i : i + GRAM]], i) for i in range(len(word) - GRAM + 1)]
     last = sorted(grams)[GRAM * edits][0]
     prefix = [(i, rank[0]) for rank, i in grams if rank <= last]
@@ -124,7 +130,7 @@ def signature(word: str, order: dict[str, tuple[int, str]], edits: int = 1) -> t
 
 
 def signatures(words: DataFrame, order: dict[str, tuple[int, str]]) -> DataFrame:
-    """(word, n, last, prefix, pivots) of the words, with `last` as a number that follows the order."""
+    """(word, n, last, prefix, pivots) of the words, with `last` as a number that follows the order, -1 for long ones."""
     ranks = {gram: i for i, (gram, _) in enumerate(sorted(order.items(), key=lambda x: x[1]))}
     shared = words.sparkSession.sparkContext.broadcast((order, ranks))
 
@@ -132,18 +138,29 @@ def signatures(words: DataFrame, order: dict[str, tuple[int, str]]) -> DataFrame
         order, ranks = shared.value
         for batch in batches:
             found = [signature(w, order) for w in batch.column(0).to_pylist()]
-            cols = [pa.array([ranks[x[0][1]] for x in found], pa.int32()), *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (1, 2))]
+            cols = [pa.array([ranks[x[0][1]] if x[0] else -1 for x in found], pa.int32()), *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (1, 2))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=["word", "n", "last", "prefix", "pivots"])
 
     return words.select("word", "n").mapInArrow(sign, "word string, n long, last int, prefix array<int>, pivots array<int>")
 
 
-def _keyed(signed: DataFrame, places: str) -> DataFrame:
-    """(key, word, n, last), twice for each place: the word up to the end of its bigram, with a mark before; the word from its bigram on, with a mark after."""
-    rows = signed.select("word", "n", "last", F.explode(places).alias("at"))
-    head = F.concat(F.lit("^"), F.substring("word", F.lit(1), F.col("at") + GRAM))
-    tail = F.concat(F.substring("word", F.col("at") + 1, F.length("word")), F.lit("$"))
-    return rows.select(F.explode(F.array(head, tail)).alias("key"), "word", "n", "last")
+def _keyed(signed: DataFrame, places: str, lengths: Sequence[int]) -> DataFrame:
+    """(key, word, n, last) for each length that a near word may have, as a difference from the own one.
+
+    Keys: that length, with the word up to the end of each place's bigram, and from its bigram
+    on; for lengths over `LONG`, with the part that falls into a near word's first half, and into
+    its second one.
+    """
+    chars = F.length("word")
+
+    def keys(d: int) -> Column:
+        size = chars + F.lit(d)
+        half = F.floor(size / 2).cast("int")
+        halves = F.array(F.concat(F.lit("<"), F.substring("word", F.lit(1), half)), F.concat(F.lit(">"), F.substring("word", chars - size + half + 1, size - half)))
+        sides = F.flatten(F.transform(places, lambda at: F.array(F.concat(F.lit("^"), F.substring("word", F.lit(1), at + GRAM)), F.concat(F.lit("$"), F.substring("word", at + 1, chars)))))
+        return F.transform(F.when(size <= LONG, sides).otherwise(halves), lambda k: F.concat(size.cast("string"), k))
+
+    return signed.select(F.explode(F.flatten(F.array(*[keys(d) for d in lengths]))).alias("key"), "word", "n", "last")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -152,10 +169,10 @@ def near_words(words: DataFrame) -> DataFrame:
     `words` (word, n) is a written table of distinct words of three code points or more of the alphabet of `RUN`.
     """
     signed = materialize(signatures(words, gram_order(words)), "signatures")
-    pivots = materialize(_keyed(signed, "pivots"), "pivots")
+    pivots = materialize(_keyed(signed, "pivots", (-1, 0, 1)), "pivots")
     # both sides are written, so that the join shuffles them itself and adaptive execution can split a hot key
-    prefixes = materialize(_keyed(signed, "prefix").select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("last").alias("near_last")), "prefixes")
-    met = pivots.join(prefixes, "key").where((F.col("last") <= F.col("near_last")) & (F.col("word") != F.col("near")) & (F.abs(F.length("word") - F.length("near")) <= 1))
+    prefixes = materialize(_keyed(signed, "prefix", (0,)).select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.when(F.length("word") > LONG, _ALWAYS).otherwise(F.col("last")).alias("near_last")), "prefixes")
+    met = pivots.join(prefixes, "key").where((F.col("last") <= F.col("near_last")) & (F.col("word") != F.col("near")))
     one_way = materialize(met.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n"), "near")
     discard(signed, pivots, prefixes)
     other = one_way.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
