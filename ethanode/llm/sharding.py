@@ -44,7 +44,8 @@ def interleave(df: DataFrame, shards: int = 24, id_col: str = "doc_id", stratum_
     each stratum. Fractional ranks of a stratum start at an offset hashed from its name, so
     that many small strata spread over all shards. Rows without a stratum are one of their
     own. The shuffle hashes a row's id and its place in the input, so that rows with one id,
-    or with none, spread like all others. An empty table gives an empty table.
+    or with none, spread like all others; rows of one hash and one id are in no stated order.
+    An empty table gives an empty table.
     """
     df = df.drop("shard", "slot")
     total = df.count()
