@@ -641,6 +641,64 @@ def workbook_round_trip(spark, sf):
     return neat(rows.withColumn("c_acctbal", F.col("c_acctbal").cast("double")), "file", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
+SHEET = """SELECT CAST(1000 + c_custkey AS VARCHAR) AS subid, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS dataset_identifier, 'e1' AS episode_identifier, CASE WHEN c_nationkey = 3 THEN 'N' ELSE 'Y' END AS use_data,
+ CASE c_mktsegment WHEN 'BUILDING' THEN 'Alc' WHEN 'MACHINERY' THEN 'Non' ELSE c_mktsegment END AS condition, round(c_acctbal, 6) AS total_drinks, CAST(1 + c_custkey % 2 AS INTEGER) AS sex, strftime(DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER), '%Y-%m-%d') AS crop_begin_date FROM customer"""
+
+
+def _sheet(spark, sf):
+    c = recordings.table(spark, sf, "customer")
+    condition = F.when(F.col("c_mktsegment") == "BUILDING", "Alc").when(F.col("c_mktsegment") == "MACHINERY", "Non").otherwise(F.col("c_mktsegment"))
+    rows = c.select(
+        (F.col("c_custkey") % 7).alias("file"), (F.col("c_custkey") + 1000).alias("SubID"), F.col("c_nationkey").alias("Dataset_Identifier"), F.lit(1).alias("Episode_Identifier"), F.when(F.col("c_nationkey") == 3, "N").otherwise("Y").alias("Use_Data"),
+        condition.alias("Condition"), F.col("c_acctbal").alias("TotalDrks"), (F.col("c_custkey") % 2 + 1).alias("Sex"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "M/d/yyyy").alias("Crop Begin Date"),
+    )
+    return recordings.metadata_of(workbooks.sheet_table(workbooks.as_workbooks(rows, "file")))
+
+
+@query(SHEET)
+def metadata_sheets(spark, sf):
+    """Customers as sheets of study metadata, read again into its canonical columns."""
+    return neat(_sheet(spark, sf), "subid", "dataset_identifier", "episode_identifier", "use_data", "condition", "total_drinks", "sex", "crop_begin_date")
+
+
+@query(f"SELECT subid, CASE WHEN condition IN ('Alc', 'Non') THEN condition ELSE 'Unk' END AS condition, CAST(floor(total_drinks) % 2 = 0 AS BOOLEAN) AS even FROM ({SHEET})")
+def condition_coercion(spark, sf):
+    return _sheet(spark, sf).select("subid", ids.coerced_condition(F.col("condition")).alias("condition"), (F.pmod(F.floor("total_drinks"), F.lit(2)) == 0).alias("even"))
+
+
+@query(M + " SELECT DISTINCT sex, condition, use_data FROM m WHERE condition = 'Unk'")
+def excluded_features(spark, sf):
+    meta = recordings.customer_metadata(spark, sf).select("sex", "condition", "use_data")
+    return joins.excluded_and_kept(meta, {"condition": ["Unk"]})[1]
+
+
+@query(R + """, f AS (SELECT episode, count(*) AS n_N, avg(tac) AS mean, round(stddev_samp(tac), 2) AS sd FROM r GROUP BY episode) SELECT episode, n_N * 1.005 AS "n_N", round(mean, 6) AS mean, sd FROM f""")
+def rounded_columns(spark, sf):
+    """Report columns in order, rounded from the fourth on but for those that count."""
+    rows = aggregates.mean_sd_sem(readings(spark, sf)).join(readings(spark, sf).groupBy("episode").agg((F.count(F.lit(1)) * 1.005).cast("double").alias("n_N")), "episode")
+    return neat(results.rounded(results.present(rows, ["episode", "n_N", "mean"]), after=3), "episode", "n_N", "mean", "sd")
+
+
+@query(R.replace("WITH e AS", "WITH RECURSIVE e AS") + """, s AS (SELECT episode, idx, event_id, CAST(epoch_us(ts) AS BIGINT) // 900 AS t FROM r), pace AS (SELECT episode, coalesce(round_even(60.0 * (count(*) - 1) * 1e6 / nullif(max(t) - min(t), 0), 0) > 1, true) AND count(*) > 1 AS dense FROM s GROUP BY episode),
+ k AS (SELECT s.* FROM s JOIN pace USING (episode) WHERE dense AND idx = 0 UNION ALL SELECT x.episode, x.idx, x.event_id, x.t FROM (SELECT s.*, row_number() OVER (PARTITION BY s.episode ORDER BY s.idx) AS rn FROM k JOIN s ON s.episode = k.episode AND s.idx > k.idx AND s.t - k.t >= 59000000) x WHERE rn = 1)
+ SELECT event_id FROM k UNION ALL SELECT event_id FROM s JOIN pace USING (episode) WHERE NOT dense""")
+def dense_thinning(spark, sf):
+    """Only episodes of more than one row a minute are thinned; the readings' time is taken 900 times as fast."""
+    df = readings(spark, sf).withColumn("ts", F.timestamp_micros(F.expr("unix_micros(ts) div 900")))
+    return cleaning.thinned_where_dense(df).select("event_id")
+
+
+@query(R + """, l AS (SELECT r.event_id, y.tac AS y, row_number() OVER (PARTITION BY r.event_id ORDER BY y.idx) - 1 AS j, count(*) OVER (PARTITION BY r.event_id) AS m, (max(y.hours) OVER (PARTITION BY r.event_id) - min(y.hours) OVER (PARTITION BY r.event_id)) * 60 AS span FROM r JOIN r y ON y.episode = r.episode AND y.idx BETWEEN r.idx AND r.idx + 10),
+ u AS (SELECT *, j - (m - 1) / 2.0 AS u FROM l WHERE m > 5 AND span > 0),
+ s AS (SELECT event_id, any_value(m) AS m, any_value(span) AS span, sum(u*u) AS s2, sum(u*u*u*u) AS s4, sum(y) AS y0, sum(y*u) AS y1, sum(y*u*u) AS y2 FROM u GROUP BY event_id),
+ k AS (SELECT event_id, (m * y2 - s2 * y0) / (m * s4 - s2 * s2) AS a, y1 / s2 AS b, (y0 - (m * y2 - s2 * y0) / (m * s4 - s2 * s2) * s2) / m AS c, (m - 1) / span AS q, (m - 1) / 2.0 AS h FROM s)
+ SELECT r.event_id, round(a*q*q * 1e6, 4) + 0.0 AS a_e6, round((b*q - 2*a*q*h) * 1e3, 4) + 0.0 AS b_e3, round(a*h*h - b*h + c + 1e-6, 4) + 0.0 AS c FROM r LEFT JOIN k USING (event_id)""")
+def quadratic_fit_after(spark, sf):
+    df = windows.quadratic_fits(readings(spark, sf))
+    scaled = {"a_e6": F.col("tac_a_post") * 1e6, "b_e3": F.col("tac_b_post") * 1e3, "c": F.col("tac_c_post") + 1e-6}
+    return df.select("event_id", *[(F.round(v, 4) + F.lit(0.0)).alias(k) for k, v in scaled.items()])
+
+
 USERS = " , u AS (SELECT user_id, avg(tac) AS mean, max(tac) AS peak FROM r JOIN customer ON c_custkey = user_id GROUP BY user_id)"
 
 
