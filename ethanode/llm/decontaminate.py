@@ -56,10 +56,11 @@ class ItemIndex:
         """(item id, its size, shared shingles) for items that share a minimum with the shingles."""
         if not len(self.minima) or not len(shingles):
             return []
+        at = np.minimum(np.searchsorted(self.minima, shingles), len(self.minima) - 1)
+        if not (self.minima[at] == shingles).any():
+            return []  # most documents
         shingles = np.unique(shingles)
         candidates = np.unique(self.minima_owners[_places(self.minima, shingles)])
-        if not len(candidates):
-            return []
         owners = self.owners[_places(self.keys, shingles)]
         owners, shared = np.unique(owners[np.isin(owners, candidates)], return_counts=True)
         return [(self.ids[o], self.sizes[o], int(n)) for o, n in zip(owners, shared, strict=True)]
