@@ -129,8 +129,16 @@ def signature(word: str, order: dict[str, tuple[int, str]], edits: int = 1) -> t
     return last, [i for i, _ in prefix], chosen_pivots(prefix, edits + 1)
 
 
+def odd_letters(word: str) -> int:
+    """A bit for each letter, by its code point modulo 64, set where the word has an odd number of it: one edit turns two bits at most."""
+    out = 0
+    for c in word:
+        out ^= 1 << (ord(c) & 63)
+    return out - (1 << 64) if out >> 63 else out
+
+
 def signatures(words: DataFrame, order: dict[str, tuple[int, str]]) -> DataFrame:
-    """(word, n, last, prefix, pivots) of the words, with `last` as a number that follows the order, -1 for long ones."""
+    """(word, n, letters, last, prefix, pivots) of the words, with `odd_letters` and with `last` as a number that follows the order, -1 for long ones."""
     ranks = {gram: i for i, (gram, _) in enumerate(sorted(order.items(), key=lambda x: x[1]))}
     shared = words.sparkSession.sparkContext.broadcast((order, ranks))
 
@@ -138,14 +146,14 @@ def signatures(words: DataFrame, order: dict[str, tuple[int, str]]) -> DataFrame
         order, ranks = shared.value
         for batch in batches:
             found = [signature(w, order) for w in batch.column(0).to_pylist()]
-            cols = [pa.array([ranks[x[0][1]] if x[0] else -1 for x in found], pa.int32()), *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=["word", "n", "last", "prefix", "pivots"])
+            cols = [pa.array([odd_letters(w) for w in batch.column(0).to_pylist()], pa.int64()), pa.array([ranks[x[0][1]] if x[0] else -1 for x in found], pa.int32()), *(pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=["word", "n", "letters", "last", "prefix", "pivots"])
 
-    return words.select("word", "n").mapInArrow(sign, "word string, n long, last int, prefix array<int>, pivots array<int>")
+    return words.select("word", "n").mapInArrow(sign, "word string, n long, letters long, last int, prefix array<int>, pivots array<int>")
 
 
 def _keyed(signed: DataFrame, places: str, lengths: Sequence[int]) -> DataFrame:
-    """(key, word, n, last) for each length that a near word may have, as a difference from the own one.
+    """(key, word, n, letters, last) for each length that a near word may have, as a difference from the own one.
 
     Keys: that length, with the word up to the end of each place's bigram, and from its bigram
     on; for lengths over `LONG`, with the part that falls into a near word's first half, and into
@@ -160,7 +168,7 @@ def _keyed(signed: DataFrame, places: str, lengths: Sequence[int]) -> DataFrame:
         sides = F.flatten(F.transform(places, lambda at: F.array(F.concat(F.lit("^"), F.substring("word", F.lit(1), at + GRAM)), F.concat(F.lit("$"), F.substring("word", at + 1, chars)))))
         return F.transform(F.when(size <= LONG, sides).otherwise(halves), lambda k: F.concat(size.cast("string"), k))
 
-    return signed.select(F.explode(F.flatten(F.array(*[keys(d) for d in lengths]))).alias("key"), "word", "n", "last")
+    return signed.select(F.explode(F.flatten(F.array(*[keys(d) for d in lengths]))).alias("key"), "word", "n", "letters", "last")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -171,8 +179,9 @@ def near_words(words: DataFrame) -> DataFrame:
     signed = materialize(signatures(words, gram_order(words)), "signatures")
     pivots = materialize(_keyed(signed, "pivots", (-1, 0, 1)), "pivots")
     # both sides are written, so that the join shuffles them itself and adaptive execution can split a hot key
-    prefixes = materialize(_keyed(signed, "prefix", (0,)).select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.when(F.length("word") > LONG, _ALWAYS).otherwise(F.col("last")).alias("near_last")), "prefixes")
-    met = pivots.join(prefixes, "key").where((F.col("last") <= F.col("near_last")) & (F.col("word") != F.col("near")))
+    prefixes = materialize(_keyed(signed, "prefix", (0,)).select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("letters").alias("near_letters"), F.when(F.length("word") > LONG, _ALWAYS).otherwise(F.col("last")).alias("near_last")), "prefixes")
+    likely = (F.col("last") <= F.col("near_last")) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("near_letters"))) <= 2)
+    met = pivots.join(prefixes, "key").where(likely & (F.col("word") != F.col("near")))
     one_way = materialize(met.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n"), "near")
     discard(signed, pivots, prefixes)
     other = one_way.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
