@@ -29,8 +29,8 @@ TRAIN_ROWS = 12_000
 CHUNK = 1 << 20
 #: Characters from which a text counts as long: further ones lower the values of what it holds.
 LONG = 2_000
-#: The bounded training rows are fitted in so many partitions: each step of a fit is a job.
-FIT_PARTITIONS = 6
+#: The bounded training rows are fitted in so many partitions: each step of a fit is a job, and up to four are summed in one stage.
+FIT_PARTITIONS = 4
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,7 +122,7 @@ def fit(labelled: DataFrame, lengths: tuple[int, ...] = LENGTHS, buckets: int =
 
     def scaled(batches):
         slots, ratios = shared.value
-        for batch in batches:
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):  # a row is as long as there are features
             rows = [_held(t or "", slots, lengths, len(ratios)) * ratios for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1).cast(pa.float64())], names=["x", "label"])
 
