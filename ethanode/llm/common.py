@@ -33,6 +33,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * part else df
 
 
+#: Rows that Python tasks are handed at a time, at most.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python `BATCH_ROWS` rows at a time at most: 10,000 documents, as it would by itself, can take hundreds of MB outside an executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     """(key, row), written in buckets of the key: the columns of each row under a number of its own, whatever its id."""
     row = F.struct(*[F.col(c) for c in dict.fromkeys(columns)])
