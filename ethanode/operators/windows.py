@@ -128,8 +128,10 @@ def first_groups(df: DataFrame, group: str, n: int, order: str) -> DataFrame:
 
 
 def standardized(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
+    """<col>_z: the distance from the episode's mean in standard deviations; null with one value, and where all values are the same what floating point has for a division by zero: NaN."""
     w, v = whole(keys), F.col(col)
-    return df.withColumn(f"{col}_z", (v - F.avg(v).over(w)) / F.stddev_samp(v).over(w))
+    away, sd = v - F.avg(v).over(w), F.stddev_samp(v).over(w)
+    return df.withColumn(f"{col}_z", F.when(sd == 0, away * F.lit(float("inf"))).otherwise(away / sd))
 
 
 def baseline_corrected(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
