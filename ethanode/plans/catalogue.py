@@ -407,7 +407,7 @@ def baseline_correct(spark, sf):
     return neat(windows.baseline_corrected(readings(spark, sf, 20.0)), "event_id", "tac_baseline")
 
 
-NAMES = "lpad(CAST(1000 + c_custkey AS VARCHAR), 4, '0') || '_' || CASE WHEN c_custkey % 7 = 0 THEN '000' ELSE lpad(CAST(c_nationkey AS VARCHAR), 3, '0') END || '_' || c_mktsegment || '.csv'"
+NAMES = "CAST(1000 + c_custkey AS VARCHAR) || '_' || CASE WHEN c_custkey % 7 = 0 THEN '000' ELSE lpad(CAST(c_nationkey AS VARCHAR), 3, '0') END || '_' || c_mktsegment || '.csv'"
 
 
 @query(f"""WITH n AS (SELECT c_custkey, {NAMES} AS name FROM customer), s AS (SELECT *, string_split(string_split(name, '.')[1], '_') AS p FROM n)
