@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +37,22 @@ def renumbered(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
     return df.withColumns({"hours": F.col("hours") - F.first("hours").over(w), "idx": (F.row_number().over(w) - 1).cast("long")})
 
 
-def neighbour_differences(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
+def _differences(col: str, keys: Sequence[str]) -> dict[str, Column]:
     w, v = by(keys), F.col(col)
-    return df.withColumns({f"{col}_diff_prior": v - F.lag(v).over(w), f"{col}_diff_post": F.lead(v).over(w) - v})
+    return {f"{col}_diff_prior": v - F.lag(v).over(w), f"{col}_diff_post": F.lead(v).over(w) - v}
 
 
-def neighbour_mean_changes(df: DataFrame, col: str = "tac", n: int = 10, keys: Sequence[str] = EPISODE) -> DataFrame:
+def _mean_changes(col: str, n: int, keys: Sequence[str]) -> dict[str, Column]:
     w, v = by(keys), F.col(col)
-    return df.withColumns({f"{col}_mean_change_pre": v - F.avg(v).over(w.rowsBetween(-n, -1)), f"{col}_mean_change_post": v - F.avg(v).over(w.rowsBetween(1, n))})
+    return {f"{col}_mean_change_pre": v - F.avg(v).over(w.rowsBetween(-n, -1)), f"{col}_mean_change_post": v - F.avg(v).over(w.rowsBetween(1, n))}
+
+
+def neighbour_differences(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
+    return df.withColumns(_differences(col, keys))
+
+
+def neighbour_mean_changes(df: DataFrame, col: str = "tac", n: int = 10, keys: Sequence[str] = EPISODE) -> DataFrame:
+    return df.withColumns(_mean_changes(col, n, keys))
 
 
 def rolling_slope(df: DataFrame, col: str = "tac", n: int = 10, keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -54,17 +63,14 @@ def rolling_slope(df: DataFrame, col: str = "tac", n: int = 10, keys: Sequence[s
     return df.withColumn(f"{col}_slope", F.when(F.count(y).over(w) >= 2, slope))
 
 
-def _quadratic(ys: Column, span: Column) -> dict[str, Column]:
-    """Coefficients a, b, c of a least-squares parabola through ys at evenly spaced x over [0, span]; x is centred and scaled, so the normal equations are two small ones."""
-    m = F.size(ys)
-    half = (m - 1) / 2.0
-    centred = F.transform(ys, lambda y, i: F.struct(y.alias("y"), (i - half).alias("u")))
-
-    def moment(f) -> Column:
-        return F.aggregate(centred, F.lit(0.0), lambda acc, x: acc + f(x))
-
-    s2, s4 = moment(lambda x: x["u"] * x["u"]), moment(lambda x: x["u"] * x["u"] * x["u"] * x["u"])
-    y0, y1, y2 = moment(lambda x: x["y"]), moment(lambda x: x["y"] * x["u"]), moment(lambda x: x["y"] * x["u"] * x["u"])
+def _quadratic(m: Column, sums: Sequence[Column], span: Column, backward: bool) -> dict[str, Column]:
+    """Coefficients a, b, c of a least-squares parabola through m values at evenly spaced x over [0, span], from the sums of y, i * y and i * i * y over their places i; x is centred and scaled, so the normal equations are two small ones. `backward` takes the last value first."""
+    y0, first, second = sums
+    half = (m - 1) / 2
+    s2 = m * (m * m - 1) / 12
+    s4 = s2 * (3 * m * m - 7) / 20
+    y1 = half * y0 - first if backward else first - half * y0
+    y2 = second - 2 * half * first + half * half * y0
     a = (m * y2 - s2 * y0) / (m * s4 - s2 * s2)
     b = y1 / s2
     c = (y0 - a * s2) / m
@@ -72,6 +78,39 @@ def _quadratic(ys: Column, span: Column) -> dict[str, Column]:
     return {"a": a * scale * scale, "b": b * scale - 2 * a * scale * half, "c": a * half * half - b * half + c}
 
 
+_SIDES = ("pre", "post")
+
+
+def _around(col: str, n: int, keys: Sequence[str]) -> dict[str, Column]:
+    """Of both sides of a row, the values with its own and the minutes spanned."""
+    w, minutes, out = by(keys), F.col("hours") * 60, {}
+    for side, frame in zip(_SIDES, (w.rowsBetween(-n, 0), w.rowsBetween(0, n)), strict=True):
+        out[f"__{col}_{side}"] = F.collect_list(F.col(col)).over(frame)
+        out[f"__span_{side}"] = F.max(minutes).over(frame) - F.min(minutes).over(frame)
+    return out
+
+
+def _sums(col: str, n: int) -> dict[str, Column]:
+    """Number of the values and their sums with powers of their places, written out: functions over arrays are interpreted for every row."""
+    out = {}
+    for name in [f"__{col}_{side}" for side in _SIDES]:
+        each = [F.coalesce(F.get(name, F.lit(i)), F.lit(0.0)) for i in range(n + 1)]
+        out[f"{name}_m"] = F.size(name).cast("double")
+        for k in range(3):
+            out[f"{name}_{k}"] = reduce(Column.__add__, [y * float(i**k) for i, y in enumerate(each)])
+    return out
+
+
+def _parabolas(col: str, least: int, reversed_prior: bool) -> dict[str, Column]:
+    out = {}
+    for side in _SIDES:
+        m, *sums = (F.col(f"__{col}_{side}_{k}") for k in ("m", 0, 1, 2))
+        span = F.col(f"__span_{side}")
+        fits = _quadratic(m, sums, span, side == "pre" and reversed_prior)
+        out |= {f"{col}_{k}_{side}": F.when((m > least) & (span > 0), c) for k, c in fits.items()}
+    return out
+
+
 def quadratic_fits(df: DataFrame, col: str = "tac", n: int = 10, least: int = 5, keys: Sequence[str] = EPISODE, reversed_prior: bool = True) -> DataFrame:
     """a, b, c of parabolas through a row and up to n rows before (pre) and after (post).
 
@@ -79,21 +118,23 @@ def quadratic_fits(df: DataFrame, col: str = "tac", n: int = 10, least: int = 5,
     on a side have null there. `reversed_prior` fits the rows before nearest first, as the
     published tool does.
     """
-    w, v, minutes = by(keys), F.col(col), F.col("hours") * 60
-    for side, frame in (("pre", w.rowsBetween(-n, 0)), ("post", w.rowsBetween(0, n))):
-        ys = F.collect_list(v).over(frame)
-        df = df.withColumns({"__ys": F.reverse(ys) if side == "pre" and reversed_prior else ys, "__span": F.max(minutes).over(frame) - F.min(minutes).over(frame)})
-        fits = _quadratic(F.col("__ys"), F.col("__span"))
-        enough = (F.size("__ys") > least) & (F.col("__span") > 0)
-        df = df.withColumns({f"{col}_{k}_{side}": F.when(enough, c) for k, c in fits.items()}).drop("__ys", "__span")
-    return df
+    around, sums = _around(col, n, keys), _sums(col, n)
+    return df.withColumns(around).withColumns(sums).withColumns(_parabolas(col, least, reversed_prior)).drop(*around, *sums)
 
 
 def row_features(df: DataFrame, cols: Sequence[str] = ("temp", "motion"), n: int = 10, keys: Sequence[str] = EPISODE) -> DataFrame:
-    """Value, parabolas, mean changes and changes on both sides, for each of `cols`."""
+    """Value, parabolas, mean changes and changes on both sides, for each of `cols`.
+
+    The windows of a column come after the sums of the one before: the sums of all columns at
+    once would be one generated method, too long for the JVM to compile.
+    """
+    found, changes, names = df, {}, []
     for c in cols:
-        df = neighbour_mean_changes(neighbour_differences(quadratic_fits(df, c, n, keys=keys), c, keys), c, n, keys)
-    return df
+        own, more = _parabolas(c, 5, True), _differences(c, keys) | _mean_changes(c, n, keys)
+        found = quadratic_fits(found, c, n, keys=keys)
+        names += [*own, *more]
+        changes |= more
+    return found.withColumns(changes).select(*[c for c in df.columns if c not in names], *names)
 
 
 def returns_to_baseline(df: DataFrame, col: str = "tac", n: int = 120, keys: Sequence[str] = EPISODE) -> DataFrame:
