@@ -68,21 +68,35 @@ def bridge_extremes(df: DataFrame, cutoff: float = 800.0, keys: Sequence[str] =
     return d.withColumns({"extreme_outlier": F.col("__hit").cast("int"), "tac": F.when(F.col("__hit") & F.col("__mid").isNotNull(), F.col("__mid")).otherwise(F.col("tac"))}).drop("__hit", "__mid")
 
 
+#: Sums of squares that are held at a time: 8 MB.
+HELD_COSTS = 1_000_000
+
+
 def clusters_of(values: np.ndarray, most: int = 9) -> tuple[list[float], list[np.ndarray]]:
     """For k = 1 to `most` clusters of numbers, the least sum of squares and each number's cluster (from 0 up): exact, by dynamic programming over the sorted distinct ones."""
     distinct, place, weight = np.unique(values, return_inverse=True, return_counts=True)
     n, mean = len(distinct), float(np.average(distinct, weights=weight))
     centred = distinct - mean
     w, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight, weight * centred, weight * centred**2))
+    lo = np.arange(n)
+
+    def within(a: int, b: int) -> np.ndarray:
+        """The sum of squares of one cluster from each place (columns) up to each of the ends a + 1 to b (rows)."""
+        j = np.arange(a + 1, b + 1)[:, None]
+        inside = lo < j
+        return np.where(inside, np.maximum(q[j] - q[lo] - (s[j] - s[lo]) ** 2 / np.where(inside, w[j] - w[lo], 1.0), 0.0), np.inf)
+
+    step = max(1, HELD_COSTS // max(n, 1))
+    held = within(0, n) if step >= n else None  # the same for every k; of more numbers, made anew a part at a time
     best = np.concatenate([[0.0], np.full(n, np.inf)])
     cuts, costs, labels = [], [], []
     for k in range(1, min(most, n) + 1):
         new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        for j in range(k, n + 1):
-            lo = np.arange(k - 1, j)
-            cost = best[lo] + np.maximum(q[j] - q[lo] - (s[j] - s[lo]) ** 2 / (w[j] - w[lo]), 0.0)
-            at = int(np.argmin(cost))
-            new[j], cut[j] = cost[at], lo[at]
+        for a in range(0, n, step):
+            b = min(a + step, n)
+            cost = best[:n] + (within(a, b) if held is None else held)
+            cut[a + 1 : b + 1] = at = cost.argmin(axis=1)
+            new[a + 1 : b + 1] = cost[np.arange(b - a), at]
         best = new
         cuts.append(cut)
         own, j = np.zeros(n, int), n

@@ -825,7 +825,7 @@ def logistic_grid_by_subject(spark, sf):
 @query()
 def cluster_extremes(spark, sf):
     """Clusters of values that lie apart, in readings of four times the size."""
-    df = readings(spark, sf).withColumn("tac", F.col("tac") * 4)
+    df = readings(spark, sf).select("event_id", "episode", "idx", "hours", (F.col("tac") * 4).alias("tac"))
     return neat(cleaning.drop_clusters(df), "event_id", "tac", "extreme_outlier")
 
 
