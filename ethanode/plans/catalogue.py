@@ -649,7 +649,7 @@ def _sheet(spark, sf):
     c = recordings.table(spark, sf, "customer")
     condition = F.when(F.col("c_mktsegment") == "BUILDING", "Alc").when(F.col("c_mktsegment") == "MACHINERY", "Non").otherwise(F.col("c_mktsegment"))
     rows = c.select(
-        (F.col("c_custkey") % 7).alias("file"), (F.col("c_custkey") + 1000).alias("SubID"), F.col("c_nationkey").alias("Dataset_Identifier"), F.lit(1).alias("Episode_Identifier"), F.when(F.col("c_nationkey") == 3, "N").otherwise("Y").alias("Use_Data"),
+        F.expr("c_custkey div 1000").alias("file"), (F.col("c_custkey") + 1000).alias("SubID"), F.col("c_nationkey").alias("Dataset_Identifier"), F.lit(1).alias("Episode_Identifier"), F.when(F.col("c_nationkey") == 3, "N").otherwise("Y").alias("Use_Data"),
         condition.alias("Condition"), F.col("c_acctbal").alias("TotalDrks"), (F.col("c_custkey") % 2 + 1).alias("Sex"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "M/d/yyyy").alias("Crop Begin Date"),
     )
     return recordings.metadata_of(workbooks.sheet_table(workbooks.as_workbooks(rows, "file")))
