@@ -208,10 +208,12 @@ def wear_model(df: DataFrame, predictors: Sequence[str], estimator, label: str =
     The first and last `ends` rows of an episode are left out (part `ends`), as are rows
     without a label (`unlabelled`) and without a value in every predictor (`incomplete`); of
     the rest, a `share` of groups is held out (`held`), the model is fitted to the others
-    (`train`), and both get predictions.
+    (`train`), and both get predictions. The rows are written once: a fit goes over its rows
+    several times, and each time would make their features anew.
     """
-    inner = windows.without_ends(df, ends, keys)
-    outer = windows.head_and_tail(df, ends, keys)
+    last = F.count(F.lit(1)).over(windows.whole(keys))
+    df = materialize(df.withColumn("__inner", (F.col("idx") >= ends) & (F.col("idx") < last - ends)), "wear")
+    inner, outer = df.where("__inner").drop("__inner"), df.where("not __inner").drop("__inner")
     ready = complete(df, predictors)
     known = inner.where(F.col(label).isNotNull() & ready)
     train, held = holdout(known, group, order, share)
