@@ -21,8 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     langs, model = language_id.train(docs)
     if not langs:
         return docs
-    least = language_id.least_fits(docs, langs, model)
-    found = language_id.identify(docs.withColumn("__row", F.struct(*docs.columns)), langs, model, columns=["__row"], fits=True)
+    judged = language_id.identify(docs.withColumn("__row", F.struct(*docs.columns)), langs, model, columns=["__row"], fits=True)
+    found = materialize(judged, "judged", "zstd")  # the bounds come from all of it, so each text is scored once
+    least = language_id.least_fits(found, "__row.lang")
     bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang_pred")] if least else F.lit(None)
     alien = (F.col("distinct_words") >= language_id.FIT_WORDS) & F.coalesce(F.col("fit") < bound, F.lit(False))
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~alien).select("__row.*")

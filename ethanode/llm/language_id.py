@@ -199,40 +199,27 @@ def expected_counts(words: list[str], weights: np.ndarray, probs: np.ndarray, vo
     return counts
 
 
-def _sampled(rows: DataFrame, rows_per_language: int) -> tuple[list[str], DataFrame]:
-    """The languages of (id, text, lang), and about so many rows of each, by a hash of the id."""
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return [], rows
-    share = F.create_map(*[x for k in sorted(sizes) for x in (F.lit(k), F.lit(rows_per_language / sizes[k]))])[F.col("lang")]
-    return sorted(sizes), rows.where(F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 20)) < share * (1 << 20))
-
-
 def train(
     labelled: DataFrame,
     vocabulary: str | None = None,
     text_col: str = "text",
     lang_col: str = "lang",
-    id_col: str = "doc_id",
-    rows_per_language: int = 1500,
     rounds: int = 3,
     smoothing: float = 0.1,
 ) -> tuple[list[str], np.ndarray]:
     """Fit the piece probabilities; returns the languages and a pieces x languages table.
 
-    The fit uses a bounded sample: about `rows_per_language` documents of each language,
-    chosen by a hash of `id_col`; their words count whole, however long. Rows without a
-    language or text are left out; texts without a letter add nothing, and a language that
+    The fit uses every labelled document: words are counted in the tasks, and the sums run over
+    the distinct words of each language. Rows without a language or text are left out; texts without a letter add nothing, and a language that
     has only such texts keeps its name with equal probabilities. Repeated rows each count.
     Without labels there are no languages.
     """
     vocabulary = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    langs, rows = _sampled(rows, rows_per_language)
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     size = lattice(vocabulary).size
     if not langs:
         return [], np.zeros((size, 0))
-    rows = rows.select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -368,14 +355,11 @@ FIT_WORDS = 20
 FIT_REACH, FIT_MARGIN = 3.0, 2.25
 
 
-def least_fits(labelled: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows_per_language: int = 1500) -> dict[str, float]:
-    """For each language the fit under which a text is of none, by `FIT_REACH` and `FIT_MARGIN`.
+def least_fits(judged: DataFrame, lang_col: str = "lang") -> dict[str, float]:
+    """For each language the fit under which a text is of none, by `FIT_REACH` and `FIT_MARGIN`, from all labelled rows of `identify` with `fits`.
 
-    It comes from the sample that `train` takes; a language without texts of `FIT_WORDS`
-    distinct words in it has no bound.
+    A language without labelled texts of `FIT_WORDS` distinct words in it has no bound.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    _, rows = _sampled(rows, rows_per_language)
-    judged = identify(rows, langs, table, vocabulary, "id", "text", ["lang"], fits=True).where((F.col("lang") == F.col("lang_pred")) & (F.col("distinct_words") >= FIT_WORDS))
-    found = judged.groupBy("lang").agg(F.percentile_approx("fit", F.array(F.lit(0.01), F.lit(0.5)), F.lit(10_000)).alias("q")).collect()
+    own = judged.where((F.col(lang_col) == F.col("lang_pred")) & (F.col("distinct_words") >= FIT_WORDS))
+    found = own.groupBy(F.col(lang_col).alias("lang")).agg(F.percentile_approx("fit", F.array(F.lit(0.01), F.lit(0.5)), F.lit(10_000)).alias("q")).collect()
     return {r["lang"]: r["q"][1] - max(FIT_REACH * (r["q"][1] - r["q"][0]), FIT_MARGIN) for r in found}
