@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from ethanode.operators.windows import EPISODE, by, whole
 
 
-def mean_sd_sem(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
+def _spread(col: str) -> list[Column]:
     sd = F.stddev_samp(col)
-    return df.groupBy(*keys).agg(F.avg(col).alias("mean"), sd.alias("sd"), (sd / F.sqrt(F.count(col))).alias("sem"))
+    return [F.avg(col).alias("mean"), sd.alias("sd"), (sd / F.sqrt(F.count(col))).alias("sem")]
+
+
+def mean_sd_sem(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
+    return df.groupBy(*keys).agg(*_spread(col))
 
 
 def floored_peak(peak: Column) -> Column:
@@ -61,34 +65,66 @@ def windowed_peak(df: DataFrame, width: int, col: str = "tac", keys: Sequence[st
     return d.withColumn("local_peak", floored_peak(top)).drop("__n", "__v", "__b", "__f", "__around", "__running", "__heads")
 
 
-def baseline(df: DataFrame, col: str = "tac", rows: int = 10, keys: Sequence[str] = EPISODE) -> DataFrame:
-    """Mean, spread and their sum over idx 0..rows; null where there are no more than `rows` rows."""
+def _baseline(col: str, rows: int) -> list[Column]:
     v = F.when(F.col("idx") <= rows, F.col(col))
     enough = F.count(F.lit(1)) > rows
     mean, sd = F.when(enough, F.avg(v)), F.when(enough, F.stddev_samp(v))
-    return df.groupBy(*keys).agg(mean.alias("baseline_mean"), sd.alias("baseline_sd"), (mean + sd).alias("curve_threshold"))
+    return [mean.alias("baseline_mean"), sd.alias("baseline_sd"), (mean + sd).alias("curve_threshold")]
 
 
-def area(df: DataFrame, col: str = "tac", dx: float = 0.1, keys: Sequence[str] = EPISODE) -> DataFrame:
-    """Trapezoids of fixed width, per hour too, and over true time."""
+def baseline(df: DataFrame, col: str = "tac", rows: int = 10, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Mean, spread and their sum over idx 0..rows; null where there are no more than `rows` rows."""
+    return df.groupBy(*keys).agg(*_baseline(col, rows))
+
+
+def _trapezoids(col: str, keys: Sequence[str]) -> dict[str, Column]:
     w = by(keys)
     step = (F.col(col) + F.lag(col).over(w)) / 2
-    rows = df.withColumns({"__step": step, "__time": step * (F.col("hours") - F.lag("hours").over(w))})
+    return {"__step": step, "__time": step * (F.col("hours") - F.lag("hours").over(w))}
+
+
+def _areas(dx: float) -> list[Column]:
     total = F.sum("__step") * dx
-    return rows.groupBy(*keys).agg(total.alias("auc_total"), (total / F.max("hours")).alias("auc_per_hour"), F.sum("__time").alias("auc_time"))
+    return [total.alias("auc_total"), (total / F.max("hours")).alias("auc_per_hour"), F.sum("__time").alias("auc_time")]
+
+
+def area(df: DataFrame, col: str = "tac", dx: float = 0.1, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Trapezoids of fixed width, per hour too, and over true time."""
+    return df.withColumns(_trapezoids(col, keys)).groupBy(*keys).agg(*_areas(dx))
+
+
+def _absolute_step(col: str, keys: Sequence[str]) -> dict[str, Column]:
+    return {"__d": F.abs(F.col(col) - F.lag(col).over(by(keys)))}
+
+
+def _mean_step() -> list[Column]:
+    return [F.avg("__d").alias("avg_tac_diff")]
 
 
 def mean_absolute_step(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
-    step = F.col(col) - F.lag(col).over(by(keys))
-    return df.withColumn("__d", F.abs(step)).groupBy(*keys).agg(F.avg("__d").alias("avg_tac_diff"))
+    return df.withColumns(_absolute_step(col, keys)).groupBy(*keys).agg(*_mean_step())
 
 
-def direction_changes(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
-    """Changes of direction (a step of 0 counts as up), rows less one, and their percentage."""
+def _with_flips(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
     w = by(keys)
     up = df.withColumn("__up", F.col(col) - F.lag(col).over(w) >= 0)
-    flips = up.withColumn("__flip", (F.col("__up") != F.lag("__up").over(w)).cast("long"))
-    return flips.groupBy(*keys).agg(F.coalesce(F.sum("__flip"), F.lit(0)).alias("alterations"), (F.count(F.lit(1)) - 1).alias("steps")).withColumn("alteration_percent", F.when(F.col("steps") > 0, F.col("alterations") * 100.0 / F.col("steps")))
+    return up.withColumn("__flip", (F.col("__up") != F.lag("__up").over(w)).cast("long"))
+
+
+def _flips() -> list[Column]:
+    flips, steps = F.coalesce(F.sum("__flip"), F.lit(0)), F.count(F.lit(1)) - 1
+    return [flips.alias("alterations"), steps.alias("steps"), F.when(steps > 0, flips * 100.0 / steps).alias("alteration_percent")]
+
+
+def direction_changes(df: DataFrame, col: str = "tac", keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Changes of direction (a step of 0 counts as up), rows less one, and their percentage."""
+    return _with_flips(df, col, keys).groupBy(*keys).agg(*_flips())
+
+
+def signal_totals(df: DataFrame, col: str = "tac", rows: int = 10, dx: float = 0.1, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """`mean_sd_sem`, `baseline`, `area`, `mean_absolute_step` and `direction_changes` in one row: readings are shuffled and sorted once for all."""
+    d = _with_flips(df.withColumns(_trapezoids(col, keys) | _absolute_step(col, keys)), col, keys)
+    return d.groupBy(*keys).agg(*_spread(col), *_baseline(col, rows), *_areas(dx), *_mean_step(), *_flips())
 
 
 def sampling_rate(df: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Mapping, Sequence
-from math import gamma, log
+from math import gamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +47,11 @@ def insert_gap_rows(df: DataFrame, gap_h: float = 0.5, rate: float = 1.0, least_
     w = by(keys)
     step = F.col("hours") - F.lag("hours").over(w)
     d = df.withColumns({"__prev": F.lag("ts").over(w), "__m": F.when((step > gap_h) & (F.count(F.lit(1)).over(whole(keys)) * rate > least_rows), F.floor(step * 60 / rate).cast("int")).otherwise(0)})
-    new = d.where(F.col("__m") > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__m"))))
-    new = new.withColumns({"ts": F.col("__prev") + F.make_dt_interval(secs=F.col("__k") * F.lit(60.0 * rate)), "tac": F.lit(None).cast("double"), "gap_imputed": F.lit(1)})
-    both = d.withColumn("gap_imputed", F.lit(0)).unionByName(new.drop("__k")).drop("__prev", "__m")
-    return numbered(both, keys, [*order, "gap_imputed"])
+    # each row comes with the new ones before it, so that what made the rows runs once
+    d = d.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__m"))))
+    new = F.col("__k") > 0
+    d = d.withColumns({"ts": F.when(new, F.col("__prev") + F.make_dt_interval(secs=F.col("__k") * F.lit(60.0 * rate))).otherwise(F.col("ts")), "tac": F.when(~new, F.col("tac")), "gap_imputed": new.cast("int")})
+    return numbered(d.drop("__prev", "__m", "__k"), keys, [*order, "gap_imputed"])
 
 
 def bridge_extremes(df: DataFrame, cutoff: float = 800.0, keys: Sequence[str] = EPISODE) -> DataFrame:
@@ -213,10 +214,14 @@ def missing_runs(missing: np.ndarray, extend: int, merge: int) -> list[tuple[int
     return out
 
 
+#: The scaled distance beyond which the Matern correlation counts as 0.
+FARTHEST = 60.0
+
+
 @functools.lru_cache(maxsize=8)
 def _matern_table(nu: float) -> tuple[np.ndarray, np.ndarray]:
-    """The Matern correlation at scaled distances from 0 to 60, by quadrature of the Bessel function K."""
-    x = np.concatenate([[0.0], np.geomspace(1e-8, 60, 4000)])
+    """The Matern correlation at scaled distances from 0 to the farthest, by quadrature of the Bessel function K."""
+    x = np.concatenate([[0.0], np.geomspace(1e-8, FARTHEST, 4000)])
     t = np.linspace(0, 32, 1200)  # far enough for the smallest distance
     k = np.trapezoid(np.exp(-np.clip(x[1:, None] * np.cosh(t), 0, 700)) * np.cosh(nu * t), t, axis=1)
     return x, np.concatenate([[1.0], np.minimum(2 ** (1 - nu) / gamma(nu) * x[1:] ** nu * k, 1.0)])
@@ -268,6 +273,45 @@ class Correlations:
         self.even = on_grid and int(self.places[-1]) == len(x) - 1
         self.lags = None if self.even else np.abs(self.places[:, None] - self.places[None, :]) if on_grid else np.abs(x[:, None] - x[None, :])
 
+    def loss_of(self, y: np.ndarray) -> Callable[[float], float]:
+        """`fitted`'s loss as a function of the length, without the weights.
+
+        Where the rows are uneven, the matrix is bordered by the values, so that its Cholesky
+        factor has all that a loss takes: the determinant in the diagonal, and in the last row
+        numbers whose squares add up to values times weights. What no length changes is laid
+        out once.
+        """
+        if self.even:
+            return lambda length: self.fitted(y, length)[0]
+        n = len(y)
+        full = np.zeros((n + 1, n + 1))
+        cells, own = full.reshape(-1), np.arange(n) * (n + 2)
+        cells[own], full[n, :n], full[n, n] = 1 + _NUGGET, y, 1e300  # the corner is large enough for any values
+        row, col = np.tril_indices(n, -1)
+        lags = self.lags[row, col]
+        order = np.argsort(lags)  # ascending distances are found in the table of correlations much faster
+        below, lags = (row * (n + 1) + col)[order], lags[order]
+        grid = None if self.places is None else self.unit * np.arange(self.places[-1] + 1)
+        least = (lags[0] if grid is None else grid[lags[0]]) if len(lags) else np.inf
+        apart: list[float] = []  # the loss of all lengths for which no two rows correlate
+
+        def loss(length: float) -> float:
+            alone = sqrt(2 * self.nu) * least / length > FARTHEST
+            if alone and apart:
+                return apart[0]
+            cells[below] = matern(lags, length, self.nu) if grid is None else matern(grid, length, self.nu)[lags]
+            try:
+                factor = np.linalg.cholesky(full)
+            except np.linalg.LinAlgError:
+                return np.inf
+            last = factor[n, :n]
+            found = n * log(max(float(last @ last) / n, 1e-12)) / 2 + float(np.log(factor.reshape(-1)[own]).sum())
+            if alone:
+                apart.append(found)
+            return found
+
+        return loss
+
     def fitted(self, y: np.ndarray, length: float) -> tuple[float, np.ndarray]:
         """(loss, weights) for this length: the negative logarithm of the likelihood, but for constants, at its best scale, which has a closed form."""
         try:
@@ -314,13 +358,14 @@ def predicted(x: np.ndarray, y: np.ndarray, at: np.ndarray, method: str) -> np.n
     if len(x) < 2:
         return np.full(len(at), y[0] if len(y) else 0.0)
     if method == "line":
-        mid, off = y.mean(), x - x.mean()
+        mid, middle = y.sum() / len(y), x.sum() / len(x)
+        off = x - middle
         spread = float(off @ off)
-        return mid + (float(off @ y) / spread if spread else 0.0) * (at - x.mean())
+        return mid + (float(off @ y) / spread if spread else 0.0) * (at - middle)
     if method == "interpolate" or not y.any():
         return np.interp(at, x, y)
     rows = Correlations(x, 0.3)
-    length = _best_length(lambda k: rows.fitted(y, k)[0])
+    length = _best_length(rows.loss_of(y))
     loss, weights = rows.fitted(y, length)
     return np.interp(at, x, y) if loss == np.inf else matern(at[:, None] - x[None, :], length, 0.3) @ weights
 

@@ -25,8 +25,7 @@ def signal_features(df: DataFrame, col: str, suffix: str, keys: Sequence[str], c
     bounds = curve.curve_bounds(df, "tac", threshold, config.fall_ramp_step, config.fall_ramp_max, keys)
     measures = curve.curve_measures(bounds).drop("n")
     parts = [
-        aggregates.mean_sd_sem(df, "tac", keys), aggregates.baseline(df, "tac", config.baseline_range, keys).drop("curve_threshold"), aggregates.area(df, "tac", config.auc_dx, keys),
-        aggregates.mean_absolute_step(df, "tac", keys), aggregates.direction_changes(df, "tac", keys), curve.curve_area(df, measures, "tac", config.auc_dx, keys),
+        aggregates.signal_totals(df, "tac", config.baseline_range, config.auc_dx, keys).drop("curve_threshold"), curve.curve_area(df, measures, "tac", config.auc_dx, keys),
         curve.curve_count(df, "tac", threshold, config.sampling_rate, config.curve_min_h, config.curve_separation_h, config.curve_min_peak, keys),
     ]
     out = measures

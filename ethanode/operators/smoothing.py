@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ethanode.operators.windows import EPISODE, by, whole
@@ -27,13 +28,15 @@ def smoothed(df: DataFrame, col: str = "tac", out: str = "smooth", window: int =
     turns = F.sequence(-F.floor(half / period).cast("int") - 1, F.floor(half / period).cast("int") + 2)
     places = F.array_distinct(F.flatten(F.transform(turns, lambda k: F.array(i + k * period, k * period - i))))
     beyond = F.filter(places, lambda p: (p >= -half) & (p <= n - 1 + half))
-    near = (i <= half) | (i >= n - 1 - half)
+    # functions over arrays are interpreted for every row: a series longer than half a window has at most two mirrored places, written out
+    head, tail = (i > 0) & (i <= half), (i < n - 1) & (i >= n - 1 - half)
+    plain = F.when(head & tail, F.array(i, -i, period - i)).when(head, F.array(i, -i)).when(tail, F.array(i, period - i)).otherwise(F.array(i))
     d = df.withColumn("__n", F.count(F.lit(1)).over(whole(keys)).cast("int"))
-    d = d.withColumn("__at", F.explode(F.when(near, beyond).otherwise(F.array(i))))
+    d = d.withColumn("__at", F.explode(F.when(n - 1 <= half, beyond).otherwise(plain)))
     frame = by(keys, "__at").rowsBetween(-half, half)
     d = d.withColumn("__ys", F.collect_list(F.coalesce(col, F.lit(0.0))).over(frame))
-    weights = F.array(*[F.lit(c) for c in coefficients(window, order)])
-    total = F.aggregate(F.zip_with("__ys", weights, lambda y, c: y * c), F.lit(0.0), lambda acc, x: acc + x)
+    # the sum is written out: functions over arrays are interpreted for every row
+    total = reduce(Column.__add__, [F.get("__ys", F.lit(k)) * c for k, c in enumerate(coefficients(window, order))], F.lit(0.0))
     return d.where(F.col("__at") == F.col("idx")).withColumn(out, total).drop("__n", "__at", "__ys")
 
 

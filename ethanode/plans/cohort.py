@@ -26,14 +26,15 @@ def cleaned(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineCon
 def processed(df: DataFrame, keys: Sequence[str], config: EngineConfig = EngineConfig()) -> DataFrame:
     """Readings cropped, cleaned, smoothed and cut to where the curve starts, with threshold.
 
-    The cleaned readings are written before the threshold is searched in them, so that no
-    episode goes through Python twice.
+    The cleaned readings are written before they are smoothed, and the smoothed ones before the
+    threshold is searched in them, so that no episode goes through Python or is smoothed twice.
     """
     df = crop.max_duration(df, config.max_duration_h, keys)
     if config.crop_by_temperature:
         df = crop.by_temperature(df, config.wear_temp_c, keys)
     df = materialize(cleaned(crop.large_enough(df, config.min_rows, keys), keys, config), "cleaned")
-    df = smoothing.lifted(smoothing.smoothed(df, "tac_processed", "tac_smooth", config.smoothing_window, config.smoothing_order, keys), "tac_smooth", keys)
+    df = smoothing.smoothed(df, "tac_processed", "tac_smooth", config.smoothing_window, config.smoothing_order, keys)
+    df = materialize(smoothing.lifted(df, "tac_smooth", keys), "smoothed")
     return curve.truncated(df, curve.threshold_search(df, "tac_smooth", config.baseline_range, keys), keys)
 
 
